@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, repeats=REP
     rows = rows.withColumn("left", F.sum("source_size").over(everything) * F.lit(float(budget)) - F.coalesce(F.sum("cap").over(below), F.lit(0.0)))
     rows = rows.withColumn("level", F.col("left") / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(below), F.lit(0.0))))
     held = F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))
-    rows = rows.withColumn("common", F.min(held).over(everything))
+    rows = rows.withColumn("common", F.max(held).over(everything))
     return rows.select("source", "source_size", F.coalesce(F.least("cap", F.col("common") * F.col("w")), F.col("cap")).alias("target"))
 
 

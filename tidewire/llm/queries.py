@@ -64,7 +64,7 @@ levels AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM weighed WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, coalesce(least(cap, w * min(CASE WHEN level <= cap / w THEN level END) OVER ()), cap) AS target FROM levels),
+  SELECT source, source_size, coalesce(least(cap, w * max(CASE WHEN level <= cap / w THEN level END) OVER ()), cap) AS target FROM levels),
 queue AS (
   SELECT s.*, t.source_size, t.target, sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT AS cum
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
