@@ -1,0 +1 @@
+"""Relational story analytics: aggregates, joins, windows, ranking."""

@@ -6,10 +6,58 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, table
+from tidewire.operators import stories, texts
+
+_ON_ARTICLES = {
+    "source_history": stories.source_history, "heatmap": stories.heatmap, "hourly_velocity": stories.hourly_velocity, "daily_volume": stories.daily_volume,
+    "top_categories": stories.top_categories, "facets": stories.facets, "latest_per_story": stories.latest_per_story, "funnel": stories.funnel,
+    "period_compare": stories.period_compare, "unsummarised": stories.unsummarised, "source_pairs": stories.source_pairs,
+    "cluster_score": stories.cluster_score, "pulse": stories.pulse,
+}
+_ON_TABLES = {
+    "visitors": ("events", stories.visitors), "reading_time": ("documents", texts.reading_time), "page_links": ("pages", texts.page_links),
+    "centroids": ("embeddings", texts.centroids), "text_search": ("documents", texts.text_search), "language_sources": ("documents", texts.language_sources),
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: (lambda s, d, f=f: f(articles(s, d))) for k, f in _ON_ARTICLES.items()}
+    return out | {k: (lambda s, d, t=t, f=f: f(table(s, d, t))) for k, (t, f) in _ON_TABLES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    a, now = ARTICLES_SQL, f"TIMESTAMP '{AS_OF}'"
+    return {
+        "source_history": f"""WITH a AS {a}, s AS (SELECT cluster_id, arg_min(source, (created_at, id)) AS source, count(DISTINCT source) AS ns FROM a GROUP BY 1),
+          l AS (SELECT source, count(*) AS leads, count(*) FILTER (ns >= 2) AS corroborated, count(*) FILTER (ns = 1) AS solo FROM s GROUP BY 1),
+          r AS (SELECT source, count(*) AS articles, count(*) FILTER (created_at >= {now} - INTERVAL 7 DAY AND created_at < {now}) AS week,
+            count(*) FILTER (created_at >= {now} - INTERVAL 14 DAY AND created_at < {now} - INTERVAL 7 DAY) AS week_before FROM a GROUP BY 1)
+          SELECT source, articles, week, week_before, coalesce(leads, 0) AS leads, coalesce(corroborated, 0) AS corroborated, coalesce(solo, 0) AS solo FROM r LEFT JOIN l USING (source)""",
+        "heatmap": f"WITH d AS (SELECT created_at::DATE::VARCHAR AS day, cluster_id, count(*) AS n FROM {a} GROUP BY 1, 2) SELECT day, count(*) AS stories, count(*) FILTER (n >= 5) AS large, sum(n)::BIGINT AS articles FROM d GROUP BY 1",
+        "hourly_velocity": f"SELECT date_trunc('hour', created_at) AS hour, count(*) AS n FROM {a} WHERE created_at >= {now} - INTERVAL 24 HOUR GROUP BY 1",
+        "daily_volume": f"""WITH a AS {a}, c AS (SELECT source, ({now}::DATE - i::INTEGER)::VARCHAR AS day FROM (SELECT DISTINCT source FROM a), range(1, 31) t(i)), n AS (SELECT source, created_at::DATE::VARCHAR AS day, count(*) AS n FROM a GROUP BY 1, 2)
+          SELECT source, c.day, coalesce(n, 0) AS n FROM c LEFT JOIN n USING (source, day)""",
+        "top_categories": f"WITH n AS (SELECT source, category, count(*) AS n FROM {a} GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, category)::INTEGER AS place FROM n QUALIFY place <= 3",
+        "facets": f"""WITH a AS {a} (SELECT 'source' AS axis, source::VARCHAR AS value, count(*) AS n FROM a GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 12) UNION ALL
+          (SELECT 'category', category, count(*) FROM a GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 12)""",
+        "latest_per_story": f"SELECT cluster_id, id, source, created_at, min(created_at) OVER w AS first_at, count(*) OVER w AS n FROM {a} WINDOW w AS (PARTITION BY cluster_id) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY created_at DESC, id DESC) = 1",
+        "funnel": f"""WITH s AS (SELECT source, count(*) FILTER (category = 'view') AS views, count(*) FILTER (category = 'click') AS clicks, count(*) FILTER (category = 'purchase') AS purchases FROM {a} GROUP BY 1)
+          SELECT *, CASE WHEN views > 0 THEN floor(100.0::DOUBLE * clicks / views * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE ELSE 0.0::DOUBLE END AS click_rate FROM s""",
+        "period_compare": f"""WITH s AS (SELECT category, count(*) FILTER (created_at >= {now} - INTERVAL 7 DAY AND created_at < {now}) AS now, count(*) FILTER (created_at >= {now} - INTERVAL 14 DAY AND created_at < {now} - INTERVAL 7 DAY) AS before FROM {a} GROUP BY 1) SELECT *, now - before AS change FROM s""",
+        "unsummarised": f"WITH a AS {a} SELECT cluster_id, count(*) AS n, max(created_at) AS newest FROM a WHERE cluster_id NOT IN (SELECT cluster_id FROM a WHERE category = 'purchase') GROUP BY 1 HAVING count(*) >= 2",
+        "source_pairs": f"WITH m AS (SELECT DISTINCT cluster_id, source FROM {a}) SELECT x.source AS a, y.source AS b, count(*) AS shared FROM m x JOIN m y ON x.cluster_id = y.cluster_id AND x.source < y.source GROUP BY 1, 2 HAVING count(*) >= 2",
+        "cluster_score": f"""WITH s AS (SELECT cluster_id, count(DISTINCT source) AS n_sources, count(*) AS n, max(created_at) AS newest FROM {a} GROUP BY 1)
+          SELECT cluster_id, n_sources, n, floor(n_sources * exp(-0.115::DOUBLE * ((epoch_us({now}) - epoch_us(newest)) / 3.6e9::DOUBLE)) * ln(1.0::DOUBLE + n) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS score FROM s""",
+        "pulse": f"""WITH s AS (SELECT cluster_id, count(*) FILTER (created_at >= {now} - INTERVAL 24 HOUR) AS fresh, max(created_at) AS newest FROM {a} GROUP BY 1)
+          SELECT cluster_id, (10 + 10 * least(fresh, 5) + CASE WHEN newest > {now} - INTERVAL 1 HOUR THEN 15 WHEN newest > {now} - INTERVAL 6 HOUR THEN 8 WHEN newest >= {now} - INTERVAL 24 HOUR THEN 3 ELSE 0 END)::BIGINT AS pulse FROM s""",
+        "visitors": "SELECT ts::DATE::VARCHAR AS day, count(*) AS views, count(DISTINCT user_id) AS visitors FROM events GROUP BY 1",
+        "reading_time": r"SELECT doc_id, greatest(1, ceil(len(regexp_extract_all(text, '[^ \t\n\r]+')) / 200.0::DOUBLE))::BIGINT AS minutes FROM documents",
+        "page_links": r"""WITH b AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS bare FROM pages)
+          SELECT page_id, lower(regexp_extract(bare, '^[A-Za-z]+://[^/]*', 0)) || regexp_replace(bare, '^[A-Za-z]+://[^/]*', '') AS link,
+            regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www[.]', '') AS host FROM b""",
+        "centroids": "WITH p AS (SELECT label, (unnest(range(len(embedding))))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, i, floor(avg(x) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS mean FROM p GROUP BY 1, 2",
+        "text_search": r"""WITH d AS (SELECT doc_id, lower(text) AS low, lower(split_part(text, chr(10), 1)) AS title FROM documents)
+          SELECT doc_id, (CASE WHEN title = 'the' THEN 4 WHEN starts_with(title, 'the') THEN 3 WHEN contains(title, 'the') THEN 2 ELSE 1 END)::BIGINT AS rank FROM d WHERE contains(low, 'the')""",
+        "language_sources": "WITH s AS (SELECT source, count(*) AS n, count(*) FILTER (lang <> 'en') AS \"foreign\" FROM documents GROUP BY 1) SELECT *, floor(100.0::DOUBLE * \"foreign\" / n * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS share FROM s",
+    }
