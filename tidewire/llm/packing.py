@@ -7,6 +7,7 @@ documents longer than a sequence are cut. Packing tasks take bounded groups of p
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -46,7 +47,8 @@ class ChunkTokenizer:
         if new := set(chunks).difference(known):
             if len(known) + len(new) > _CACHED:
                 known.clear()
-                self._pieces.clear()
+                if len(self._pieces) > _CACHED:
+                    self._pieces.clear()
                 new = set(chunks)
             for chunk in new:
                 known[chunk] = self._chunk(chunk.decode())
@@ -65,7 +67,7 @@ class ChunkTokenizer:
 
 
 def pack_ids(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
