@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import exact_dedup, html_text, licenses, line_dedup, mixing, packing, sharding, simhash, toxicity
+from tidewire.llm import ann, exact_dedup, html_text, licenses, line_dedup, mixing, packing, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_line_dedup, op5_best_fit_packing, op6_license_scan, op7_mixing, op8_hilbert_sharding, op9_html_text, op10_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_line_dedup, op4_nn_descent, op5_best_fit_packing, op6_license_scan, op7_mixing, op8_hilbert_sharding, op9_html_text, op10_simhash)}
 
 
 OP1_SQL = r"""
