@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, table
-from tidewire.operators import stories, texts
+from tidewire.operators import signals, stories, texts
 
 _ON_ARTICLES = {
     "source_history": stories.source_history, "heatmap": stories.heatmap, "hourly_velocity": stories.hourly_velocity, "daily_volume": stories.daily_volume,
     "top_categories": stories.top_categories, "facets": stories.facets, "latest_per_story": stories.latest_per_story, "funnel": stories.funnel,
     "period_compare": stories.period_compare, "unsummarised": stories.unsummarised, "source_pairs": stories.source_pairs,
     "cluster_score": stories.cluster_score, "pulse": stories.pulse,
+    "staleness": signals.staleness, "moving_stats": signals.moving_stats, "recency_weight": signals.recency_weight, "nearest_days": signals.nearest_days,
 }
 _ON_TABLES = {
     "visitors": ("events", stories.visitors), "reading_time": ("documents", texts.reading_time), "page_links": ("pages", texts.page_links),
     "centroids": ("embeddings", texts.centroids), "text_search": ("documents", texts.text_search), "language_sources": ("documents", texts.language_sources),
+    "key_counts": ("events", signals.key_counts), "event_counters": ("events", signals.event_counters), "fingerprints": ("documents", signals.fingerprints),
+    "similar_to_first": ("embeddings", signals.similar_to_first), "turns": ("conversations", signals.turns), "visitor_hash": ("events", signals.visitor_hash),
 }
 
 
@@ -60,4 +63,17 @@ def oracle_sql() -> dict[str, str]:
         "text_search": r"""WITH d AS (SELECT doc_id, lower(text) AS low, lower(split_part(text, chr(10), 1)) AS title FROM documents)
           SELECT doc_id, (CASE WHEN title = 'the' THEN 4 WHEN starts_with(title, 'the') THEN 3 WHEN contains(title, 'the') THEN 2 ELSE 1 END)::BIGINT AS rank FROM d WHERE contains(low, 'the')""",
         "language_sources": "WITH s AS (SELECT source, count(*) AS n, count(*) FILTER (lang <> 'en') AS \"foreign\" FROM documents GROUP BY 1) SELECT *, floor(100.0::DOUBLE * \"foreign\" / n * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS share FROM s",
+        "staleness": f"WITH s AS (SELECT category, cluster_id, max(created_at) AS newest FROM {a} GROUP BY 1, 2) SELECT category, count(*) AS stories, count(*) FILTER (newest < {now} - INTERVAL 2 DAY) AS stale FROM s GROUP BY 1",
+        "moving_stats": f"SELECT id, source, count(*) OVER w AS n, max(value) OVER w AS highest FROM {a} WINDOW w AS (PARTITION BY source ORDER BY created_at, id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)",
+        "recency_weight": f"""WITH d AS (SELECT id, (epoch_us({now}) - epoch_us(created_at)) / 8.64e10::DOUBLE AS days FROM {a})
+          SELECT id, (CASE WHEN days <= 2 THEN 1.0 WHEN days <= 7 THEN 0.82 WHEN days <= 14 THEN 0.58 WHEN days <= 30 THEN 0.32 ELSE 0.14 END)::DOUBLE AS weight FROM d""",
+        "nearest_days": f"SELECT max(created_at::DATE) FILTER (created_at::DATE < DATE '2024-01-15')::VARCHAR AS before, min(created_at::DATE) FILTER (created_at::DATE > DATE '2024-01-15')::VARCHAR AS after FROM {a}",
+        "key_counts": "SELECT try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
+        "event_counters": "SELECT ts::DATE::VARCHAR AS day, event_type, props, count(*) AS n FROM events GROUP BY 1, 2, 3",
+        "fingerprints": r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))) AS mark FROM documents",
+        "similar_to_first": """WITH q AS (SELECT vec_id AS q, embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 1),
+          n AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], e) AS c FROM embeddings, q WHERE vec_id <> q)
+          SELECT vec_id, floor(c * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE AS cosine FROM n ORDER BY c DESC, vec_id LIMIT 15""",
+        "turns": "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS asked, count(*) FILTER (role = 'assistant') AS answered, max(length(text))::BIGINT AS longest FROM conversations GROUP BY 1",
+        "visitor_hash": "SELECT sha256(concat_ws('|', user_id::VARCHAR, strftime(ts, '%Y-%m-%d'), 's')) AS visitor, count(*) AS n FROM events GROUP BY 1",
     }
