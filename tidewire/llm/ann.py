@@ -20,16 +20,28 @@ from tidewire.llm._store import written
 
 NEAREST, DEGREE, REVERSE, ROUNDS, STARTS, BLOCK = 20, 24, 24, 3, 4, 400
 BEAM, HOPS, PARTNERS = 128, 4, 6
+#: Members compared with one another at once; larger start blocks are dealt into parts of about this size.
+PART = 1024
+#: At most so many large blocks are broadcast; more are joined by shuffle.
+BROADCAST_BLOCKS = 100_000
 _EDGE = "u long, v long, s double"
 
 
-def nodes(embeddings: DataFrame) -> DataFrame:
-    """(id, ids, e): each distinct usable vector in double, its smallest id and its smallest ids."""
+def usable(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, e) in double: rows with an id and a vector that is neither null nor zero, all components finite."""
     x = F.transform("embedding", lambda a: a.cast("double"))
     fine = F.forall("e", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))) & F.exists("e", lambda a: a != 0)
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("e")).filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).filter(fine)
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("e"))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).filter(fine)
+
+
+def nodes(rows: DataFrame, k: int = NEAREST) -> DataFrame:
+    """(id, ids, e): each distinct vector, its smallest id and its k + 1 smallest ids.
+
+    The limit on row_number is taken in each input partition before the shuffle, so many copies stay cheap.
+    """
     place = F.row_number().over(Window.partitionBy("e").orderBy("vec_id"))
-    few = rows.withColumn("r", place).filter(F.col("r") <= NEAREST + 1)
+    few = rows.distinct().withColumn("r", place).filter(F.col("r") <= k + 1)
     return few.groupBy("e").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
@@ -39,7 +51,7 @@ def best(edges: DataFrame, k: int, by: str = "u") -> DataFrame:
 
 
 def _meet(groups: DataFrame, partners: int) -> DataFrame:
-    """Edges from each member of a group (g, id, e) to its best partners there; groups pass in pieces of 1024."""
+    """Edges from each member of a group (g, id, e) to its best partners there; groups pass in pieces of PART."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -61,8 +73,8 @@ def _meet(groups: DataFrame, partners: int) -> DataFrame:
         out = [[], [], []]
         bounds = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
         for a, z in zip(bounds, bounds[1:], strict=False):
-            for i in range(a, z, 1024):
-                x, own = e[i : min(z, i + 1024)], ids[i : min(z, i + 1024)]
+            for i in range(a, z, PART):
+                x, own = e[i : min(z, i + PART)], ids[i : min(z, i + PART)]
                 if len(own) < 2:
                     continue
                 s = x @ x.T
@@ -93,7 +105,7 @@ def build_graph(vectors: DataFrame, n: int, dims: int) -> DataFrame:
                 mark = ((x @ planes[r].T) > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
                 yield pa.record_batch([pa.array((mark * STARTS + r).astype(np.int64)), batch.column("id"), batch.column("e")], names=["g", "id", "e"])
 
-    starts = vectors.mapInArrow(block, "g long, id long, e array<float>")
+    starts = _in_parts(vectors.mapInArrow(block, "g long, id long, e array<float>"))
     graph = written(best(_meet(starts, DEGREE).dropDuplicates(["u", "v"]), DEGREE), "graph")
     for _ in range(ROUNDS):
         members = both_ways(graph).select(F.col("u").alias("g"), F.col("v").alias("id")).unionByName(vectors.select(F.col("id").alias("g"), "id"))
@@ -102,6 +114,16 @@ def build_graph(vectors: DataFrame, n: int, dims: int) -> DataFrame:
     return graph
 
 
+def _in_parts(starts: DataFrame) -> DataFrame:
+    """Blocks larger than PART, dealt at random into parts of about that size: no task holds a crowded block."""
+    large = starts.groupBy("g").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > PART)
+    large = written(large, "blocks")
+    if large.count() <= BROADCAST_BLOCKS:
+        large = F.broadcast(large)
+    parts = F.ceil(F.coalesce("members", F.lit(1)) / PART)
+    return starts.join(large, "g", "left").select(F.xxhash64("g", F.pmod(F.xxhash64("id", "g"), parts)).alias("g"), "id", "e")
+
+
 def both_ways(graph: DataFrame) -> DataFrame:
     back = best(graph, REVERSE, "v").select(F.col("v").alias("u"), F.col("u").alias("v"), "s")
     return graph.unionByName(back).dropDuplicates(["u", "v"])
@@ -115,10 +137,11 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = NEAREST) -> DataFra
     """query_id, rank, vec_id, score for each vec_id divisible by `every`: its k nearest found, itself left out.
 
     Null, zero and non-finite vectors take no part, nor a null vec_id; vectors are taken to be of one length.
-    Repeated vec_ids count as one per distinct vector. An empty table gives an empty result.
+    Every query has its rows, in groups of any number of equal vectors too. Rows repeated as a whole count once. An empty table gives an empty result.
     """
     spark = embeddings.sparkSession
-    known = written(nodes(embeddings), "nodes")
+    rows = usable(embeddings)
+    known = written(nodes(rows, k), "nodes")
     n, dims = known.agg(F.count(F.lit(1)), F.max(F.size("e"))).collect()[0]
     known = known.filter(F.size("e") == (dims or 0))
     vectors = written(known.select("id", F.transform("e", lambda a: a.cast("float")).alias("e")), "vectors")
@@ -126,7 +149,11 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = NEAREST) -> DataFra
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     graph = build_graph(vectors, n, dims)
     way = written(both_ways(graph).select(F.col("u").alias("v"), F.col("v").alias("w")), "ways")
-    asked = written(known.filter(F.exists("ids", lambda i: i % every == 0)).select(F.col("id").alias("u"), F.transform("e", lambda a: a.cast("float")).alias("q")), "asked")
+    # Every query of a group of equal vectors, however many: a crowded vector's rows are split by the skew join.
+    queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "e").distinct()
+    queries = written(queries.join(known.select("e", F.col("id").alias("u")), "e").select("query_id", "u"), "queries")
+    asked = known.join(queries.select(F.col("u").alias("id")).distinct(), "id", "left_semi")
+    asked = written(asked.select(F.col("id").alias("u"), F.transform("e", lambda a: a.cast("float")).alias("q")), "asked")
     beam = written(graph.join(asked.select("u"), "u"), "beam")
     done = None
     for _ in range(HOPS):
@@ -143,10 +170,13 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = NEAREST) -> DataFra
 
         beam = written(best(beam.unionByName(scored.select("u", "v", "e", "q").mapInArrow(score, _EDGE)), BEAM), "beam")
     short = best(beam, 2 * k).select("u", "v").unionByName(asked.select("u", F.col("u").alias("v")))
-    left = known.select(F.col("id").alias("u"), F.col("ids").alias("queries"), F.col("e").alias("a"))
+    left = known.select(F.col("id").alias("u"), F.col("e").alias("a"))
     right = known.select(F.col("id").alias("v"), F.col("ids").alias("vec_ids"), F.col("e").alias("b"))
-    exact = short.join(left, "u").join(right, "v").select("queries", "vec_ids", _inner(F.col("a"), F.col("b")).alias("score"))
-    pairs = exact.select(F.explode("queries").alias("query_id"), "vec_ids", "score").filter(F.col("query_id") % every == 0)
-    pairs = pairs.select("query_id", F.explode("vec_ids").alias("vec_id"), "score").filter("query_id != vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    exact = short.join(left, "u").join(right, "v").select("u", "vec_ids", _inner(F.col("a"), F.col("b")).alias("score"))
+    exact = exact.select("u", F.explode("vec_ids").alias("vec_id"), "score")
+    place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("score"), "vec_id"))
+    first = exact.withColumn("r", place).filter(F.col("r") <= k + 1)  # one more: a query leaves itself out
+    lists = first.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
+    others = F.slice(F.filter("near", lambda c: c["vec_id"] != F.col("query_id")), 1, k)
+    out = queries.join(lists, "u").select("query_id", F.posexplode(others).alias("at", "c"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("c.vec_id").alias("vec_id"), F.col("c.score").alias("score"))
