@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tidewire.llm._store import written
 
-NEAREST, DEGREE, REVERSE, ROUNDS, STARTS, BLOCK = 20, 24, 24, 3, 4, 400
-BEAM, HOPS, PARTNERS = 128, 4, 6
+NEAREST, DEGREE, REVERSE, ROUNDS, STARTS, BLOCK = 20, 32, 32, 4, 4, 400
+BEAM, HOPS, PARTNERS = 256, 4, 10
 #: Members compared with one another at once; larger start blocks are dealt into parts of about this size.
 PART = 1024
 #: At most so many large blocks are broadcast; more are joined by shuffle.
