@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, table
-from tidewire.operators import signals, stories, texts
+from tidewire.operators import applied, signals, stories, texts
 
 _ON_ARTICLES = {
     "source_history": stories.source_history, "heatmap": stories.heatmap, "hourly_velocity": stories.hourly_velocity, "daily_volume": stories.daily_volume,
@@ -15,12 +15,15 @@ _ON_ARTICLES = {
     "period_compare": stories.period_compare, "unsummarised": stories.unsummarised, "source_pairs": stories.source_pairs,
     "cluster_score": stories.cluster_score, "pulse": stories.pulse,
     "staleness": signals.staleness, "moving_stats": signals.moving_stats, "recency_weight": signals.recency_weight, "nearest_days": signals.nearest_days,
+    "entry_times": applied.entry_times, "first_seen": applied.first_seen, "current_rows": applied.current_rows,
 }
 _ON_TABLES = {
     "visitors": ("events", stories.visitors), "reading_time": ("documents", texts.reading_time), "page_links": ("pages", texts.page_links),
     "centroids": ("embeddings", texts.centroids), "text_search": ("documents", texts.text_search), "language_sources": ("documents", texts.language_sources),
     "key_counts": ("events", signals.key_counts), "event_counters": ("events", signals.event_counters), "fingerprints": ("documents", signals.fingerprints),
     "similar_to_first": ("embeddings", signals.similar_to_first), "turns": ("conversations", signals.turns), "visitor_hash": ("events", signals.visitor_hash),
+    "quiet_titles": ("documents", applied.quiet_titles), "turn_overlap": ("conversations", applied.turn_overlap), "number_counts": ("documents", applied.number_counts),
+    "text_tone": ("conversations", applied.text_tone), "ad_prices": ("events", applied.ad_prices),
 }
 
 
@@ -76,4 +79,23 @@ def oracle_sql() -> dict[str, str]:
           SELECT vec_id, floor(c * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE AS cosine FROM n ORDER BY c DESC, vec_id LIMIT 15""",
         "turns": "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS asked, count(*) FILTER (role = 'assistant') AS answered, max(length(text))::BIGINT AS longest FROM conversations GROUP BY 1",
         "visitor_hash": "SELECT sha256(concat_ws('|', user_id::VARCHAR, strftime(ts, '%Y-%m-%d'), 's')) AS visitor, count(*) AS n FROM events GROUP BY 1",
+        "entry_times": f"SELECT id, CASE WHEN created_at <= {now} + INTERVAL 30 MINUTE AND created_at >= {now} - INTERVAL 14 DAY THEN created_at ELSE {now} END AS at FROM {a}",
+        "first_seen": f"""WITH a AS (SELECT id, created_at, source, category, value FROM {a})
+          SELECT * FROM a WHERE created_at >= TIMESTAMP '2024-01-03' AND NOT EXISTS (SELECT 1 FROM a o WHERE o.created_at < TIMESTAMP '2024-01-03'
+            AND o.source IS NOT DISTINCT FROM a.source AND o.category IS NOT DISTINCT FROM a.category) QUALIFY row_number() OVER (PARTITION BY source, category ORDER BY created_at, id) = 1""",
+        "current_rows": f"""SELECT id, created_at, source, category, value FROM {a}
+          QUALIFY row_number() OVER (PARTITION BY source, category ORDER BY created_at >= TIMESTAMP '2024-01-15' DESC, created_at DESC, id DESC) = 1""",
+        "quiet_titles": r"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents),
+          n AS (SELECT *, len(regexp_extract_all(title, '\p{L}')) AS letters, len(regexp_extract_all(title, '\p{Ll}')) AS low FROM t)
+          SELECT doc_id, CASE WHEN letters > 5 AND low * 5 < letters THEN upper(title[1]) || lower(title[2:]) ELSE title END AS title FROM n""",
+        "turn_overlap": r"""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: length(x) >= 4)) AS x FROM conversations),
+          p AS (SELECT a.conv_id, a.turn, a.x, b.x AS y FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1),
+          j AS (SELECT *, len(list_intersect(x, y)) AS n FROM p)
+          SELECT conv_id, turn, CASE WHEN len(x) > 0 AND len(y) > 0 THEN floor((n::DOUBLE / (len(x) + len(y) - n)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE ELSE 0.0::DOUBLE END AS overlap FROM j""",
+        "number_counts": r"""WITH f AS (SELECT unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) AS x FROM documents)
+          SELECT CASE WHEN regexp_full_match(x, '[0-9]{1,3}([.,][0-9]{3})+') THEN regexp_replace(x, '[.,]', '', 'g') ELSE replace(x, ',', '.') END AS number, count(*) AS n FROM f GROUP BY 1""",
+        "text_tone": """WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM conversations),
+          k AS (SELECT *, len(list_intersect(x, ['good', 'great', 'win', 'growth', 'success'])) AS p, len(list_intersect(x, ['bad', 'crisis', 'war', 'loss', 'attack'])) AS n FROM w)
+          SELECT conv_id, turn, CASE WHEN p + n > 0 THEN floor(((p::DOUBLE - n) / (p + n)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE ELSE 0.0::DOUBLE END AS tone FROM k""",
+        "ad_prices": "SELECT event_id, greatest(floor(value * 100.0::DOUBLE * (1.0::DOUBLE - 0.15::DOUBLE) + 0.5::DOUBLE), 50)::BIGINT AS cents FROM events",
     }
