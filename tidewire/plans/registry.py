@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, table
-from tidewire.operators import applied, signals, stories, texts
+from tidewire.operators import applied, attention, signals, stories, texts
 
 _ON_ARTICLES = {
     "source_history": stories.source_history, "heatmap": stories.heatmap, "hourly_velocity": stories.hourly_velocity, "daily_volume": stories.daily_volume,
@@ -15,6 +15,8 @@ _ON_ARTICLES = {
     "period_compare": stories.period_compare, "unsummarised": stories.unsummarised, "source_pairs": stories.source_pairs,
     "cluster_score": stories.cluster_score, "pulse": stories.pulse,
     "staleness": signals.staleness, "moving_stats": signals.moving_stats, "recency_weight": signals.recency_weight, "nearest_days": signals.nearest_days,
+    "source_breakdown": attention.source_breakdown, "navigation": attention.navigation, "engagement": attention.engagement, "daily_mood": attention.daily_mood,
+    "freshest": attention.freshest, "wire_page": attention.wire_page, "followed_stories": attention.followed_stories,
     "entry_times": applied.entry_times, "first_seen": applied.first_seen, "current_rows": applied.current_rows,
 }
 _ON_TABLES = {
@@ -98,4 +100,17 @@ def oracle_sql() -> dict[str, str]:
           k AS (SELECT *, len(list_intersect(x, ['good', 'great', 'win', 'growth', 'success'])) AS p, len(list_intersect(x, ['bad', 'crisis', 'war', 'loss', 'attack'])) AS n FROM w)
           SELECT conv_id, turn, CASE WHEN p + n > 0 THEN floor(((p::DOUBLE - n) / (p + n)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE ELSE 0.0::DOUBLE END AS tone FROM k""",
         "ad_prices": "SELECT event_id, greatest(floor(value * 100.0::DOUBLE * (1.0::DOUBLE - 0.15::DOUBLE) + 0.5::DOUBLE), 50)::BIGINT AS cents FROM events",
+        "source_breakdown": f"""WITH n AS (SELECT category, source::VARCHAR AS source, count(*) AS n FROM {a} GROUP BY 1, 2),
+          p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, source) AS place FROM n)
+          SELECT category, CASE WHEN place <= 8 THEN source ELSE 'other' END AS source, sum(n)::BIGINT AS n FROM p GROUP BY 1, 2""",
+        "navigation": f"WITH n AS (SELECT category, source, count(DISTINCT cluster_id) AS n FROM {a} GROUP BY 1, 2) SELECT category, sum(n)::BIGINT AS stories FROM n GROUP BY 1",
+        "engagement": f"""WITH s AS (SELECT cluster_id, count(*) FILTER (category = 'view') AS views, count(*) FILTER (category = 'click') AS clicks, count(*) FILTER (category = 'purchase') AS opens FROM {a} GROUP BY 1),
+          e AS (SELECT *, 1.5::DOUBLE * CASE WHEN views > 0 THEN clicks::DOUBLE / views ELSE 0 END + 0.55::DOUBLE * CASE WHEN views > 0 THEN opens::DOUBLE / views ELSE 0 END + least(0.25::DOUBLE, 0.05::DOUBLE * clicks) AS x FROM s)
+          SELECT cluster_id, views, clicks, opens, floor(least(1.1::DOUBLE, x) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS score FROM e""",
+        "daily_mood": f"""WITH n AS (SELECT created_at::DATE::VARCHAR AS day, category, count(*) AS n, sum(value) AS total, count(value) AS known FROM {a} GROUP BY 1, 2)
+          SELECT day, floor(sum(total) / sum(known)::DOUBLE * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE AS mean, arg_min(category, (-n, category)) AS tone FROM n GROUP BY 1""",
+        "freshest": f"SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY created_at DESC, id DESC)::INTEGER AS place FROM {a} QUALIFY place <= 40",
+        "wire_page": f"""WITH c AS (SELECT id, source, value FROM {a} QUALIFY row_number() OVER (PARTITION BY source ORDER BY value DESC NULLS LAST, id) <= 2)
+          SELECT * FROM c ORDER BY value DESC NULLS LAST, id LIMIT 20 OFFSET 20""",
+        "followed_stories": f"WITH a AS {a} SELECT cluster_id FROM a WHERE category = 'purchase' UNION SELECT cluster_id FROM a GROUP BY 1 HAVING count(*) >= 5",
     }
