@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph, searched greedily.
 
 The graph starts from blocks of random hyperplanes. A round gathers, by joins, the neighbours and reverse neighbours
-of every vector and compares them with one another (neighbours of a common neighbour), keeping the best. A search
-starts at a query's own neighbours and follows the graph from the best found so far, a beam a hop. Equal vectors are
-one node, with its smallest ids.
+of every vector and compares those pairs (neighbours of a common neighbour) of which one is new there, keeping what
+beats a list's last. A search starts at a query's own neighbours and follows the graph from the best found so far, a
+beam a hop. Equal vectors are one node, with its smallest ids. Graph and search compare vectors in bytes, one scale a
+vector; the best of each search are scored again from the original vectors.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 from tidewire.llm._store import written
 
 NEAREST, DEGREE, REVERSE, ROUNDS, STARTS, BLOCK = 20, 32, 32, 4, 4, 400
-BEAM, HOPS, PARTNERS = 256, 4, 10
+BEAM, HOPS, PARTNERS, RESCORED = 256, 4, 10, 3
 #: Members compared with one another at once; larger start blocks are dealt into parts of about this size.
 PART = 1024
+#: Rows of a search step scored at once.
+SLICE = 512
 #: At most so many large blocks are broadcast; more are joined by shuffle.
 BROADCAST_BLOCKS = 100_000
 _EDGE = "u long, v long, s double"
@@ -45,72 +48,119 @@ def nodes(rows: DataFrame, k: int = NEAREST) -> DataFrame:
     return few.groupBy("e").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
+def coded(known: DataFrame) -> DataFrame:
+    """(id, code): the scale as a double, then a signed byte for each component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("e").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                scale = np.abs(x).max(axis=1) / 127
+                scale = np.where(scale > 0, scale, np.abs(x).max(axis=1))  # the least doubles, divided, are 0
+                parts = np.rint(x / scale[:, None]).astype(np.int8)
+                code = [s.tobytes() + p.tobytes() for s, p in zip(scale.astype("<f8"), parts, strict=True)]
+                yield pa.record_batch([b.column("id"), pa.array(code, pa.binary())], names=["id", "code"])
+
+    return known.select("id", "e").mapInArrow(run, "id long, code binary")
+
+
+def _decoded(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Scales and components of codes of one length, at least one."""
+    at = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]
+    raw = np.frombuffer(codes.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(codes), -1)
+    return raw[:, :8].copy().view("<f8").ravel(), raw[:, 8:].view(np.int8)
+
+
 def best(edges: DataFrame, k: int, by: str = "u") -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.desc("s"), "u", "v")
-    return edges.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("u", "v", "s")
+    return edges.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+
+
+def _merged(old: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The k best of both for each u, each once; fresh where not in `old`. One shuffle, by u."""
+    both = old.select("u", "v", "s", F.lit(False).alias("fresh")).unionByName(found.select("u", "v", "s", F.lit(True).alias("fresh")))
+    once = both.repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"), F.bool_and("fresh").alias("fresh"))
+    return best(once, k)
+
+
+def _last(lists: DataFrame, k: int) -> DataFrame:
+    """(id, bar): what a new member of u's list has to beat, where the list is full."""
+    return lists.groupBy(F.col("u").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).alias("bar"))
 
 
 def _meet(groups: DataFrame, partners: int) -> DataFrame:
-    """Edges from each member of a group (g, id, e) to its best partners there; groups pass in pieces of PART."""
+    """Edges from each member of a group (g, id, code, bar, fresh) to its best partners there that beat its bar.
+
+    Of a pair one member at least is fresh. Groups pass in pieces of PART.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            g, ids = batch.column("g").to_numpy(), batch.column("id").to_numpy()
-            e = batch.column("e").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[:, :] if len(ids) else None
-            if e is None:
+            if not batch.num_rows:
                 continue
+            scale, x = _decoded(batch.column("code"))
+            bar = batch.column("bar").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            now = [batch.column("g").to_numpy(), batch.column("id").to_numpy(), scale, x, bar, batch.column("fresh").to_numpy(zero_copy_only=False)]
             if held is not None:
-                g, ids, e = np.concatenate([held[0], g]), np.concatenate([held[1], ids]), np.concatenate([held[2], e])
-            cut = np.flatnonzero(np.diff(g)) + 1
+                now = [np.concatenate(p) for p in zip(held, now, strict=True)]
+            cut = np.flatnonzero(np.diff(now[0])) + 1
             last = cut[-1] if len(cut) else 0
-            yield from compare(g[:last], ids[:last], e[:last])
-            held = g[last:], ids[last:], e[last:]
+            yield from compare(*(p[:last] for p in now))
+            held = [p[last:] for p in now]
         if held is not None:
             yield from compare(*held)
 
-    def compare(g, ids, e):
+    def compare(g, ids, scale, x, bar, fresh):
         out = [[], [], []]
         bounds = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
         for a, z in zip(bounds, bounds[1:], strict=False):
             for i in range(a, z, PART):
-                x, own = e[i : min(z, i + PART)], ids[i : min(z, i + PART)]
-                if len(own) < 2:
+                part = slice(i, min(z, i + PART))
+                own, new, least, size = ids[part], fresh[part], bar[part], scale[part]
+                if len(own) < 2 or not new.any():
                     continue
-                s = x @ x.T
-                s[own[:, None] == own[None, :]] = -np.inf
+                y = x[part].astype(np.float32)
+                s = (y @ y.T) * size[:, None] * size[None, :]
+                s[(own[:, None] == own[None, :]) | ~(new[:, None] | new[None, :]) | ~(s > least[:, None])] = -np.inf
                 k = min(partners, len(own) - 1)
                 top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                out[0].append(np.repeat(own, k))
-                out[1].append(own[top].ravel())
-                out[2].append(np.take_along_axis(s, top, 1).ravel())
+                value = np.take_along_axis(s, top, 1)
+                row, col = np.nonzero(value > -np.inf)
+                out[0].append(own[row])
+                out[1].append(own[top[row, col]])
+                out[2].append(value[row, col])
         if out[0]:
-            u, v, s = map(np.concatenate, out)
-            fine = np.isfinite(s)
-            yield pa.record_batch([pa.array(u[fine]), pa.array(v[fine]), pa.array(s[fine].astype(np.float64))], names=["u", "v", "s"])
+            yield pa.record_batch([pa.array(np.concatenate(p)) for p in out], names=["u", "v", "s"])
 
     dealt = groups.repartition("g").sortWithinPartitions("g")
     return dealt.mapInArrow(run, _EDGE)
 
 
-def build_graph(vectors: DataFrame, n: int, dims: int) -> DataFrame:
-    """(u, v, s): the DEGREE best neighbours found of each node of `vectors` (id, e as array<float>)."""
+def build_graph(codes: DataFrame, n: int, dims: int) -> DataFrame:
+    """(u, v, s, fresh): the DEGREE best neighbours found of each node of `codes` (id, code)."""
     bits = max(0, math.ceil(math.log2(max(1, n) / BLOCK)))
     planes = np.random.default_rng(11).standard_normal((STARTS, bits, dims)).astype(np.float32)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("e").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            if not batch.num_rows:
+                continue
+            x = _decoded(batch.column("code"))[1].astype(np.float32)
             for r in range(STARTS):
                 mark = ((x @ planes[r].T) > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
-                yield pa.record_batch([pa.array((mark * STARTS + r).astype(np.int64)), batch.column("id"), batch.column("e")], names=["g", "id", "e"])
+                yield pa.record_batch([pa.array((mark * STARTS + r).astype(np.int64)), batch.column("id"), batch.column("code")], names=["g", "id", "code"])
 
-    starts = _in_parts(vectors.mapInArrow(block, "g long, id long, e array<float>"))
-    graph = written(best(_meet(starts, DEGREE).dropDuplicates(["u", "v"]), DEGREE), "graph")
+    starts = _in_parts(codes.mapInArrow(block, "g long, id long, code binary"))
+    starts = starts.select("g", "id", "code", F.lit(None).cast("double").alias("bar"), F.lit(True).alias("fresh"))
+    first = _meet(starts, DEGREE)
+    graph = written(_merged(first.limit(0), first, DEGREE), "graph")
     for _ in range(ROUNDS):
-        members = both_ways(graph).select(F.col("u").alias("g"), F.col("v").alias("id")).unionByName(vectors.select(F.col("id").alias("g"), "id"))
-        found = _meet(members.join(vectors, "id").select("g", "id", "e"), PARTNERS)
-        graph = written(best(found.unionByName(graph).dropDuplicates(["u", "v"]), DEGREE), "graph")
+        own = codes.select(F.col("id").alias("g"), "id", F.lit(False).alias("fresh"))
+        members = both_ways(graph).select(F.col("u").alias("g"), F.col("v").alias("id"), "fresh").unionByName(own)
+        barred = codes.join(_last(graph, DEGREE), "id", "left")
+        found = _meet(members.join(barred, "id").select("g", "id", "code", "bar", "fresh"), PARTNERS)
+        graph = written(_merged(graph, found, DEGREE), "graph")
     return graph
 
 
@@ -121,18 +171,53 @@ def _in_parts(starts: DataFrame) -> DataFrame:
     if large.count() <= BROADCAST_BLOCKS:
         large = F.broadcast(large)
     parts = F.ceil(F.coalesce("members", F.lit(1)) / PART)
-    return starts.join(large, "g", "left").select(F.xxhash64("g", F.pmod(F.xxhash64("id", "g"), parts)).alias("g"), "id", "e")
+    dealt = F.xxhash64("g", F.pmod(F.xxhash64("id", "g"), parts))
+    return starts.join(large, "g", "left").withColumn("g", dealt).drop("members")
 
 
 def both_ways(graph: DataFrame) -> DataFrame:
-    back = best(graph, REVERSE, "v").select(F.col("v").alias("u"), F.col("u").alias("v"), "s")
-    return graph.unionByName(back).dropDuplicates(["u", "v"])
+    """The graph and its reverse, the REVERSE best a node; fresh where every direction of it is."""
+    back = best(graph, REVERSE, "v").select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "fresh")
+    return graph.unionByName(back).groupBy("u", "v").agg(F.max("s").alias("s"), F.bool_and("fresh").alias("fresh"))
 
 
 def _inner(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
 
 
+def search(graph: DataFrame, codes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(u, v, s): the BEAM best found of each node of `asked` (id).
+
+    A node's neighbours travel with it, codes and all (DEGREE + REVERSE at most), so a step is one join of the beam's
+    fresh members with them; only what beats the beam's last leaves it.
+    """
+    named = codes.select(F.col("id").alias("w"), F.col("code").alias("w_code"))
+    around = both_ways(graph).select("u", F.col("v").alias("w")).join(named, "w")
+    around = around.groupBy(F.col("u").alias("v")).agg(F.collect_list(F.struct("w", "w_code")).alias("near"))
+    around = written(around.select("v", F.col("near.w").alias("ws"), F.col("near.w_code").alias("codes")), "around")
+    asked = written(codes.join(asked, "id", "left_semi"), "asked")
+    beam = written(graph.select("u", "v", "s", F.lit(True).alias("fresh")).join(asked.select(F.col("id").alias("u")), "u", "left_semi"), "beam")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                q_scale, q = _decoded(b.column("q"))
+                w_scale, w = _decoded(b.column("codes").flatten())
+                row = np.repeat(np.arange(b.num_rows), b.column("ws").value_lengths().to_numpy())
+                u, v = b.column("u").to_numpy()[row], b.column("ws").flatten().to_numpy()
+                s = np.einsum("ij,ij->i", q.astype(np.float32)[row], w.astype(np.float32)) * q_scale[row] * w_scale
+                bar = b.column("bar").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                fine = (u != v) & (s > bar[row])
+                yield pa.record_batch([pa.array(u[fine]), pa.array(v[fine]), pa.array(s[fine])], names=["u", "v", "s"])
+
+    for _ in range(HOPS):
+        wanted = asked.join(_last(beam, BEAM), "id", "left").select(F.col("id").alias("u"), F.col("code").alias("q"), "bar")
+        front = beam.filter("fresh").select("u", "v").join(wanted, "u").join(around, "v").select("u", "q", "bar", "ws", "codes")
+        beam = written(_merged(beam, front.mapInArrow(score, _EDGE), BEAM), "beam")
+    return beam
+
+
 def nearest(embeddings: DataFrame, every: int = 20, k: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score for each vec_id divisible by `every`: its k nearest found, itself left out.
 
@@ -143,33 +228,16 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = NEAREST) -> DataFra
     rows = usable(embeddings)
     known = written(nodes(rows, k), "nodes")
     n, dims = known.agg(F.count(F.lit(1)), F.max(F.size("e"))).collect()[0]
-    known = known.filter(F.size("e") == (dims or 0))
-    vectors = written(known.select("id", F.transform("e", lambda a: a.cast("float")).alias("e")), "vectors")
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    graph = build_graph(vectors, n, dims)
-    way = written(both_ways(graph).select(F.col("u").alias("v"), F.col("v").alias("w")), "ways")
+    known = known.filter(F.size("e") == dims)
+    codes = written(coded(known), "codes")
+    graph = build_graph(codes, n, dims)
     # Every query of a group of equal vectors, however many: a crowded vector's rows are split by the skew join.
     queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "e").distinct()
     queries = written(queries.join(known.select("e", F.col("id").alias("u")), "e").select("query_id", "u"), "queries")
-    asked = known.join(queries.select(F.col("u").alias("id")).distinct(), "id", "left_semi")
-    asked = written(asked.select(F.col("id").alias("u"), F.transform("e", lambda a: a.cast("float")).alias("q")), "asked")
-    beam = written(graph.join(asked.select("u"), "u"), "beam")
-    done = None
-    for _ in range(HOPS):
-        front = beam.select("u", "v") if done is None else beam.select("u", "v").join(done, ["u", "v"], "left_anti")
-        front = written(front, "front")
-        done = front if done is None else done.unionByName(front)
-        steps = front.join(way, "v").select("u", F.col("w").alias("v")).filter("u != v").distinct().join(beam.select("u", "v"), ["u", "v"], "left_anti")
-        scored = steps.join(vectors.withColumnRenamed("id", "v"), "v").join(asked, "u")
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("e", "q"))
-                yield pa.record_batch([b.column("u"), b.column("v"), pa.array(np.einsum("ij,ij->i", x, y).astype(np.float64))], names=["u", "v", "s"])
-
-        beam = written(best(beam.unionByName(scored.select("u", "v", "e", "q").mapInArrow(score, _EDGE)), BEAM), "beam")
-    short = best(beam, 2 * k).select("u", "v").unionByName(asked.select("u", F.col("u").alias("v")))
+    asked = queries.select(F.col("u").alias("id")).distinct()
+    short = best(search(graph, codes, asked), RESCORED * k).select("u", "v").unionByName(asked.select(F.col("id").alias("u"), F.col("id").alias("v")))
     left = known.select(F.col("id").alias("u"), F.col("e").alias("a"))
     right = known.select(F.col("id").alias("v"), F.col("ids").alias("vec_ids"), F.col("e").alias("b"))
     exact = short.join(left, "u").join(right, "v").select("u", "vec_ids", _inner(F.col("a"), F.col("b")).alias("score"))
