@@ -50,3 +50,17 @@ def test_crowded_start_block_is_dealt_into_parts(spark):
     rows = [(7, i, [float(i)]) for i in range(5000)] + [(8, i, [float(i)]) for i in range(10)]
     parts = ann._in_parts(spark.createDataFrame(rows, "g long, id long, e array<float>")).groupBy("g").count().collect()
     assert len(parts) == 6 and sum(p["count"] for p in parts) == 5010 and max(p["count"] for p in parts) < 1300
+
+
+def test_codes_keep_scale_and_sign(spark):
+    rows = [(1, [1.0, -127.0, 0.4]), (2, [1e300, 5e299, 0.0]), (3, [5e-324, 0.0, -5e-324])]
+    table = ann.coded(spark.createDataFrame(rows, "id long, e array<double>")).orderBy("id").toArrow()
+    scale, x = ann._decoded(table.column("code").combine_chunks())
+    assert x.tolist() == [[1, -127, 0], [127, 64, 0], [1, 0, -1]]
+    assert scale[0] == 1.0 and scale[2] == 5e-324
+
+
+def test_merged_lists_know_what_is_new(spark):
+    old = spark.createDataFrame([(1, 2, 5.0), (1, 3, 1.0)], "u long, v long, s double")
+    new = spark.createDataFrame([(1, 2, 5.0), (1, 4, 2.0), (1, 4, 2.0)], "u long, v long, s double")
+    assert {(r.v, r.fresh) for r in ann._merged(old, new, 2).collect()} == {(2, False), (4, True)}
