@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, table
-from tidewire.operators import applied, attention, signals, stories, texts
+from tidewire.operators import applied, attention, reports, signals, stories, texts
+from tidewire.plans.reports_sql import reports_sql
 
 _ON_ARTICLES = {
     "source_history": stories.source_history, "heatmap": stories.heatmap, "hourly_velocity": stories.hourly_velocity, "daily_volume": stories.daily_volume,
@@ -18,6 +19,9 @@ _ON_ARTICLES = {
     "source_breakdown": attention.source_breakdown, "navigation": attention.navigation, "engagement": attention.engagement, "daily_mood": attention.daily_mood,
     "freshest": attention.freshest, "wire_page": attention.wire_page, "followed_stories": attention.followed_stories,
     "entry_times": applied.entry_times, "first_seen": applied.first_seen, "current_rows": applied.current_rows,
+    "viewpoint_tiers": reports.viewpoint_tiers, "story_text": reports.story_text, "top_sample": reports.top_sample, "provider_mix": reports.provider_mix, "adoption": reports.adoption,
+    "alert_engagement": reports.alert_engagement, "window_quality": reports.window_quality, "merged_nodes": reports.merged_nodes, "trending": reports.trending, "story_sessions": reports.story_sessions,
+    "first_impressions": reports.first_impressions, "groomed_queue": reports.groomed_queue, "error_streaks": reports.error_streaks, "day_articles": reports.day_articles,
 }
 _ON_TABLES = {
     "visitors": ("events", stories.visitors), "reading_time": ("documents", texts.reading_time), "page_links": ("pages", texts.page_links),
@@ -26,6 +30,7 @@ _ON_TABLES = {
     "similar_to_first": ("embeddings", signals.similar_to_first), "turns": ("conversations", signals.turns), "visitor_hash": ("events", signals.visitor_hash),
     "quiet_titles": ("documents", applied.quiet_titles), "turn_overlap": ("conversations", applied.turn_overlap), "number_counts": ("documents", applied.number_counts),
     "text_tone": ("conversations", applied.text_tone), "ad_prices": ("events", applied.ad_prices),
+    "running_centroid": ("embeddings", reports.running_centroid), "clustering_quality": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v))),
 }
 
 
@@ -36,7 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     a, now = ARTICLES_SQL, f"TIMESTAMP '{AS_OF}'"
-    return {
+    return reports_sql() | {
         "source_history": f"""WITH a AS {a}, s AS (SELECT cluster_id, arg_min(source, (created_at, id)) AS source, count(DISTINCT source) AS ns FROM a GROUP BY 1),
           l AS (SELECT source, count(*) AS leads, count(*) FILTER (ns >= 2) AS corroborated, count(*) FILTER (ns = 1) AS solo FROM s GROUP BY 1),
           r AS (SELECT source, count(*) AS articles, count(*) FILTER (created_at >= {now} - INTERVAL 7 DAY AND created_at < {now}) AS week,
