@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, table
-from tidewire.operators import applied, attention, reports, signals, stories, texts
+from tidewire.operators import applied, attention, reports, signals, stories, texts, words
 from tidewire.plans.reports_sql import reports_sql
+from tidewire.plans.words_sql import words_sql
 
 _ON_ARTICLES = {
     "source_history": stories.source_history, "heatmap": stories.heatmap, "hourly_velocity": stories.hourly_velocity, "daily_volume": stories.daily_volume,
@@ -30,6 +31,9 @@ _ON_TABLES = {
     "similar_to_first": ("embeddings", signals.similar_to_first), "turns": ("conversations", signals.turns), "visitor_hash": ("events", signals.visitor_hash),
     "quiet_titles": ("documents", applied.quiet_titles), "turn_overlap": ("conversations", applied.turn_overlap), "number_counts": ("documents", applied.number_counts),
     "text_tone": ("conversations", applied.text_tone), "ad_prices": ("events", applied.ad_prices),
+    "title_keys": ("documents", words.title_keys), "folded_titles": ("documents", words.folded_titles), "cyrillic_titles": ("documents", words.cyrillic_titles),
+    "embedding_texts": ("documents", words.embedding_texts), "stem_counts": ("documents", words.stem_counts), "entity_counts": ("documents", words.entity_counts),
+    "turn_cosine": ("conversations", words.turn_cosine), "calibrated_distances": ("events", words.calibrated_distances), "centred_vectors": ("embeddings", words.centred_vectors),
     "running_centroid": ("embeddings", reports.running_centroid), "clustering_quality": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v))),
 }
 
@@ -41,7 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     a, now = ARTICLES_SQL, f"TIMESTAMP '{AS_OF}'"
-    return reports_sql() | {
+    return reports_sql() | words_sql() | {
         "source_history": f"""WITH a AS {a}, s AS (SELECT cluster_id, arg_min(source, (created_at, id)) AS source, count(DISTINCT source) AS ns FROM a GROUP BY 1),
           l AS (SELECT source, count(*) AS leads, count(*) FILTER (ns >= 2) AS corroborated, count(*) FILTER (ns = 1) AS solo FROM s GROUP BY 1),
           r AS (SELECT source, count(*) AS articles, count(*) FILTER (created_at >= {now} - INTERVAL 7 DAY AND created_at < {now}) AS week,

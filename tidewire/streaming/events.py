@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidewire.functions.scalars import entry_time
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,3 +29,39 @@ def hourly_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
         events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("hour"), "event_type", "n")
     )
+
+
+def restamped(events: DataFrame, now: str) -> DataFrame:
+    """Times far ahead of the clock or long past are set to it before the watermark, so no such row is lost (T-3)."""
+    at = entry_time(F.col("ts").cast("timestamp_ntz"), now).cast("timestamp")
+    return events.withColumn("ts", at)
+
+
+def sessions(events: DataFrame, gap: str = "24 hours", late: str = "2 hours") -> DataFrame:
+    """Runs of each type's events without a pause of `gap` (T-4, by time alone)."""
+    runs = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return runs.select(F.col("w.start").alias("first_at"), F.col("w.end").alias("ends_at"), "event_type", "n")
+
+
+def sliding_counts(events: DataFrame, length: str = "24 hours", step: str = "6 hours", late: str = "2 hours") -> DataFrame:
+    """Events by type in overlapping windows, for trends (T-7)."""
+    sums = events.withWatermark("ts", late).groupBy(F.window("ts", length, step).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return sums.select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def streaks(events: DataFrame, good: str = "view", limit: int = 3) -> DataFrame:
+    """After each batch, per user: the present run of rows other than `good`, and whether it pauses the user (T-9).
+
+    Rows of a batch count in order of time; the state is one number a user, and a null user is one user.
+    """
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run = state.get[0] if state.exists else 0
+        batch = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        fine = batch["event_type"].eq(good).to_numpy()[::-1]
+        run = int(fine.argmax()) if fine.any() else run + len(fine)
+        state.update((run,))
+        yield pd.DataFrame({"user_id": [key[0]], "run": [run], "paused": [run >= limit]})
+
+    rows = events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
+    return rows.applyInPandasWithState(advance, "user_id long, run long, paused boolean", "run long", "update", GroupStateTimeout.NoTimeout)
