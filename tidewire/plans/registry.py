@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, table
-from tidewire.operators import applied, attention, reports, signals, stories, texts, words
+from tidewire.operators import applied, attention, reports, scores, signals, stories, texts, words
 from tidewire.plans.reports_sql import reports_sql
+from tidewire.plans.scores_sql import scores_sql
 from tidewire.plans.words_sql import words_sql
 
 _ON_ARTICLES = {
@@ -20,6 +21,9 @@ _ON_ARTICLES = {
     "source_breakdown": attention.source_breakdown, "navigation": attention.navigation, "engagement": attention.engagement, "daily_mood": attention.daily_mood,
     "freshest": attention.freshest, "wire_page": attention.wire_page, "followed_stories": attention.followed_stories,
     "entry_times": applied.entry_times, "first_seen": applied.first_seen, "current_rows": applied.current_rows,
+    "homepage_scores": scores.homepage_scores, "trust_summary": scores.trust_summary, "coverage_balance": scores.coverage_balance, "editorial_signals": scores.editorial_signals,
+    "decayed_edges": scores.decayed_edges, "freshness_labels": scores.freshness_labels, "stance": scores.stance, "topic_links": scores.topic_links,
+    "reprocessing": scores.reprocessing, "weights_after": scores.weights_after, "retained": scores.retained,
     "viewpoint_tiers": reports.viewpoint_tiers, "story_text": reports.story_text, "top_sample": reports.top_sample, "provider_mix": reports.provider_mix, "adoption": reports.adoption,
     "alert_engagement": reports.alert_engagement, "window_quality": reports.window_quality, "merged_nodes": reports.merged_nodes, "trending": reports.trending, "story_sessions": reports.story_sessions,
     "first_impressions": reports.first_impressions, "groomed_queue": reports.groomed_queue, "error_streaks": reports.error_streaks, "day_articles": reports.day_articles,
@@ -33,6 +37,7 @@ _ON_TABLES = {
     "text_tone": ("conversations", applied.text_tone), "ad_prices": ("events", applied.ad_prices),
     "title_keys": ("documents", words.title_keys), "folded_titles": ("documents", words.folded_titles), "cyrillic_titles": ("documents", words.cyrillic_titles),
     "embedding_texts": ("documents", words.embedding_texts), "stem_counts": ("documents", words.stem_counts), "entity_counts": ("documents", words.entity_counts),
+    "copy_purity": ("documents", scores.copy_purity),
     "turn_cosine": ("conversations", words.turn_cosine), "calibrated_distances": ("events", words.calibrated_distances), "centred_vectors": ("embeddings", words.centred_vectors),
     "running_centroid": ("embeddings", reports.running_centroid), "clustering_quality": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v))),
 }
@@ -45,7 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     a, now = ARTICLES_SQL, f"TIMESTAMP '{AS_OF}'"
-    return reports_sql() | words_sql() | {
+    return reports_sql() | scores_sql() | words_sql() | {
         "source_history": f"""WITH a AS {a}, s AS (SELECT cluster_id, arg_min(source, (created_at, id)) AS source, count(DISTINCT source) AS ns FROM a GROUP BY 1),
           l AS (SELECT source, count(*) AS leads, count(*) FILTER (ns >= 2) AS corroborated, count(*) FILTER (ns = 1) AS solo FROM s GROUP BY 1),
           r AS (SELECT source, count(*) AS articles, count(*) FILTER (created_at >= {now} - INTERVAL 7 DAY AND created_at < {now}) AS week,

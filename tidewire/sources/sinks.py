@@ -24,3 +24,9 @@ def upserted(known: DataFrame, rows: DataFrame, keys: list[str], version: list[s
     both = known.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
     latest = F.max_by(F.struct(*known.columns), F.struct("_new", *version)).alias("r")
     return both.groupBy(*keys).agg(latest).select("r.*")
+
+
+def added(known: DataFrame, rows: DataFrame, keys: list[str], sums: list[str], latest: list[str]) -> DataFrame:
+    """The table after `rows` are added: `sums` add up, `latest` take the greater, by key; a null key is a key."""
+    both = known.unionByName(rows)
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in latest])
