@@ -89,11 +89,10 @@ def freshness_labels(articles: DataFrame) -> DataFrame:
 def stance(articles: DataFrame) -> DataFrame:
     """Per story the mean of its values and their population deviation; 0 of one article.
 
-    Values are summed as decimals, so that a mean half-way between two hundredths does not depend on their order.
+    A billionth is added before rounding to hundredths: halves go up, in whatever order sums were taken.
     """
-    mean = F.sum(F.col("value").cast("decimal(18,6)")).cast("double") / F.count("value")
-    sums = articles.groupBy("cluster_id").agg(mean.alias("m"), F.stddev_pop("value").alias("d"))
-    return sums.select("cluster_id", quantised(F.col("m"), 2).alias("mean"), quantised(F.col("d"), 2).alias("divergence"))
+    sums = articles.groupBy("cluster_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("d"))
+    return sums.select("cluster_id", quantised(F.col("m") + 1e-9, 2).alias("mean"), quantised(F.col("d") + 1e-9, 2).alias("divergence"))
 
 
 def topic_links(articles: DataFrame, most: int = 5) -> DataFrame:

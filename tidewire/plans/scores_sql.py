@@ -39,7 +39,7 @@ def scores_sql() -> dict[str, str]:
           SELECT doc_id, latin >= 24 AND {share} <= {_d("0.22")} AS ok, {_q(f"{_d('0.45')} * least(1::DOUBLE, latin / 24::DOUBLE) + {_d('0.4')} * (1 - least(1::DOUBLE, {share} / {_d('0.22')})) + {_d('0.15')}", 4)} AS purity FROM c""",
         "freshness_labels": f"""WITH s AS (SELECT source, floor({hours("max(created_at)")} * 60)::BIGINT AS minutes FROM {a} GROUP BY 1)
           SELECT *, CASE WHEN minutes <= 15 THEN 'fresh' WHEN minutes <= 45 THEN 'aging' ELSE 'stale' END AS label FROM s""",
-        "stance": f"WITH s AS (SELECT cluster_id, sum(value::DECIMAL(18, 6))::DOUBLE / count(value) AS m, stddev_pop(value) AS d FROM {a} GROUP BY 1) SELECT cluster_id, {_q('m', 2)} AS mean, {_q('d', 2)} AS divergence FROM s",
+        "stance": f"WITH s AS (SELECT cluster_id, avg(value) AS m, stddev_pop(value) AS d FROM {a} GROUP BY 1) SELECT cluster_id, {_q('m + 1e-9::DOUBLE', 2)} AS mean, {_q('d + 1e-9::DOUBLE', 2)} AS divergence FROM s",
         "topic_links": f"""WITH a AS {a}, c AS (SELECT DISTINCT category, cluster_id FROM a), s AS (SELECT DISTINCT category, source FROM a),
           x AS (SELECT l.category, r.category AS other, count(*) AS n FROM c l JOIN c r ON l.cluster_id = r.cluster_id AND l.category <> r.category GROUP BY 1, 2),
           y AS (SELECT l.category, r.category AS other, count(*) AS m FROM s l JOIN s r ON l.source = r.source AND l.category <> r.category GROUP BY 1, 2),
