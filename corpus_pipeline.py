@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import exact_dedup, mixing, packing, simhash, toxicity
+from tidewire.llm import exact_dedup, mixing, near_texts, packing, toxicity
 from tidewire.llm._store import written
 
 
@@ -20,8 +20,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each component of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_texts.drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
