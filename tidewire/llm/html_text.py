@@ -51,17 +51,44 @@ SCOPE = frozenset("table td th caption html template button object".split())
 MOST_FRAMES = 12
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_SPAN = {name: re.compile(rf"(?:^|\s){name}\s*=\s*[\"']?\s*(\d{{1,3}})", re.I) for name in ("colspan", "rowspan", "start", "value")}
-_OPEN = re.compile(r"(?:^|\s)open(?:\s|=|/|$)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*\"|'[^']*'|\([^)]*\))+")
+_DIGITS = re.compile(r"\s*(\d{1,3})")
 _END_OF: dict[str, re.Pattern] = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Values by lower-case name, the first of each; a bare attribute has an empty one."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        value = m[2] or m[3] or m[4] or ""
+        found.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
+    return found
+
+
+def unseen(attrs: dict[str, str]) -> bool:
+    """Whether the attribute hidden, or display or visibility in the style, hides an element."""
+    if "hidden" in attrs:
+        return True
+    style = attrs.get("style", "").lower()
+    if "display" not in style and "visibility" not in style:
+        return False
+    set_to: dict[str, tuple[bool, str]] = {}
+    for declaration in _DECLARATION.findall(_COMMENT.sub(" ", style)):
+        name, _, value = declaration.partition(":")
+        value, mark, _ = value.partition("!")
+        name, strong = name.strip(), bool(mark)
+        if strong or not set_to.get(name, (False, ""))[0]:
+            set_to[name] = (strong, value.strip())
+    return set_to.get("display", (False, ""))[1] == "none" or set_to.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+
+
 class Node:
     __slots__ = ("tag", "attrs", "kids")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids = tag, attributes(attrs), []
 
 
 class TreeBuilder:
@@ -95,7 +122,7 @@ class TreeBuilder:
                     self.close_to("head")
                     head = False
                 node = self.root if tag == "html" else self.body
-                node.attrs = node.attrs or attrs
+                node.attrs = node.attrs or attributes(attrs)
             elif tag:
                 if tag == "head":
                     head = True
@@ -217,8 +244,8 @@ class Flow:
         return "".join(self.parts)
 
 
-def _number(attrs: str, name: str, default: int) -> int:
-    m = _SPAN[name].search(attrs) if attrs else None
+def _number(attrs: dict[str, str], name: str, default: int) -> int:
+    m = _DIGITS.match(attrs.get(name, ""))
     return int(m[1]) if m else default
 
 
@@ -282,7 +309,7 @@ class Renderer:
 
     def enter(self, node: Node):
         tag, flow = node.tag, self.flows[-1]
-        if tag in INVISIBLE or (node.attrs and _HIDDEN.search(node.attrs)):
+        if tag in INVISIBLE or (node.attrs and unseen(node.attrs)):
             return (), None
         if tag == "br":
             flow.end_line()
@@ -292,7 +319,7 @@ class Renderer:
             return (), None
         if tag == "img":
             return (), None
-        if tag == "details" and not _OPEN.search(node.attrs):
+        if tag == "details" and "open" not in node.attrs:
             kids = [k for k in node.kids if isinstance(k, Node) and k.tag == "summary"][:1]
             flow.line()
             return kids, self.flows[-1].line
