@@ -50,6 +50,14 @@ def running_centroid(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "label", F.count(x).over(so_far).alias("n"), quantised(F.avg(x).over(so_far), 4).alias("mean"))
 
 
+def running_centroid_vector(vectors: DataFrame) -> DataFrame:
+    """The mean vector of each label as vectors arrive, a row for each component (A19, T-5)."""
+    parts = vectors.select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
+    so_far = Window.partitionBy("label", "i").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col("x").cast("double")
+    return parts.select("vec_id", "label", "i", F.count(x).over(so_far).alias("n"), quantised(F.avg(x).over(so_far), 4).alias("mean"))
+
+
 def provider_mix(articles: DataFrame, fallback: str = "purchase") -> DataFrame:
     """Per source the share of `fallback` rows in the last day and week, and its rise."""
     of = lambda h: (F.count_if(_since(h) & (F.col("category") == fallback)), F.count_if(_since(h)))
@@ -83,9 +91,9 @@ def clustering_quality(assigned: DataFrame) -> DataFrame:
     return out.select("*", _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def vector_clusters(vectors: DataFrame, first: int = 10) -> DataFrame:
-    """Labels beside a cluster by the largest of the first components."""
-    head = F.slice("embedding", 1, first)
+def vector_clusters(vectors: DataFrame, first: int | None = 10) -> DataFrame:
+    """Labels beside a cluster by the largest of the first components, or of all (None)."""
+    head = F.col("embedding") if first is None else F.slice("embedding", 1, first)
     return vectors.select("label", F.array_position(head, F.array_max(head)).alias("found"))
 
 

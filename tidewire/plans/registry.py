@@ -40,6 +40,8 @@ _ON_TABLES = {
     "copy_purity": ("documents", scores.copy_purity),
     "turn_cosine": ("conversations", words.turn_cosine), "calibrated_distances": ("events", words.calibrated_distances), "centred_vectors": ("embeddings", words.centred_vectors),
     "running_centroid": ("embeddings", reports.running_centroid), "clustering_quality": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v))),
+    "running_centroid_vector": ("embeddings", reports.running_centroid_vector),
+    "clustering_quality_vector": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v, first=None))),
 }
 
 

@@ -23,6 +23,9 @@ def reports_sql() -> dict[str, str]:
           SELECT category, to_json(list(struct_pack(source := source, n := n) ORDER BY place))::VARCHAR AS sample FROM p GROUP BY 1""",
         "running_centroid": f"""SELECT vec_id, label, count(embedding[1]) OVER w AS n, {_q("avg(embedding[1]::DOUBLE) OVER w", 4)} AS mean FROM embeddings
           WINDOW w AS (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING)""",
+        "running_centroid_vector": f"""WITH p AS (SELECT vec_id, label, unnest(range(len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+          SELECT vec_id, label, i, count(x) OVER w AS n, {_q("avg(x) OVER w", 4)} AS mean FROM p
+          WINDOW w AS (PARTITION BY label, i ORDER BY vec_id ROWS UNBOUNDED PRECEDING)""",
         "provider_mix": f"""WITH s AS (SELECT source, {ratio(f"count(*) FILTER (category = 'purchase' AND {since(24)})", f"count(*) FILTER {since(24)}")} AS day,
             {ratio(f"count(*) FILTER (category = 'purchase' AND {since(168)})", f"count(*) FILTER {since(168)}")} AS week FROM {a} GROUP BY 1)
           SELECT source, day, week, {_q("coalesce(day, 0::DOUBLE) - coalesce(week, 0::DOUBLE)")} AS rise FROM s""",
@@ -33,6 +36,10 @@ def reports_sql() -> dict[str, str]:
           t AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS tp FROM n), p AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS p FROM (SELECT sum(n) AS n FROM n GROUP BY found)),
           g AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS g FROM (SELECT sum(n) AS n FROM n GROUP BY label)), o AS (SELECT tp, p - tp AS fp, g - tp AS fn FROM t, p, g)
           SELECT tp, fp, fn, {ratio("tp", "tp + fp")} AS precision, {ratio("tp", "tp + fn")} AS recall, {ratio("2 * tp", "2 * tp + fp + fn")} AS f1 FROM o""",
+        "clustering_quality_vector": f"""WITH v AS (SELECT label, list_position(embedding, list_max(embedding)) AS found FROM embeddings), n AS (SELECT label, found, count(*) AS n FROM v GROUP BY 1, 2),
+          t AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS tp FROM n), p AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS p FROM (SELECT sum(n) AS n FROM n GROUP BY found)),
+          g AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS g FROM (SELECT sum(n) AS n FROM n GROUP BY label)), o AS (SELECT tp, p - tp AS fp, g - tp AS fn FROM t, p, g)
+          SELECT tp, fp, fn, {ratio("tp", "tp + fp")} AS precision, {ratio("tp", "tp + fn")} AS recall, {ratio("2 * tp", "2 * tp + fp + fn")} AS f1 FROM o""",
         "window_quality": f"""WITH s AS (SELECT category, {topic} AS k, max(created_at) > min(created_at) + INTERVAL 24 HOUR AS long, count(DISTINCT source) AS ns FROM {a} GROUP BY 1, 2),
           o AS (SELECT category, count(*) AS groups, count(*) FILTER (long) AS spanning, count(*) FILTER (ns = 1) AS single FROM s GROUP BY 1) SELECT *, {ratio("100.0::DOUBLE * single", "groups")} AS single_share FROM o""",
         "merged_nodes": f"""WITH n AS (SELECT source, category, count(*) AS mentions, avg(value) AS tone FROM {a} GROUP BY 1, 2)
