@@ -42,7 +42,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: A trained model and a tokenizer are beyond SQL; tests/llm holds each stage against a plain version.
+#: A trained model and a tokenizer are beyond SQL. tests/llm holds near copies, packing and exact groups against plain
+#: versions; the toxicity stage and run() as a whole are compared with nothing.
 ORACLE_SQL = None
 
 
