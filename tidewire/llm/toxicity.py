@@ -9,6 +9,7 @@ document is scored over its whole text.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,20 +29,24 @@ GRADES = 4
 LEAST_ROWS, LEAST_CHI2, MOST_FEATURES = 3, 12.0, 20_000
 #: A document is toxic from this probability of a grade above 0 on.
 THRESHOLD = 0.5
-#: A word that no clean sampled row has counts as telling from so many toxic rows on.
+#: Feature hashes that the fit reads of a sampled row at most, the smallest first: with SAMPLE, what the driver holds
+#: is 4 bytes * 2 * 4000 * 4096 = 131 MB at most, however long the texts are. Scoring reads every feature.
+ROW_FEATURES = 4096
+#: Steps and weight decay of the fit.
 _STEPS, _L2 = 400, 1e-3
+#: Words whose features a worker remembers.
+_CACHED_WORDS = 300_000
+
+
+def features_of(word: bytes) -> list[int]:
+    """Hashes of a word, whole (with an end mark) and by its leading bytes."""
+    crc = zlib.crc32
+    return [crc(word + b"$"), *[crc(word[:n]) for n in PREFIXES if len(word) >= n]]
 
 
 def features(text: bytes) -> set[int]:
-    """Hashes of a text's distinct words, whole (with an end mark) and by their leading bytes."""
-    crc, out = zlib.crc32, set()
-    for w in set(words(text)):
-        out.add(crc(w + b"$"))
-        for n in PREFIXES:
-            if len(w) < n:
-                break
-            out.add(crc(w[:n]))
-    return out
+    """Hashes of a text's distinct words."""
+    return {k for w in set(words(text)) for k in features_of(w)}
 
 
 @dataclass
@@ -51,17 +56,24 @@ class OrdinalModel:
     weights: dict[int, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=lambda: [30.0, 31.0, 32.0])  # nothing is toxic
 
+    def __post_init__(self) -> None:
+        self._known: set[bytes] = set()
+        self._telling: dict[bytes, list[int]] = {}
+
     def grades(self, text: bytes) -> np.ndarray:
-        """Probability of each grade."""
-        w = self.weights
-        crc, seen, z = zlib.crc32, set(), 0.0
-        for word in set(words(text)):
-            keys = [crc(word + b"$")]
-            keys += [crc(word[:n]) for n in PREFIXES if len(word) >= n]
-            for k in keys:
-                if k in w and k not in seen:
-                    seen.add(k)
-                    z += w[k]
+        """Probability of each grade. Each feature counts once, however many words have it."""
+        found = set(words(text))
+        if new := found - self._known:
+            if len(self._known) + len(new) > _CACHED_WORDS:
+                self._known.clear()
+                self._telling.clear()
+                new = found
+            self._known |= new
+            for word in new:
+                if keys := [k for k in features_of(word) if k in self.weights]:
+                    self._telling[word] = keys
+        keys = {k for word in found & self._telling.keys() for k in self._telling[word]}
+        z = math.fsum(self.weights[k] for k in keys)
         below = _sigmoid(np.array(self.thresholds) - z)
         return np.diff(np.concatenate([[0.0], below, [1.0]]))
 
@@ -70,18 +82,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def sampled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature hashes and toxic flags of at most `sample` rows a label. Rows without a label are left out."""
+def sampled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, row_features: int = ROW_FEATURES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Feature hashes and toxic flags of at most `sample` doc_ids a label, smallest MD5 of the doc_id first.
+
+    Labels other than 0 and 1, null ids and rows without a label are left out; of repeated labels of a doc_id the
+    toxic one counts; of documents that share a doc_id, the one of smallest MD5 of the text. Null text is empty.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = known.filter("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.filter("toxic = 0").orderBy(order, "doc_id").limit(sample))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # 2 * sample ids at most
+    rows = rows.join(F.broadcast(chosen), "doc_id")  # 2 * sample ids at most
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.md5("text")).alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [np.fromiter(sorted(features(t)), np.uint32).tobytes() for t in texts(batch)]
+            hashes = [np.array(sorted(features(t))[:row_features], np.uint32).tobytes() for t in texts(batch)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(hashes, pa.binary())], names=["doc_id", "toxic", "hashes"])
 
     got = rows.mapInArrow(of, "doc_id long, toxic int, hashes binary").toArrow().sort_by("doc_id")
@@ -89,15 +106,18 @@ def sampled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
 
 
 def fit(hashes: list[np.ndarray], toxic: np.ndarray) -> OrdinalModel:
-    """The model of sampled rows; one that calls nothing toxic if a label is absent."""
+    """The model of sampled rows; one that calls nothing toxic if a label is absent.
+
+    Counts are taken over sorted 32-bit hashes, and only the kept features get an index: memory stays a few times that
+    of the hashes themselves.
+    """
     n, n_toxic = len(toxic), int(toxic.sum())
     if not n_toxic or n_toxic == n:
         return OrdinalModel()
-    every = np.concatenate(hashes)
-    row = np.repeat(np.arange(n), [len(h) for h in hashes])
-    names, index = np.unique(every, return_inverse=True)
-    df = np.bincount(index, minlength=len(names)).astype(float)
-    hit = np.bincount(index, weights=toxic[row], minlength=len(names))
+    names, df = np.unique(np.concatenate(hashes), return_counts=True)
+    hit = np.zeros(len(names))
+    of_toxic, times = np.unique(np.concatenate([h for h, t in zip(hashes, toxic, strict=True) if t]), return_counts=True)
+    hit[np.searchsorted(names, of_toxic)] = times
     expect = df * n_toxic / n
     chi2 = (hit - expect) ** 2 / (expect * (1 - n_toxic / n) * np.maximum(1e-9, 1 - df / n) + 1e-9)
     lift = (hit / n_toxic) / np.maximum(1e-9, (df - hit + 0.5) / (n - n_toxic + 1))
@@ -105,10 +125,15 @@ def fit(hashes: list[np.ndarray], toxic: np.ndarray) -> OrdinalModel:
     kept = kept[np.argsort(-chi2[kept], kind="stable")][:MOST_FEATURES]
     if not len(kept):
         return OrdinalModel()
-    place = np.full(len(names), -1)
-    place[kept] = np.arange(len(kept))
-    use = place[index] >= 0
-    rows, cols = row[use], place[index][use]
+    kept = np.sort(kept)
+    held = names[kept]
+    rows, cols = [], []
+    for i, h in enumerate(hashes):
+        at = np.searchsorted(held, h)
+        at = at[held[np.minimum(at, len(held) - 1)] == h]
+        rows.append(np.full(len(at), i))
+        cols.append(at)
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
     telling = np.bincount(rows, minlength=n)
     cuts = np.quantile(telling[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + (telling > cuts[0]) + (telling > cuts[1]), 0)
@@ -153,12 +178,14 @@ def severity(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOLD)
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that the model does not call toxic, in one pass; all columns stay."""
-    flags = [f for f in docs.schema.fields]
+    """The rows of `docs` that the model does not call toxic, in one pass; all columns stay, whatever their names.
+
+    Null and empty texts stay; repeated rows share a verdict; an empty table gives an empty one.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fine = [model.grades(t)[0] > 1 - threshold for t in texts(batch)]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
-    return docs.select(*[f.name for f in flags]).mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
