@@ -2,16 +2,23 @@
 
 A tree builder reads any markup: it opens and closes what the markup leaves out (html, head, body, p, li, dt, dd,
 option, tbody, tr, td), keeps script and style bodies out of the text, and ignores stray end tags. Rendering walks the
-tree with its own stack, so depth is no limit: blocks start lines, paragraphs and headings stand apart by an empty
-line, list items carry bullets or numbers and hang, table cells align in columns, pre keeps its white space. Hidden
-are elements with the hidden attribute, display:none or visibility:hidden, form inputs, closed details but their
-summary, and head, script, style, template, noscript, iframe, object and their like. All other text comes out whole.
+tree with its own stack: blocks start lines, paragraphs and headings stand apart by an empty line, list items carry
+bullets or numbers and hang, table cells align in columns, pre keeps its white space. Hidden are elements with the
+hidden attribute or display:none, those with visibility:hidden but for parts that are set visible again, form inputs,
+closed details but their summary, and head, script, style, template, noscript, iframe, object and their like. All
+other text comes out whole.
+
+Time and output stay in proportion to the page, whatever the markup: tags are read in one pass, elements nested deeper
+than MOST_DEPTH become siblings, indents end at MOST_FRAMES levels (marks and cells stay), and table cells are padded
+up to column WIDEST_LINE only. None of these bounds drops text.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,15 +54,22 @@ CLOSES = {
     "tfoot": ({"tbody", "thead", "tfoot", "caption", "colgroup", "tr", "td", "th"}, {"table"}),
 }
 SCOPE = frozenset("table td th caption html template button object".split())
-#: Nested lists, quotes and tables deeper than this are laid out without further indent.
+#: Lists, quotes and tables nested deeper than this keep their marks and cells, but get no further indent or columns.
 MOST_FRAMES = 12
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+#: Open elements; a start tag beyond them opens nothing, as in browsers.
+MOST_DEPTH = 512
+#: A column counts cells up to this width, cells are padded up to this column, and so many columns heed row spans.
+WIDEST_CELL, WIDEST_LINE, MOST_COLUMNS = 100, 240, 1000
+
+#: A tag without angle brackets in its attributes: all but a few. Others are walked quote by quote.
+_PLAIN_TAG = re.compile(r"<(?:/([a-zA-Z][^\s/<>]*+)[^<>]*+|([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+))>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_UNQUOTED = re.compile(r"[^>\"']*+")
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-_DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*\"|'[^']*'|\([^)]*\))+")
+_DECLARATION = re.compile(r"(?:[^;\"'(]++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|\([^)]*+(?:\)|\Z))++")
 _DIGITS = re.compile(r"\s*(\d{1,3})")
-_END_OF: dict[str, re.Pattern] = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+_END_OF: dict[str, re.Pattern] = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -67,13 +81,13 @@ def attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def unseen(attrs: dict[str, str]) -> bool:
-    """Whether the attribute hidden, or display or visibility in the style, hides an element."""
+def shown(attrs: dict[str, str]) -> str:
+    """What the attribute hidden and the style say: "none", "hidden", "visible", or nothing ("")."""
     if "hidden" in attrs:
-        return True
+        return "none"
     style = attrs.get("style", "").lower()
     if "display" not in style and "visibility" not in style:
-        return False
+        return ""
     set_to: dict[str, tuple[bool, str]] = {}
     for declaration in _DECLARATION.findall(_COMMENT.sub(" ", style)):
         name, _, value = declaration.partition(":")
@@ -81,7 +95,55 @@ def unseen(attrs: dict[str, str]) -> bool:
         name, strong = name.strip(), bool(mark)
         if strong or not set_to.get(name, (False, ""))[0]:
             set_to[name] = (strong, value.strip())
-    return set_to.get("display", (False, ""))[1] == "none" or set_to.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+    if set_to.get("display", (False, ""))[1] == "none":
+        return "none"
+    return {"hidden": "hidden", "collapse": "hidden", "visible": "visible"}.get(set_to.get("visibility", (False, ""))[1], "")
+
+
+class Tags:
+    """The tags of a page, in one pass: `next` gives (start, end, end tag or None, start tag or None, attributes)."""
+
+    def __init__(self, markup: str):
+        self.markup, self.last = markup, markup.rfind(">")
+        self.lost: set[int] = set()  # places outside quotes from which no tag ends
+
+    def next(self, at: int) -> tuple[int, int, str | None, str | None, str] | None:
+        markup = self.markup
+        while 0 <= (at := markup.find("<", at)):
+            if m := _PLAIN_TAG.match(markup, at):
+                return at, m.end(), m[1], m[2], m[3] or ""
+            if markup.startswith("<!--", at):
+                end = markup.find("-->", at + 4)
+                return at, len(markup) if end < 0 else end + 3, None, None, ""
+            if at > self.last:
+                return None  # no tag ends any more
+            after = markup[at + 1 : at + 2]
+            if after in ("!", "?"):
+                return at, markup.index(">", at) + 1, None, None, ""
+            if after == "/" and (m := _NAME.match(markup, at + 2)):
+                return at, markup.index(">", m.end()) + 1, m[0], None, ""
+            if m := _NAME.match(markup, at + 1):
+                end = self.tag_end(m.end())
+                return at, end + 1, None, m[0], markup[m.end() : end]
+            at += 1
+        return None
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > outside quotes that ends a tag, or of the next one where quotes never close."""
+        markup, passed, here = self.markup, [], at
+        while here not in self.lost:
+            passed.append(here)
+            here = _UNQUOTED.match(markup, here).end()
+            if here >= len(markup):
+                break
+            if markup[here] == ">":
+                return here
+            closing = markup.find(markup[here], here + 1)
+            if closing < 0:
+                break
+            here = closing + 1
+        self.lost.update(passed)
+        return markup.index(">", at)
 
 
 class Node:
@@ -98,21 +160,19 @@ class TreeBuilder:
         self.root, self.body = Node("html"), Node("body")
         self.root.kids.append(self.body)
         self.open = [self.root, self.body]
+        self.count = Counter()  # open elements by tag, below body
 
     def build(self, markup: str) -> Node:
-        at, head = 0, False
+        at, head, tags = 0, False, Tags(markup)
         while at < len(markup):
-            m = _TOKEN.search(markup, at)
-            text = markup[at : m.start() if m else len(markup)]
-            if text:
+            found = tags.next(at)
+            start, after, end, tag, attrs = found or (len(markup), len(markup), None, None, "")
+            if text := markup[at:start]:
                 if head and not text.isspace():
                     self.close_to("head")
                     head = False
                 self.text(text)
-            if not m:
-                break
-            at = m.end()
-            end, tag, attrs = m[1], (m[2] or m[4] or "").lower(), m[3] or m[5] or ""
+            at, tag = after, (tag or "").lower()
             if end:
                 if end.lower() == "head":
                     head = False
@@ -133,8 +193,9 @@ class TreeBuilder:
                 if tag in RAW:
                     stop = _END_OF[tag].search(markup, at)
                     self.open[-1].kids.append(markup[at : stop.start() if stop else len(markup)])
-                    at = stop.end() if stop else len(markup)
-                    self.open.pop()
+                    closing = markup.find(">", stop.end()) if stop else -1
+                    at = closing + 1 if closing >= 0 else len(markup)
+                    self.cut(len(self.open) - 1)
         return self.root
 
     def text(self, text: str) -> None:
@@ -144,7 +205,7 @@ class TreeBuilder:
         if tag in ENDS_P:
             self.close({"p"}, SCOPE)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         if tag in CLOSES:
             what, stop = CLOSES[tag]
             self.close(what, stop)
@@ -157,13 +218,21 @@ class TreeBuilder:
             self.push("tr", "")
         node = Node(tag, attrs)
         self.open[-1].kids.append(node)
-        if tag not in VOID:
+        if tag not in VOID and (len(self.open) < MOST_DEPTH or tag in RAW or tag in INVISIBLE or shown(node.attrs) in ("none", "hidden")):
             self.open.append(node)
+            self.count[tag] += 1
 
     def push(self, tag: str, attrs: str) -> None:
         node = Node(tag, attrs)
         self.open[-1].kids.append(node)
         self.open.append(node)
+        self.count[tag] += 1
+
+    def cut(self, at: int) -> None:
+        """Closes the open elements from `at` on."""
+        for node in self.open[at:]:
+            self.count[node.tag] -= 1
+        del self.open[at:]
 
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -180,6 +249,8 @@ class TreeBuilder:
     def within(self, what, stop) -> int:
         """Place of the outermost open element of `what` above the nearest of `stop`; 0 if there is none."""
         found = 0
+        if not any(self.count[t] for t in what):
+            return 0
         for i in range(len(self.open) - 1, 1, -1):
             if self.open[i].tag in what:
                 found = i
@@ -191,12 +262,12 @@ class TreeBuilder:
 
     def close(self, what, stop) -> None:
         if at := self.within(what, stop):
-            del self.open[at:]
+            self.cut(at)
 
     def close_to(self, tag: str) -> None:
         for i in range(len(self.open) - 1, 1, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self.cut(i)
                 return
 
 
@@ -254,33 +325,42 @@ def _hang(text: str, mark: str) -> str:
 
 
 def align(rows: list[list[tuple[str, int, int]]]) -> str:
-    """Rows of (text, colspan, rowspan) as lines with columns of equal width, two spaces apart."""
-    grid: list[dict[int, str]] = []
+    """Rows of (text, colspan, rowspan) as lines with columns of equal width, two spaces apart.
+
+    Cells wider than WIDEST_CELL run over; what would begin beyond WIDEST_LINE follows two spaces after its left cell.
+    """
+    grid: list[dict[int, list[str]]] = []
     taken: dict[int, int] = {}  # column -> rows that a cell above still covers
+    width: dict[int, int] = {}
     for row in rows:
         cells, at = {}, 0
         below = {c: n - 1 for c, n in taken.items() if n > 1}
         for text, across, down in row:
             while taken.get(at, 0) > 0:
                 at += 1
-            cells[at] = text
-            for c in range(at, at + max(1, across)):
-                if down > 1:
-                    below[c] = down - 1
-            at += max(1, across)
+            lines = cells[at] = text.split("\n")
+            width[at] = max(width.get(at, 0), min(WIDEST_CELL, max(map(len, lines))))
+            across = max(1, across)
+            if down > 1 and at < MOST_COLUMNS:
+                below.update(dict.fromkeys(range(at, min(at + across, MOST_COLUMNS)), down - 1))
+            at += across
         grid.append(cells)
         taken = below
-    lines_of = [{c: t.split("\n") for c, t in cells.items()} for cells in grid]
-    width: dict[int, int] = {}
-    for cells in lines_of:
-        for c, lines in cells.items():
-            width[c] = max(width.get(c, 0), max(map(len, lines)))
-    order, out = sorted(width), []
-    for cells in lines_of:
+    begin, here = {}, 0
+    for c in sorted(width):
+        begin[c] = here
+        here += width[c] + 2
+    out = []
+    for cells in grid:
+        order = sorted(cells)
         for i in range(max((len(x) for x in cells.values()), default=0)):
-            last = max(cells)
-            line = [(cells[c][i] if c in cells and i < len(cells[c]) else "").ljust(width[c]) for c in order if c <= last]
-            out.append("  ".join(line).rstrip())
+            line, free = "", True
+            for c in order:
+                if i < len(cells[c]):
+                    if not free or begin[c]:
+                        line = (line + "  " if line else "") if begin[c] > WIDEST_LINE else line.ljust(begin[c] - 2) + "  " if line else " " * begin[c]
+                    line, free = line + cells[c][i], False
+            out.append(line.rstrip())
     return "\n".join(out)
 
 
@@ -291,15 +371,22 @@ class Renderer:
         self.flows = [Flow()]
         self.lists: list[list] = []  # [ordered, next number]
         self.tables: list[list] = []  # rows of the open tables
-        self.pre = 0
+        self.pre, self.mute = 0, False  # mute: inside visibility:hidden
         todo: list[tuple] = [(self.enter, root)]
         while todo:
             act, what = todo.pop()
             if act is None:
                 what()
             elif isinstance(what, str):
-                (self.flows[-1].exact if self.pre else self.flows[-1].text)(what)
+                if not self.mute:
+                    (self.flows[-1].exact if self.pre else self.flows[-1].text)(what)
             else:
+                style = shown(what.attrs) if what.attrs else ""
+                if style == "none" or what.tag in INVISIBLE:
+                    continue
+                if style and self.mute != (style == "hidden"):
+                    todo.append((None, functools.partial(setattr, self, "mute", self.mute)))
+                    self.mute = style == "hidden"
                 kids, leave = act(what)
                 if leave:
                     todo.append((None, leave))
@@ -309,8 +396,6 @@ class Renderer:
 
     def enter(self, node: Node):
         tag, flow = node.tag, self.flows[-1]
-        if tag in INVISIBLE or (node.attrs and unseen(node.attrs)):
-            return (), None
         if tag == "br":
             flow.end_line()
             return (), None
@@ -329,12 +414,19 @@ class Renderer:
             nested = len(self.lists) > 1
             flow.line(1 if nested else 2)
             return node.kids, lambda: (self.lists.pop(), self.flows[-1].line(1 if nested else 2))
-        if tag == "li" and framed:
+        if tag == "li":
             ordered, number = self.lists[-1] if self.lists else (False, 0)
             if ordered:
                 number = _number(node.attrs, "value", number)
                 self.lists[-1][1] = number + 1
-            return self.frame(node, lambda text: _hang(text, f"{number}. " if ordered else "- "))
+            mark = f"{number}. " if ordered else "- "
+            if framed:
+                return self.frame(node, lambda text: _hang(text, mark))
+            flow.line()
+            if not self.mute:
+                flow.exact(mark)
+                flow.bare = True
+            return node.kids, lambda: self.flows[-1].line()
         if tag == "blockquote" and framed:
             return self.frame(node, lambda text: _hang(text, "  "), 2)
         if tag == "dd" and framed:
@@ -362,6 +454,7 @@ class Renderer:
             return node.kids, lambda: self.flows[-1].line(apart)
         if tag in ("td", "th"):
             flow.space = True
+            return node.kids, functools.partial(setattr, flow, "space", True)
         return node.kids, None
 
     def frame(self, node: Node, shape, apart: int = 1):
