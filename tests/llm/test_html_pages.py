@@ -81,7 +81,7 @@ def test_visible_parts_of_hidden_elements():
 def test_depth_keeps_text_and_marks():
     deep = page_text("<ul><li>" * 40 + "x" + "<table><tr><td>a<td>b<tr><td>c<td>d</table>")
     assert deep.split().count("-") == 40 and [w for w in deep.split() if w != "-"] == ["x", "a", "b", "c", "d"]
-    assert page_text("<div>" * 5000 + "x<p hidden>no</p>y") == "x\n\ny" or page_text("<div>" * 5000 + "x<p hidden>no</p>y").split() == ["x", "y"]
+    assert page_text("<div>" * 5000 + "x<p hidden>no</p>y") == "xy"
 
 
 def test_wide_cells_do_not_multiply():
