@@ -1,13 +1,16 @@
-"""Line deduplication within an edit bound of one word, by a deletion-neighbourhood join.
-
-A line's neighbourhood is the line itself and the line with any one word left out, as hashed keys. Two lines of equal
-length that differ in one word share the key of that word's place left out; a line with one word more shares the
-shorter one's own key. Keys are joined by their smallest member, never pair by pair: within a key every member is in
-the bound of the first, so a template line with many fillings costs one row each. Edit distance is verified on the
-texts. A line goes if an earlier one (by doc_id, then line) equals it or is within the bound.
-
-Only lines that can have a neighbour emit their keys: an edit of one word leaves the first or the second half of a
-line as it was, so a line whose halves meet no other line's is out. That test loses nothing and spares most lines.
+"""Line deduplication within a bound of one edit, by a deletion-neighbourhood join.
+
+A line's neighbourhood is the line itself and the line with any one unit left out, as hashed keys. Two lines of equal
+length that differ in one unit share the key of that unit's place left out; a line with one unit more shares the
+shorter one's own key. Units are words for lines of WORDS words on, characters for shorter lines: the bound is one in
+eight words, or one in LEAST_CHARS characters. Keys are joined by their smallest member, never pair by pair: within a
+key and place every member is in the bound of the first, so a template line with many fillings costs one row each.
+Edit distance is verified on the texts. A line goes if an earlier one (by doc_id, then line) equals it or is within
+the bound.
+
+Only lines that can have a neighbour emit their keys: one edit leaves the first or the second half of a line as it
+was, so a line whose halves meet no other line's is out. That test loses nothing and spares most lines. Every exchange
+moves hashes, and of texts only the candidates' lines.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm._store import written
+from tidewire.llm._store import Table
 from tidewire.llm._texts import texts
 
-#: Lines of fewer words are only compared for equality: one word of few is too much of them.
-LEAST_WORDS = 8
+#: From so many words on a line may differ in a word; shorter ones in a character, from so many characters on.
+WORDS, LEAST_CHARS = 8, 20
 _MIX = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1
 
@@ -33,13 +36,28 @@ def line_words(line: bytes) -> list[bytes]:
     return line.split()
 
 
-def half_keys(tokens: list[bytes]) -> list[int]:
-    """Keys of the halves of a line, and of the halves that it would share with a line of one word more."""
-    n, out = len(tokens), []
+def views(line: bytes) -> list[tuple[int, list[bytes]]]:
+    """(kind, units) in which a line may have neighbours: 0 words, 1 characters.
+
+    A line of one word less than WORDS has both, as a line of WORDS words may be one word more.
+    """
+    words, out = line.split(), []
+    if len(words) >= WORDS - 1:
+        out.append((0, words))
+    if len(words) < WORDS:
+        chars = [c.encode() for c in b" ".join(words).decode()]
+        if len(chars) >= LEAST_CHARS - 1:
+            out.append((1, chars))
+    return out
+
+
+def half_keys(kind: int, units: list[bytes]) -> list[int]:
+    """Keys of the halves of a line, and of the halves that it would share with a line of one unit more."""
+    n, out, glue = len(units), [], b"" if kind else b" "
     for length in (n, n + 1):
         cut = length // 2
-        head, tail = b" ".join(tokens[:cut]), b" ".join(tokens[n - (length - cut) :])
-        out += [xxhash.xxh64_intdigest(head, 2 * length), xxhash.xxh64_intdigest(tail, 2 * length + 1)]
+        head, tail = glue.join(units[:cut]), glue.join(units[n - (length - cut) :])
+        out += [xxhash.xxh64_intdigest(head, 4 * length + 2 * kind), xxhash.xxh64_intdigest(tail, 4 * length + 2 * kind + 1)]
     return out
 
 
@@ -64,113 +82,145 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return short[i:] == long[i + 1 :] or (len(a) == len(b) and short[i + 1 :] == long[i + 1 :])
 
 
+def near_lines(a: bytes, b: bytes) -> bool:
+    """Whether two lines are within one edit: of a word if the longer has WORDS words, of a character if both have less."""
+    x, y = dict(views(a)), dict(views(b))
+    if 0 in x and 0 in y and max(len(x[0]), len(y[0])) >= WORDS and within_one(x[0], y[0]):
+        return True
+    return 1 in x and 1 in y and max(len(x[1]), len(y[1])) >= LEAST_CHARS and within_one(x[1], y[1])
+
+
 def _signed(x: int) -> int:
     x &= (1 << 64) - 1
     return x - (1 << 64) if x >> 63 else x
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(d, t, text): doc_id with null last, and a hash that tells rows of one doc_id apart."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    """(doc_id, d, t, text): d is doc_id with null last, t a hash that tells rows of one d apart."""
+    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LAST)).alias("d"), F.xxhash64(text, doc_id.isNull()).alias("t"), text.alias("text"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row a non-blank line: its place (d, t, p), 128 bits of its words, their number, and its half keys."""
+    """A row a non-blank line: its place (d, t, p), 128 bits of its words, and its half keys."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(10)]
+            out: list[list] = [[] for _ in range(6)]
             for d, t, text in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), texts(batch), strict=True):
                 for p, line in enumerate(text.split(b"\n")):
-                    tokens = line_words(line)
-                    if not tokens:
+                    words = line.split()
+                    if not words:
                         continue
-                    both = xxhash.xxh3_128_intdigest(b" ".join(tokens))
-                    keys = [_signed(k) for k in half_keys(tokens)] if len(tokens) >= LEAST_WORDS - 1 else [None] * 4
-                    for column, value in zip(out, (d, t, p, _signed(both >> 64), _signed(both), len(tokens), *keys), strict=True):
+                    both = xxhash.xxh3_128_intdigest(b" ".join(words))
+                    keys = [_signed(k) for kind, units in views(line) for k in half_keys(kind, units)]
+                    for column, value in zip(out, (d, t, p, _signed(both >> 64), _signed(both), keys), strict=True):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["d", "t", "p", "h1", "h2", "n", "k1", "k2", "k3", "k4"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["d", "t", "p", "h1", "h2", "ks"])
 
-    return _rows(docs).mapInArrow(split, "d long, t long, p int, h1 long, h2 long, n int, k1 long, k2 long, k3 long, k4 long")
+    return _rows(docs).select("d", "t", "text").mapInArrow(split, "d long, t long, p int, h1 long, h2 long, ks array<long>")
 
 
-def _candidates(distinct: DataFrame) -> DataFrame:
-    """(d, t, ps): first places of distinct lines whose half keys meet those of another line."""
-    keys = distinct.filter("k1 is not null").select("d", "t", "p", "h1", F.explode(F.array("k1", "k2", "k3", "k4")).alias("k"))
-    met = keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).filter("a != z").select("k")
-    return keys.join(met, "k", "left_semi").groupBy("d", "t").agg(F.collect_set("p").alias("ps"))
+def _met(keys: DataFrame, key: str, of: str) -> DataFrame:
+    """The keys that rows of two values of `of` or more have. Partial minima: a crowded key is small before the shuffle."""
+    return keys.groupBy(key).agg(F.min(of).alias("a"), F.max(of).alias("z")).filter("a != z").select(key)
 
 
 def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(d, t, p, line) of the places asked for."""
-    lines = F.transform(F.col("ps"), lambda p: F.struct(p.alias("p"), F.get(F.split("text", "\n"), p).alias("line")))
-    return _rows(docs).dropDuplicates(["d", "t"]).join(places, ["d", "t"]).select("d", "t", F.explode(lines).alias("x")).select("d", "t", "x.p", "x.line")
+    """(d, t, p, h1, h2, line) of the places asked for, each once."""
+    asked = places.groupBy("d", "t").agg(F.collect_list(F.struct("p", "h1", "h2")).alias("ps"))
+    lines = F.transform(F.col("ps"), lambda x: F.struct(x["p"].alias("p"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.get(F.split("text", "\n"), x["p"]).alias("line")))
+    return _rows(docs).join(asked, ["d", "t"]).select("d", "t", F.explode(lines).alias("x")).select("d", "t", "x.*").dropDuplicates(["d", "t", "p"])
 
 
 def _neighbour_keys(lines: DataFrame) -> DataFrame:
-    """(d, t, p, key, kind): kind 0 a place left out, 1 any place left out, 2 the line as it is."""
+    """(d, t, p, h1, key, at): the keys with a unit left out, at its place from 1, and of the whole line, at 0."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where, keys, kinds = [], [], []
+            where, keys, places = [], [], []
             for i, line in enumerate(texts(batch, "line")):
-                tokens = line_words(line)
-                whole, less = neighbourhood(tokens)
-                if len(tokens) >= LEAST_WORDS:
-                    at = np.array(less, np.uint64)
-                    placed = (at ^ (at >> np.uint64(29))) * np.uint64(_MIX) + np.arange(1, len(less) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                    keys += [placed, at]
-                    kinds += [np.zeros(len(less), np.int8), np.ones(len(less), np.int8)]
-                    where.append(np.full(2 * len(less), i))
-                keys.append(np.array([whole], np.uint64))
-                kinds.append(np.full(1, 2, np.int8))
-                where.append(np.full(1, i))
+                for kind, units in views(line):
+                    whole, less = neighbourhood(units)
+                    if len(units) < (LEAST_CHARS if kind else WORDS):
+                        less = []  # too short to be the longer one
+                    found = np.array([whole, *less], np.uint64) ^ np.uint64(_MIX if kind else 0)
+                    keys.append(found)
+                    places.append(np.arange(len(found), dtype=np.int32))
+                    where.append(np.full(len(found), i))
             if keys:
-                at = pa.array(np.concatenate(where))
+                row = pa.array(np.concatenate(where))
                 yield pa.record_batch(
-                    [batch.column(c).take(at) for c in ("d", "t", "p")] + [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds))],
-                    names=["d", "t", "p", "key", "kind"],
+                    [batch.column(c).take(row) for c in ("d", "t", "p", "h1")] + [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places))],
+                    names=["d", "t", "p", "h1", "key", "at"],
                 )
 
-    return lines.mapInArrow(emit, "d long, t long, p int, key long, kind byte")
+    return lines.select("d", "t", "p", "h1", "line").mapInArrow(emit, "d long, t long, p int, h1 long, key long, at int")
+
+
+def _first_partners(live: DataFrame) -> DataFrame:
+    """(d, t, p, f): rows of shared keys with the earliest row that each key holds them against, where it is earlier."""
+    place = F.struct("d", "t", "p")
+    less, whole = live.filter("at > 0"), live.filter("at = 0")
+    firsts = lambda rows, *by: rows.groupBy(*by).agg(F.min(place).alias("f"))
+    replaced = less.join(firsts(less, "key", "at"), ["key", "at"])
+    added = less.join(firsts(whole, "key"), "key")
+    removed = whole.join(firsts(less, "key"), "key")
+    pairs = [x.select("d", "t", "p", "f") for x in (replaced, added, removed)]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).filter(F.col("f") < place).distinct()
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fine = [within_one(line_words(a), line_words(b)) for a, b in zip(texts(batch, "line"), texts(batch, "first_line"), strict=True)]
+            fine = [near_lines(a, b) for a, b in zip(texts(batch, "line"), texts(batch, "first_line"), strict=True)]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
     return pairs.mapInArrow(check, pairs.schema)
 
 
 def line_verdicts(docs: DataFrame) -> DataFrame:
-    """(d, t, p, first): each line that goes, with the place of the earliest line that it repeats."""
-    lines = written(_lines(docs), "lines")
+    """(d, t, p, first): each line that goes, with the place of the earliest line that it repeats.
+
+    Written tables are dropped once what reads them is written; the one behind the result stays.
+    """
+    spark = docs.sparkSession
     place = F.struct("d", "t", "p")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), *[F.min(k).alias(k) for k in ("k1", "k2", "k3", "k4")])
-    distinct = written(distinct.select("h1", "h2", "first.d", "first.t", "first.p", "k1", "k2", "k3", "k4"), "distinct-lines")
-    wanted = written(_line_texts(docs, _candidates(distinct)), "candidate-lines")
-    keys = _neighbour_keys(wanted)
-    meet = keys.groupBy("key").agg(
-        F.min(F.when(F.col("kind") == 0, place)).alias("same_place"), F.min(F.when(F.col("kind") == 1, place)).alias("longer"),
-        F.min(F.when(F.col("kind") == 2, place)).alias("as_is"), F.count(F.lit(1)).alias("members"),
-    )
-    meet = written(meet.filter("members > 1").drop("members"), "met-keys")
-    first = F.when(F.col("kind") == 0, F.col("same_place")).when(F.col("kind") == 1, F.col("as_is")).otherwise(F.col("longer"))
-    pairs = keys.join(meet, "key").select("d", "t", "p", first.alias("f")).filter(F.col("f") < place).distinct()
-    own = wanted.select("d", "t", "p", "line")
-    other = wanted.select(F.struct("d", "t", "p").alias("f"), F.col("line").alias("first_line"))
-    near = _verified(pairs.join(own, ["d", "t", "p"]).join(other, "f").select("d", "t", "p", F.col("f.d").alias("fd"), F.col("f.t").alias("ft"), F.col("f.p").alias("fp"), "line", "first_line"))
-    near = written(near.groupBy("d", "t", "p").agg(F.min(F.struct(F.col("fd").alias("d"), F.col("ft").alias("t"), F.col("fp").alias("p"))).alias("near")), "near-lines")
-    verdict = written(
-        distinct.join(near, ["d", "t", "p"], "left").select("h1", "h2", F.struct("d", "t", "p").alias("own_first"), "near"), "line-verdicts"
-    )
-    every = lines.select("d", "t", "p", "h1", "h2").join(verdict, ["h1", "h2"])
-    first = F.least(F.coalesce("near", "own_first"), F.col("own_first"))
-    return every.filter((first < place)).select("d", "t", "p", first.alias("first")).distinct()
+    lines = Table(spark, _lines(docs), "lines")
+    halves = lines.df.select("d", "t", "p", "h1", "h2", F.explode("ks").alias("k"))
+    met = Table(spark, _met(halves, "k", "h1"), "met-halves")
+    candidates = halves.join(met.df, "k", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("x"))
+    places = Table(spark, candidates.select("h1", "h2", "x.*"), "candidates")
+    met.drop()
+    wanted = Table(spark, _line_texts(docs, places.df), "candidate-lines")
+    places.drop()
+    keys = _neighbour_keys(wanted.df)
+    shared = Table(spark, _met(keys, "key", "h1"), "shared-keys")
+    live = Table(spark, keys.join(shared.df, "key", "left_semi").select("d", "t", "p", "key", "at"), "live-keys")
+    shared.drop()
+    pairs = Table(spark, _first_partners(live.df), "line-pairs")
+    live.drop()
+    own = wanted.df.select("d", "t", "p", "h1", "h2", "line")
+    other = wanted.df.select(F.struct("d", "t", "p").alias("f"), F.col("line").alias("first_line"))
+    near = _verified(pairs.df.join(own, ["d", "t", "p"]).join(other, "f").select("h1", "h2", "d", "t", "p", F.col("f.d").alias("fd"), F.col("f.t").alias("ft"), F.col("f.p").alias("fp"), "line", "first_line"))
+    near = near.groupBy("h1", "h2").agg(F.min(place).alias("own"), F.min(F.struct(F.col("fd").alias("d"), F.col("ft").alias("t"), F.col("fp").alias("p"))).alias("near"))
+    repeated = lines.df.groupBy("h1", "h2").agg(F.min(place).alias("own_first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = F.coalesce("own_first", "own")
+    both = repeated.join(near, ["h1", "h2"], "full").select("h1", "h2", F.least(F.coalesce("near", first), first).alias("first"))
+    verdict = Table(spark, both, "line-verdicts")
+    wanted.drop()
+    pairs.drop()
+    every = lines.df.select("d", "t", "p", "h1", "h2").join(verdict.df, ["h1", "h2"])
+    gone = Table(spark, every.filter(F.col("first") < place).select("d", "t", "p", "first"), "gone-lines")
+    lines.drop()
+    verdict.drop()
+    return gone.df
+
+
+def _gone(docs: DataFrame) -> DataFrame:
+    """(d, t, dropped): the numbers of the lines that go, ascending."""
+    return line_verdicts(docs).groupBy("d", "t").agg(F.array_sort(F.collect_set("p")).alias("dropped"))
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
@@ -178,23 +228,25 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty. Lines end at \\n; those without words stay and are counted in n_lines only, an empty
     text has one. Lines are compared by their words. A null doc_id comes after all others; rows with one doc_id
-    and one text share a verdict and so never drop each other's lines. Other columns are ignored.
+    and one text share a verdict and so never drop each other's lines. An empty table gives an empty result; other
+    columns are ignored.
     """
-    gone = line_verdicts(docs).groupBy("d", "t").agg(F.array_sort(F.collect_set("p")).alias("dropped"))
-    gone = written(gone, "dropped-lines")
     n_lines = (F.octet_length(F.regexp_replace("text", "[^\n]+", "")) + 1).cast("long")
-    all_rows = _rows(docs).select("d", "t", n_lines.alias("n_lines"))
-    doc_id = F.when(F.col("d") < _LAST, F.col("d")).alias("doc_id")
+    all_rows = _rows(docs).select("doc_id", "d", "t", n_lines.alias("n_lines"))
     none = F.array().cast("array<int>")
-    return all_rows.join(gone, ["d", "t"], "left").select(
-        doc_id, "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped")
+    return all_rows.join(_gone(docs), ["d", "t"], "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped")
     )
 
 
 def without_lines(docs: DataFrame) -> DataFrame:
-    """`docs` with the dropped lines taken out of `text`; all columns stay, null text stays null."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_t": F.xxhash64(text)})
-    gone = line_verdicts(docs).groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("p").alias("_gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return keyed.join(gone, ["_d", "_t"], "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    """`docs` with the dropped lines taken out of `text`; all columns stay, whatever their names; null text stays null.
+
+    Repeated rows lose the same lines; an empty table gives an empty one.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text, doc_id = F.coalesce(F.col("row.text"), F.lit("")), F.col("row.doc_id").cast("long")
+    keyed = whole.select("row", F.coalesce(doc_id, F.lit(_LAST)).alias("d"), F.xxhash64(text, doc_id.isNull()).alias("t"))
+    kept = F.array_join(F.filter(F.split(F.col("row.text"), "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    rest = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(kept)
+    return keyed.join(_gone(docs), ["d", "t"], "left").select(F.col("row").withField("text", rest).alias("row")).select("row.*")
