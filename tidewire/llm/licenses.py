@@ -7,6 +7,8 @@ matching decides, with its count of edits, and gives the span.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,6 +35,22 @@ NOTICES = {
     b"creative commons attribution sharealike": "cc-by-sa",
     b"this is free and unencumbered software": "unlicense",
     b"all rights reserved": "all-rights-reserved",
+    b"released under the mit license": "mit",
+    b"the software is provided as is without warranty of any kind": "mit",
+    b"gnu affero general public license": "agpl",
+    b"gnu free documentation license": "gfdl",
+    b"eclipse public license": "epl",
+    b"boost software license": "boost",
+    b"common development and distribution license": "cddl",
+    b"european union public licence": "eupl",
+    b"permission to use copy modify and or distribute this software for any purpose": "isc",
+    b"neither the name of the copyright holder nor the names of its contributors": "bsd",
+    b"creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    b"creative commons attribution noderivatives": "cc-by-nd",
+    b"creative commons zero": "cc0",
+    b"dedicated to the public domain": "public-domain",
+    b"academic free license": "afl",
+    b"sil open font license": "ofl",
 }
 #: Edits allowed: one for so many characters of a notice, and at most MOST_EDITS.
 CHARS_AN_EDIT, MOST_EDITS = 10, 4
@@ -43,11 +61,15 @@ def allowed_edits(notice: bytes) -> int:
 
 
 class NoticeFinder:
-    """Finds all notices in a text of words between single spaces."""
+    """Finds all notices in a text of words between single spaces, with a space before and after.
+
+    A match begins and ends at edges of words. Of a notice's overlapping matches the one of fewest edits counts, then
+    the first; what is left beside it is searched again, so no match is lost that overlaps no better one.
+    """
 
     def __init__(self, notices: dict[bytes, str] = NOTICES):
         self.notices = [(n, label, allowed_edits(n)) for n, label in notices.items()]
-        self.patterns = [regex.compile(rb"(?b)(?:" + regex.escape(n, literal_spaces=True) + rb"){e<=%d}" % k) for n, _, k in self.notices]
+        self.patterns = [regex.compile(rb"(?b)(?<= )(?:" + regex.escape(n, literal_spaces=True) + rb"){e<=%d}(?= )" % k) for n, _, k in self.notices]
         self.seeds = ahocorasick.Automaton()
         held: dict[bytes, list[tuple[int, int]]] = {}
         for i, (notice, _, k) in enumerate(self.notices):
@@ -58,30 +80,45 @@ class NoticeFinder:
             self.seeds.add_word(seed.decode("latin-1"), (len(seed), where))
         self.seeds.make_automaton()
 
-    def windows(self, text: bytes) -> dict[int, list[tuple[int, int]]]:
-        """Per notice, the stretches of text that a match within the bound can touch, merged where they meet."""
-        out: dict[int, list[tuple[int, int]]] = {}
+    def windows(self, text: bytes) -> dict[int, set[tuple[int, int]]]:
+        """Per notice, the stretches of text that hold every match with one of its seeds.
+
+        A stretch is shorter than two matches: whatever it holds overlaps.
+        """
+        out: dict[int, set[tuple[int, int]]] = {}
         for end, (length, where) in self.seeds.iter(text.decode("latin-1")):
             for i, at in where:
                 notice, _, k = self.notices[i]
                 start = end + 1 - length - at
-                low, high = max(0, start - k), min(len(text), start + len(notice) + k)
-                own = out.setdefault(i, [])
-                if own and low <= own[-1][1]:
-                    own[-1] = (min(own[-1][0], low), max(own[-1][1], high))
-                else:
-                    own.append((low, high))
+                out.setdefault(i, set()).add((max(0, start - k), min(len(text), start + len(notice) + k)))
         return out
 
+    def best(self, i: int, text: bytes, low: int, high: int) -> tuple[int, int, int, int, int] | None:
+        """(edits, start, end, low, high) of the best match between low and high, or None."""
+        # One byte more, for the space behind the match; the space before it may lie before low.
+        m = self.patterns[i].search(text, low, min(len(text), high + 1)) if low < high else None
+        return (sum(m.fuzzy_counts), m.start(), m.end(), low, high) if m else None
+
     def find(self, text: bytes) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits), in bytes, of each match; of a notice's overlapping matches the best."""
+        """(start, end, label, edits), in bytes, of each match."""
         found = []
         for i, spans in self.windows(text).items():
-            for low, high in spans:
-                for m in self.patterns[i].finditer(text, low, high):
-                    edits = sum(m.fuzzy_counts)
-                    if edits <= self.notices[i][2] and m.end() > m.start():
-                        found.append((m.start(), m.end(), self.notices[i][1], edits))
+            queue = [m for low, high in spans if (m := self.best(i, text, low, high))]
+            heapq.heapify(queue)
+            starts: list[int] = []  # of the kept matches, which do not overlap
+            kept: dict[int, int] = {}
+            while queue:
+                edits, start, end, low, high = heapq.heappop(queue)
+                at = bisect.bisect_left(starts, end)
+                met = starts[at - 1] if at and kept[starts[at - 1]] > start else None
+                if met is None:
+                    starts.insert(at, start)
+                    kept[start] = end
+                    found.append((start, end, self.notices[i][1], edits))
+                    continue
+                for part in ((low, min(high, met)), (max(low, kept[met]), high)):
+                    if again := self.best(i, text, *part):
+                        heapq.heappush(queue, again)
         return sorted(found)
 
 
@@ -136,6 +173,8 @@ def license_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_fuzzy.
 
     score is 1 with an exact place, else 1 less the best match's share of edits in the edits allowed plus one, else 0.
+    Null and empty texts have no words, no places and score 0; repeated rows give repeated results; an empty table
+    gives an empty one; columns other than doc_id and text are ignored.
     """
     found = license_spans(docs)
     word = F.transform("base", lambda x: x["word"])
