@@ -14,8 +14,11 @@ def default_ranges(spark: SparkSession) -> int:
     return max(8, min(MAX_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def split_points(df: DataFrame, key: Column, n_ranges: int, n_rows: int | None = None, seed: int = 7) -> list[str]:
-    """At most n_ranges - 1 splitters of a string key without 0x01, from a sample whose size n_ranges bounds."""
+def split_points(df: DataFrame, key: Column, n_ranges: int, n_rows: int | None = None, seed: int = 7) -> list:
+    """At most n_ranges - 1 splitters of a key, from a sample whose size n_ranges bounds.
+
+    The key is a double, or a string of bounded length without 0x01.
+    """
     n_rows = df.count() if n_rows is None else n_rows
     want = n_ranges * SAMPLES_PER_RANGE
     sample = df.sample(False, want / n_rows, seed) if n_rows > want else df
@@ -25,12 +28,14 @@ def split_points(df: DataFrame, key: Column, n_ranges: int, n_rows: int | None =
     return sorted({keys[i * len(keys) // n_ranges] for i in range(1, n_ranges)})
 
 
-def range_bucket(key: Column, splitters: list[str]) -> Column:
+def range_bucket(key: Column, splitters: list) -> Column:
     """Number of splitters at or below `key`: a binary search inside the expression."""
     n = len(splitters)
     if not n:
         return F.lit(0)
-    held = F.split(F.lit("\x01".join(splitters)), "\x01")
+    held = F.split(F.lit("\x01".join(map(str, splitters))), "\x01")
+    if not isinstance(splitters[0], str):
+        held = held.cast("array<double>")  # repr() of a double reads back as it was
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
     return F.aggregate(
         steps,
