@@ -9,8 +9,10 @@ Edit distance is verified on the texts. A line goes if an earlier one (by doc_id
 the bound.
 
 Only lines that can have a neighbour emit their keys: one edit leaves the first or the second half of a line as it
-was, so a line whose halves meet no other line's is out. That test loses nothing and spares most lines. Every exchange
-moves hashes, and of texts only the candidates' lines.
+was, so a line whose halves meet no other line's is out. That test loses nothing and spares most lines. The keys of
+halves that meet are marked in a bit map of bounded size, which goes to all tasks: a second pass over the texts emits
+the lines that it marks. Once it is crowded it marks more lines than need be, which the joins sort out; nothing is
+lost. So every exchange moves hashes, and of texts only marked lines.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from tidewire.llm._texts import texts
 WORDS, LEAST_CHARS = 8, 20
 _MIX = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1
+#: Bits of the map for each key of a half that meets another line's, and at most: 64 MB.
+BITS_A_KEY, MOST_BITS = 64, 1 << 29
+_CHUNK = 1 << 16
 
 
 def line_words(line: bytes) -> list[bytes]:
@@ -127,11 +132,59 @@ def _met(keys: DataFrame, key: str, of: str) -> DataFrame:
     return keys.groupBy(key).agg(F.min(of).alias("a"), F.max(of).alias("z")).filter("a != z").select(key)
 
 
-def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(d, t, p, h1, h2, line) of the places asked for, each once."""
-    asked = places.groupBy("d", "t").agg(F.collect_list(F.struct("p", "h1", "h2")).alias("ps"))
-    lines = F.transform(F.col("ps"), lambda x: F.struct(x["p"].alias("p"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.get(F.split("text", "\n"), x["p"]).alias("line")))
-    return _rows(docs).join(asked, ["d", "t"]).select("d", "t", F.explode(lines).alias("x")).select("d", "t", "x.*").dropDuplicates(["d", "t", "p"])
+def _bit_map(met: DataFrame) -> bytes:
+    """A bit for each key `k` (modulo the number of bits), packed in chunks by tasks; the driver gets the map alone."""
+    bits = min(MOST_BITS, max(_CHUNK, 1 << (BITS_A_KEY * met.count() - 1).bit_length()))
+    at = F.col("k").bitwiseAND(F.lit(bits - 1))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for low in batch.column("low"):
+                on = np.zeros(_CHUNK, np.uint8)
+                on[low.values.to_numpy()] = 1
+                out.append(np.packbits(on, bitorder="little").tobytes())
+            yield pa.record_batch([batch.column("chunk"), pa.array(out, pa.binary())], names=["chunk", "bits"])
+
+    rows = met.select(F.floor(at / _CHUNK).cast("int").alias("chunk"), (at % _CHUNK).cast("int").alias("low"))
+    packed = rows.groupBy("chunk").agg(F.collect_set("low").alias("low")).mapInArrow(pack, "chunk int, bits binary")
+    whole = bytearray(bits // 8)
+    for row in packed.toLocalIterator():
+        whole[row.chunk * _CHUNK // 8 : (row.chunk + 1) * _CHUNK // 8] = row.bits
+    return bytes(whole)
+
+
+def _marked_lines(docs: DataFrame, marks) -> DataFrame:
+    """(d, t, p, h1, h2, line) of the lines with a half key that the broadcast bit map marks."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(marks.value, np.uint8)
+        mask = np.uint64(8 * len(bits) - 1)
+        for batch in batches:
+            row, place, lines, keys, of = [], [], [], [], []
+            for i, text in enumerate(texts(batch)):
+                for p, line in enumerate(text.split(b"\n")):
+                    found = [k for kind, units in views(line) for k in half_keys(kind, units)]
+                    if found:
+                        of += [len(lines)] * len(found)
+                        keys += found
+                        row.append(i)
+                        place.append(p)
+                        lines.append(line)
+            at = np.array(keys, np.uint64) & mask
+            fine = np.zeros(len(lines), bool)
+            fine[np.array(of, np.int64)[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]] = True
+            kept = np.flatnonzero(fine)
+            both = [xxhash.xxh3_128_intdigest(b" ".join(lines[i].split())) for i in kept]
+            where = pa.array([row[i] for i in kept], pa.int64())
+            columns = [
+                batch.column("d").take(where), batch.column("t").take(where), pa.array([place[i] for i in kept], pa.int32()),
+                pa.array([_signed(x >> 64) for x in both], pa.int64()), pa.array([_signed(x) for x in both], pa.int64()),
+                pa.array([lines[i].decode() for i in kept], pa.string()),
+            ]
+            yield pa.record_batch(columns, names=["d", "t", "p", "h1", "h2", "line"])
+
+    return _rows(docs).select("d", "t", "text").mapInArrow(split, "d long, t long, p int, h1 long, h2 long, line string")
 
 
 def _neighbour_keys(lines: DataFrame) -> DataFrame:
@@ -188,13 +241,13 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     place = F.struct("d", "t", "p")
     lines = Table(spark, _lines(docs), "lines")
-    halves = lines.df.select("d", "t", "p", "h1", "h2", F.explode("ks").alias("k"))
+    halves = lines.df.select("h1", F.explode("ks").alias("k"))
     met = Table(spark, _met(halves, "k", "h1"), "met-halves")
-    candidates = halves.join(met.df, "k", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("x"))
-    places = Table(spark, candidates.select("h1", "h2", "x.*"), "candidates")
+    marks = spark.sparkContext.broadcast(_bit_map(met.df))  # MOST_BITS at most
     met.drop()
-    wanted = Table(spark, _line_texts(docs, places.df), "candidate-lines")
-    places.drop()
+    marked = _marked_lines(docs, marks).groupBy("h1", "h2").agg(F.min(F.struct("d", "t", "p")).alias("x"), F.min("line").alias("line"))
+    wanted = Table(spark, marked.select("x.*", "h1", "h2", "line"), "candidate-lines")
+    marks.unpersist()
     keys = _neighbour_keys(wanted.df)
     shared = Table(spark, _met(keys, "key", "h1"), "shared-keys")
     live = Table(spark, keys.join(shared.df, "key", "left_semi").select("d", "t", "p", "key", "at"), "live-keys")
@@ -231,7 +284,7 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     and one text share a verdict and so never drop each other's lines. An empty table gives an empty result; other
     columns are ignored.
     """
-    n_lines = (F.octet_length(F.regexp_replace("text", "[^\n]+", "")) + 1).cast("long")
+    n_lines = (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     all_rows = _rows(docs).select("doc_id", "d", "t", n_lines.alias("n_lines"))
     none = F.array().cast("array<int>")
     return all_rows.join(_gone(docs), ["d", "t"], "left").select(
