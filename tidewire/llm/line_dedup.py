@@ -106,11 +106,18 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LAST)).alias("d"), F.xxhash64(text, doc_id.isNull()).alias("t"), text.alias("text"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, so that few lines are held as objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """A row a non-blank line: its place (d, t, p), 128 bits of its words, and its half keys."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for d, t, text in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), texts(batch), strict=True):
                 for p, line in enumerate(text.split(b"\n")):
@@ -160,7 +167,7 @@ def _marked_lines(docs: DataFrame, marks) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(marks.value, np.uint8)
         mask = np.uint64(8 * len(bits) - 1)
-        for batch in batches:
+        for batch in _slices(batches):
             row, place, lines, keys, of = [], [], [], [], []
             for i, text in enumerate(texts(batch)):
                 for p, line in enumerate(text.split(b"\n")):
