@@ -1,11 +1,13 @@
 """Exact deduplication by content sort, in DataFrame functions only.
 
-Sampled splitters cut the order of (leading bytes, SHA-256, doc_id) into ranges; each range is sorted on disk where
-need be, equal texts stand side by side, and a row starts a group when its whole text differs from its neighbour's.
-Splitters hold the doc_id too, so a group with a third of all rows spreads over many ranges; the groups at the
-ranges' edges are then compared, text by text, with those of the next range, and chains of them become one.
-
-Text crosses the network once. What the driver sees: 16 fixed-width keys a range, at most.
+Rows are sorted by their normalised bytes: the first LEAD characters, then, as splitters must be of bounded length,
+by SHA-256 and the bytes themselves, then by doc_id. Sampled splitters of that order range-partition the rows; each
+range is sorted on disk where need be, equal texts stand side by side, and a row starts a group when its whole text
+differs from its neighbour's. Splitters hold the doc_id too, so a group with a third of all rows spreads over many
+ranges; the groups at the ranges' edges are then compared, text by text, with those of the next range, and chains of
+them become one.
+
+Text crosses the network once. What the driver sees: 16 keys of bounded length a range, at most.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from tidewire.llm._ranges import default_ranges, range_bucket, sortable, split_points
 from tidewire.llm._store import written
 
+#: Characters of a text that the splitters hold.
+LEAD = 64
 #: Every run of ASCII white space that is not already one space.
 _ODD_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -25,38 +29,34 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), _ODD_RUN, " ")
 
 
-def exact_groups(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
-    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
+def _lead(norm: Column) -> Column:
+    """Leading bytes as hexadecimal digits, which sort like the bytes, and the digest of the whole."""
+    return F.concat(F.hex(F.encode(F.substring(norm, 1, LEAD), "UTF-8")), F.lit("!"), F.sha2(norm, 256))
 
-    Null text counts as empty, so null and blank-free empty texts form one group. A null doc_id sorts after all
-    others; if a group has no other, keep_id is null. Of repeated rows with one doc_id and text, one is kept.
-    An empty table gives an empty result. Columns other than doc_id and text are ignored.
+
+def _content_sorted(docs: DataFrame, n_ranges: int | None, stage: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows in content order, with their group (p, g) in their range, and the chains of groups over ranges.
+
+    A stage carries whole rows (`row`), of those only that may stay; the text travels as the sort's key, and as
+    it was only where that differs.
     """
     spark = docs.sparkSession
     n_ranges = n_ranges or default_ranges(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
-    lead = F.concat(F.hex(F.encode(F.substring("norm", 1, 16), "UTF-8")), F.lit("!"), F.sha2("norm", 256))
-    keyed = base.withColumn("lead", lead)
-    key = F.concat("lead", sortable(F.col("doc_id")))
-    raw = docs.select("doc_id", "text")
-    splitters = split_points(
-        raw,
-        F.concat(
-            F.hex(F.encode(F.substring(normalised(F.col("text")), 1, 16), "UTF-8")),
-            F.lit("!"), F.sha2(normalised(F.col("text")), 256), sortable(F.col("doc_id").cast("long")),
-        ),
-        n_ranges,
-    )
-    in_order = Window.partitionBy("p").orderBy("lead", "norm", F.col("doc_id").asc_nulls_last())
-    sorted_rows = keyed.withColumn("p", range_bucket(key, splitters)).select(
-        "doc_id", "p", "lead", "norm",
-        F.row_number().over(in_order).alias("rn"), F.lag("norm").over(in_order).alias("before"), F.lead("norm").over(in_order).alias("after"),
-    )
+    order = F.concat(_lead(normalised(F.col("text"))), sortable(F.col("doc_id").cast("long")))
+    splitters = split_points(docs.select("doc_id", "text"), order, n_ranges)
+    norm = normalised(F.col("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"), *_payload(docs, norm, stage))
+    keyed = base.withColumn("lead", _lead(F.col("norm")))
+    keyed = keyed.withColumn("p", range_bucket(F.concat("lead", sortable(F.col("doc_id"))), splitters))
+    keyed = keyed.select("p", F.substring("norm", 1, LEAD).alias("lead"), F.substring_index("lead", "!", -1).alias("text_sha256"), "norm", "doc_id", "others", "raw")
+    in_order = Window.partitionBy("p").orderBy("lead", "text_sha256", "norm", F.col("doc_id").asc_nulls_last(), "others")
+    neighbours = keyed.select("*", F.row_number().over(in_order).alias("rn"), F.lag("norm").over(in_order).alias("before"), F.lead("norm").over(in_order).alias("after"))
+    starts = ~F.col("norm").eqNullSafe(F.col("before"))
     marked = written(
-        sorted_rows.select(
-            "doc_id", "p", "rn", F.substring_index("lead", "!", -1).alias("text_sha256"),
-            (~F.col("norm").eqNullSafe(F.col("before"))).alias("starts"), F.col("after").isNull().alias("last"),
+        neighbours.select(
+            "doc_id", "p", "rn", "text_sha256", starts.alias("starts"), F.col("after").isNull().alias("last"),
             F.when(F.col("before").isNull() | F.col("after").isNull(), F.col("norm")).alias("edge"),
+            F.when(starts & stage, F.struct("others", "norm", "raw")).alias("kept_row"),
         ),
         "content-sort",
     )
@@ -67,7 +67,25 @@ def exact_groups(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
         F.first("doc_id").over(group.orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("head"),
         F.count(F.lit(1)).over(group).alias("size"),
     )
-    fixed = _chains(local)
+    return (marked if stage else local), _chains(local)
+
+
+def _payload(docs: DataFrame, norm: Column, stage: bool) -> list[Column]:
+    """`others`: a row's columns but the text; `raw`: its text where that is null or not as normalised."""
+    if not stage:
+        return [F.lit(None).cast("string").alias("others"), F.lit(None).cast("string").alias("raw")]
+    others = F.struct(F.col("text").isNull().alias("no_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("row"))
+    return [others.alias("others"), F.when(F.col("text") != norm, F.col("text")).alias("raw")]
+
+
+def exact_groups(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
+    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Null text counts as empty, so null and blank-free empty texts form one group. A null doc_id sorts after all
+    others; if a group has no other, keep_id is null. Of repeated rows with one doc_id and text, one is kept.
+    An empty table gives an empty result. Columns other than doc_id and text are ignored.
+    """
+    local, fixed = _content_sorted(docs, n_ranges, stage=False)
     joined = local.drop("edge", "last").join(F.broadcast(fixed), ["p", "g"], "left")  # two groups a range at most
     return joined.select(
         "doc_id",
@@ -126,13 +144,16 @@ def _chains(local: DataFrame) -> DataFrame:
     )
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose text no row with a smaller doc_id has; all columns stay.
+def drop_exact_copies(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
+    """Of each group of equal texts the row of smallest doc_id (null last); all columns stay, whatever their names.
 
-    Of repeated rows with one doc_id and one text, one comes out. Rows find their verdict by doc_id and SHA-256.
+    Null text equals empty text. Of repeated rows with one doc_id and text, the one whose other columns sort first
+    stays, so a computation done again chooses alike; those columns must have an order (no maps). An empty table gives
+    an empty one.
     """
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = exact_groups(docs).filter("kept").select(name.alias("_id"), F.col("text_sha256").alias("_sha"))
-    here = docs.withColumns({"_id": name, "_sha": F.sha2(normalised(F.col("text")), 256)}).join(kept, ["_id", "_sha"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.lit(0)))
-    return here.withColumn("_n", first).filter("_n = 1").select(*docs.columns)
+    marked, fixed = _content_sorted(docs, n_ranges, stage=True)
+    later = fixed.filter(~F.col("first_of_chain") & (F.col("g") == 1)).select("p")  # ranges that begin inside a group
+    stays = marked.filter("starts").join(F.broadcast(later.withColumn("rn", F.lit(1))), ["p", "rn"], "left_anti")
+    text = F.when(F.col("kept_row.others.no_text"), F.lit(None)).otherwise(F.coalesce("kept_row.raw", "kept_row.norm"))
+    columns = [text.alias(c) if c.lower() == "text" else F.col(f"kept_row.others.row.`{c}`").alias(c) for c in docs.columns]
+    return stays.select(*columns)
