@@ -2,7 +2,8 @@
 
 A fixed number of bins stays open, in a bitset keyed by free space: a piece goes to the fullest bin that still takes
 it, found by one shift of the bitset; when another bin would be one too many, the fullest of all closes. Only
-documents longer than a sequence are cut. Packing tasks take bounded groups of pieces, dealt by hash.
+documents longer than a sequence are cut. Packing tasks take about PIECES_A_TASK pieces each, dealt by a hash of their
+row numbers, and pack them as they come: a task holds its open bins and one batch, never its group.
 """
 
 from __future__ import annotations
@@ -150,26 +151,26 @@ class OpenBins:
 _PLACED = _PIECES.append(pa.field("sequence_id", pa.int64())).append(pa.field("offset", pa.int64()))
 
 
-def best_fit(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
+def best_fit(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, task_pieces: int = PIECES_A_TASK) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece stands.
 
-    Within a task pieces come longest first, so that the open bins' gaps meet ever shorter pieces; ties go by
-    doc_id and piece. Repeated rows are packed each by itself. An empty table gives an empty result; columns other
-    than doc_id and text are ignored. A lost executor's pieces are tokenised again; sequence numbers hold the task's.
+    Pieces are packed in the order of their rows. Repeated rows are packed each by itself and spread over tasks like
+    others. Null and empty texts are one piece of one id. An empty table gives an empty result; columns other than
+    doc_id and text are ignored. A lost executor's pieces are tokenised again, and packed again in the same order;
+    sequence numbers hold the task's.
     """
-    pieces = written(token_pieces(docs, path, sequence), "pieces")
-    tasks = max(1, -(-pieces.count() // PIECES_A_TASK))
+    pieces = written(token_pieces(docs, path, sequence).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    tasks = max(1, -(-pieces.count() // task_pieces))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rows = pa.Table.from_batches(list(batches), _PIECES)
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, base = OpenBins(sequence, open_bins), TaskContext.get().partitionId() << 40
-        places = [bins.place(n) for n in rows.column("length").to_pylist()]
-        rows = rows.append_column("sequence_id", pa.array([base + s for s, _ in places], pa.int64()))
-        rows = rows.append_column("offset", pa.array([o for _, o in places], pa.int64()))
-        yield from rows.cast(_PLACED).to_batches(max_chunksize=20_000)
+        for batch in batches:
+            places = [bins.place(n) for n in batch.column("length").to_pylist()]
+            yield pa.record_batch(
+                [*[batch.column(f.name) for f in _PIECES], pa.array([base + s for s, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())], schema=_PLACED
+            )
 
-    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32"))
+    dealt = pieces.repartition(tasks, F.xxhash64("row")).sortWithinPartitions("row")
     return dealt.mapInArrow(pack, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
