@@ -12,7 +12,7 @@ def brute(rows, every=20, k=20):
     out = {}
     for q, x in fine:
         if q % every == 0:
-            out[q] = [(v, s) for s, v in sorted((-float(x @ y), v) for v, y in fine if v != q)[:k]]
+            out[q] = [(v, s) for s, v in sorted((-float(x @ y), v) for v, y in fine if v != q and len(x) == len(y))[:k]]
     return out
 
 
@@ -64,3 +64,20 @@ def test_merged_lists_know_what_is_new(spark):
     old = spark.createDataFrame([(1, 2, 5.0), (1, 3, 1.0)], "u long, v long, s double")
     new = spark.createDataFrame([(1, 2, 5.0), (1, 4, 2.0), (1, 4, 2.0)], "u long, v long, s double")
     assert {(r.v, r.fresh) for r in ann._merged(old, new, 2).collect()} == {(2, False), (4, True)}
+
+
+def test_vectors_of_each_length_are_searched_among_themselves(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, r.integers(-3, 4, 2 + i % 3).astype(float).tolist(), 0, 1, "x") for i in range(200)] + [(1000, [1.0] * 40, 0, 1, "x")]
+    got, want = found(ann.nearest(spark.createDataFrame(rows, SCHEMA))), brute(rows)
+    want.pop(1000)  # alone of its length
+    assert got.keys() == want.keys()
+    assert sum([s for _, s in got[q]] == [s for _, s in want[q]] for q in want) >= 0.9 * len(want)
+
+
+def test_recall_on_the_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(x.vec_id, list(x.embedding)) for x in table.collect()]
+    got, want = found(ann.nearest(table)), brute(rows)
+    assert got.keys() == want.keys()
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.95 * 20 * len(want)

@@ -49,19 +49,22 @@ def nodes(rows: DataFrame, k: int = NEAREST) -> DataFrame:
 
 
 def coded(known: DataFrame) -> DataFrame:
-    """(id, code): the scale as a double, then a signed byte for each component."""
+    """(id, code, dims): the scale as a double, then a signed byte for each component; zeros follow shorter vectors."""
+    most = known.agg(F.max(F.size("e"))).collect()[0][0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = b.column("e").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                dims = b.column("e").value_lengths().to_numpy()
+                x = np.zeros((b.num_rows, most))
+                x[np.arange(most)[None, :] < dims[:, None]] = b.column("e").flatten().to_numpy(zero_copy_only=False)
                 scale = np.abs(x).max(axis=1) / 127
                 scale = np.where(scale > 0, scale, np.abs(x).max(axis=1))  # the least doubles, divided, are 0
                 parts = np.rint(x / scale[:, None]).astype(np.int8)
                 code = [s.tobytes() + p.tobytes() for s, p in zip(scale.astype("<f8"), parts, strict=True)]
-                yield pa.record_batch([b.column("id"), pa.array(code, pa.binary())], names=["id", "code"])
+                yield pa.record_batch([b.column("id"), pa.array(code, pa.binary()), pa.array(dims.astype(np.int32))], names=["id", "code", "dims"])
 
-    return known.select("id", "e").mapInArrow(run, "id long, code binary")
+    return known.select("id", "e").mapInArrow(run, "id long, code binary, dims int")
 
 
 def _decoded(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +141,9 @@ def _meet(groups: DataFrame, partners: int) -> DataFrame:
 
 
 def build_graph(codes: DataFrame, n: int, dims: int) -> DataFrame:
-    """(u, v, s, fresh): the DEGREE best neighbours found of each node of `codes` (id, code)."""
+    """(u, v, s, fresh): the DEGREE best neighbours found of each node of `codes` (id, code, dims).
+
+    Blocks hold vectors of one length, so no edge joins different ones."""
     bits = max(0, math.ceil(math.log2(max(1, n) / BLOCK)))
     planes = np.random.default_rng(11).standard_normal((STARTS, bits, dims)).astype(np.float32)
 
@@ -149,9 +154,10 @@ def build_graph(codes: DataFrame, n: int, dims: int) -> DataFrame:
             x = _decoded(batch.column("code"))[1].astype(np.float32)
             for r in range(STARTS):
                 mark = ((x @ planes[r].T) > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
-                yield pa.record_batch([pa.array((mark * STARTS + r).astype(np.int64)), batch.column("id"), batch.column("code")], names=["g", "id", "code"])
+                yield pa.record_batch([pa.array((mark * STARTS + r).astype(np.int64)), *batch.columns], names=["g", "id", "code", "dims"])
 
-    starts = _in_parts(codes.mapInArrow(block, "g long, id long, code binary"))
+    blocks = codes.mapInArrow(block, "g long, id long, code binary, dims int")
+    starts = _in_parts(blocks.select(F.xxhash64("g", "dims").alias("g"), "id", "code"))
     starts = starts.select("g", "id", "code", F.lit(None).cast("double").alias("bar"), F.lit(True).alias("fresh"))
     first = _meet(starts, DEGREE)
     graph = written(_merged(first.limit(0), first, DEGREE), "graph")
@@ -221,8 +227,10 @@ def search(graph: DataFrame, codes: DataFrame, asked: DataFrame) -> DataFrame:
 def nearest(embeddings: DataFrame, every: int = 20, k: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score for each vec_id divisible by `every`: its k nearest found, itself left out.
 
-    Null, zero and non-finite vectors take no part, nor a null vec_id; vectors are taken to be of one length.
-    Every query has its rows, in groups of any number of equal vectors too. Rows repeated as a whole count once. An empty table gives an empty result.
+    Null, zero and non-finite vectors take no part, nor a null vec_id. An inner product needs one length: a query's
+    candidates are the vectors of its own length. Ties go to the smaller vec_id. Every query has its rows, in groups
+    of any number of equal vectors too. Rows repeated as a whole count once. An empty table gives an empty result;
+    columns other than vec_id and embedding are ignored.
     """
     spark = embeddings.sparkSession
     rows = usable(embeddings)
@@ -230,9 +238,9 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = NEAREST) -> DataFra
     n, dims = known.agg(F.count(F.lit(1)), F.max(F.size("e"))).collect()[0]
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    known = known.filter(F.size("e") == dims)
     codes = written(coded(known), "codes")
     graph = build_graph(codes, n, dims)
+    codes = codes.drop("dims")
     # Every query of a group of equal vectors, however many: a crowded vector's rows are split by the skew join.
     queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "e").distinct()
     queries = written(queries.join(known.select("e", F.col("id").alias("u")), "e").select("query_id", "u"), "queries")
