@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -121,9 +121,17 @@ def curve_shards(docs: DataFrame, shards: int = SHARDS, n_ranges: int | None = N
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes `docs` under `path`, a folder a shard, each sorted along the curve. Rows are told by doc_id and text."""
-    plan = curve_shards(docs, shards).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
-    crc: Column = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
-    plan = plan.dropDuplicates(["_id", "_crc"])
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (crc == F.col("_crc")))
-    joined.drop("_id", "_crc").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes `docs` under `path`, a folder a shard (`shard=N`), each sorted along the curve.
+
+    Rows are told by doc_id and CRC of the text; repeated ones stand together. Columns keep their names: they are
+    written in one column `row` where one of them is named `shard`, as the folders take that name. An empty table
+    writes no shard.
+    """
+    plan = curve_shards(docs, shards).groupBy("doc_id", "text_crc32").agg(F.min(F.struct("shard", "slot")).alias("at"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    crc = F.crc32(F.encode(F.coalesce(F.col("row.text"), F.lit("")), "UTF-8"))
+    joined = whole.join(plan, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (crc == F.col("text_crc32")))
+    placed = joined.select("row", F.col("at.shard").alias("shard"), F.col("at.slot").alias("slot"))
+    ordered = placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    clash = any(c.lower() == "shard" for c in docs.columns)
+    ordered.select("shard", "row" if clash else "row.*").write.partitionBy("shard").parquet(path)
