@@ -69,6 +69,7 @@ def test_near_duplicates(docs, rows):
 def test_packing(docs, rows):
     tokenizer = packing.ChunkTokenizer(packing.default_path())._tokenizer
     got = packing.best_fit(docs.dropDuplicates(["doc_id"])).toPandas()
+    assert packing.best_fit(docs, task_pieces=40).count() == len(got) + 2  # two rows are repeated
     for d, t, *_ in {r[0]: r for r in rows}.values():
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
         own = got[got.doc_id == d].sort_values("piece")
@@ -134,3 +135,54 @@ def test_stages_keep_columns(spark):
         after = stage(spark, docs, "/root/testdata/sf0.001")
         assert after.columns == docs.columns
         docs = after
+
+
+CLASHING = "doc_id long, text string, source string, lang string, n_chars long, p int, rn int, starts string, `_id` int, `_n` int, `_size` int, others int, raw int, `a.b` int, row int"
+
+
+def test_exact_stage_keeps_columns_and_one_row_a_group(spark):
+    r = random.Random(2)
+    texts = ["x" * 70 + str(i % 5) for i in range(60)] + ["a  b", "a b", "a\tb", " a b", None, "", "hot text"] + ["hot text"] * 200
+    rows = [(r.choice([None, *range(40)]), t, "s", "en", 1, r.randrange(3), 2, "z", 4, 5, 6, 7, 8, 9, 10) for t in texts]
+    rows += rows[:3]
+    docs = spark.createDataFrame(rows, CLASHING)
+    best = {}
+    for row in rows:
+        norm = "".join(" " if c in " \t\n\r\x0b\x0c" else c for c in row[1] or "")
+        while "  " in norm:
+            norm = norm.replace("  ", " ")
+        key = (row[0] is None, row[0] or 0, row[1] is None, row[5])
+        if norm not in best or key < best[norm][0]:
+            best[norm] = (key, {row[1]} if norm in best else {row[1]})
+        if key == best[norm][0]:
+            best[norm][1].add(row[1])
+    for n_ranges in (1, 7, 60):
+        got = exact_dedup.drop_exact_copies(docs, n_ranges=n_ranges)
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert len(found) == len(best)
+        for row in found:
+            norm = exact_dedup.normalised  # noqa: F841
+            key = (row.doc_id is None, row.doc_id or 0, row.text is None, row.p)
+            assert any(key == k and row.text in t for k, t in best.values()) and row["_n"] == 5 and row["a.b"] == 9
+    assert exact_dedup.drop_exact_copies(docs.limit(0)).count() == 0
+
+
+def test_shards_are_even_and_hold_every_row(spark, docs, rows, tmp_path):
+    got = sharding.curve_shards(docs).toPandas()
+    want = sorted((-1 if r[0] is None else r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    got["doc_id"] = got.doc_id.fillna(-1).astype(int)
+    assert sorted(zip(got.doc_id, got["size"], got.text_crc32, strict=True)) == want
+    assert set(got.law) == {"bytes"} and got.shard.between(0, 15).all() and got.grown_shard.isna().all()
+    docs01 = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    whole = sharding.curve_shards(docs01).toPandas()
+    sums = whole.groupby("shard")["size"].sum()
+    assert len(sums) == 16 and sums.max() < 1.1 * sums.mean() and sums.min() > 0.9 * sums.mean()
+    groups = whole[whole["size"] > 30].groupby("text_crc32").agg(n=("shard", "nunique"), total=("size", "sum"))
+    assert (groups.n[groups.total < sharding.WHOLE_GROUP * sums.mean() / 1.1] == 1).all()
+    sharding.write_shards(docs, str(tmp_path / "a"))
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert back.count() == len(rows) and set(docs.columns) | {"shard"} == set(back.columns)
+    clash = docs.selectExpr("*", "1 shard", "2 slot", "3 _crc")
+    sharding.write_shards(clash, str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).select("row.*").columns == clash.columns

@@ -73,7 +73,7 @@ def test_small_tiles_and_empty_table(spark, rows):
             by.setdefault(r.root, set()).add(r.node)
         groups.append(sorted(map(sorted, by.values())))
     assert groups[0] == groups[1]
-    sets = near_texts._sets(docs).dropDuplicates(["key"])
+    sets = near_texts._sets(near_texts._rows(docs)).dropDuplicates(["key"])
     members = entries.join(sets, "key").selectExpr("0L as root", "key", "a", "b", "hashes").cache()
     found = []
     for tile in (1000, 9):
@@ -83,3 +83,18 @@ def test_small_tiles_and_empty_table(spark, rows):
         found.append(sorted(map(sorted, by.values())))
     assert found[0] == found[1]
     assert near_texts.near_copies(docs.limit(0)).collect() == []
+
+
+def test_one_row_a_component_whatever_the_columns(spark):
+    text = "one two three four five six seven eight nine ten " * 3
+    rows = [(7, text, i, "x", 1, 2) for i in (3, 1, 2)] + [(7, "other words altogether for this row", 0, "x", 1, 2), (7, text + "more", 0, "x", 1, 2), (3, None, 0, "x", 1, 2), (4, "", 0, "x", 1, 2), (None, text, 0, "x", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, row string, t int, `first` int")
+    got = near_texts.drop_near_copies(docs)
+    assert got.columns == docs.columns
+    found = sorted((r.doc_id, r.text, r.key) for r in got.collect() if r.text)
+    assert len(found) == 2 + (jaccard(shingles(text), shingles(text + "more")) < 0.8)
+    assert (7, text, 1) in found or (7, text + "more", 0) in found  # one id: the smaller hash
+    assert (3, None) in [(r.doc_id, r.text) for r in got.collect()]
+    one = near_texts.drop_near_copies(docs.filter(~docs.text.endswith("more"))).collect()
+    assert (7, text, 1) in [(r.doc_id, r.text, r.key) for r in one]
+    assert near_texts.drop_near_copies(docs.limit(0)).count() == 0

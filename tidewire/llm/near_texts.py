@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm._store import written
@@ -82,7 +82,7 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, size, a, b): the shingle set's key and size, and its fingerprint. Null text counts as empty."""
+    """(doc_id, t, key, size, a, b): a hash of the text, the shingle set's key and size, and its fingerprint."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,18 +94,19 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sizes.append(len(hashes))
                 a.append(low)
                 b.append(high)
-            columns = [batch.column("doc_id"), _signed(keys), pa.array(sizes, pa.int64()), _signed(a), _signed(b)]
-            yield pa.record_batch(columns, names=["doc_id", "key", "size", "a", "b"])
+            columns = [batch.column("doc_id"), batch.column("t"), _signed(keys), pa.array(sizes, pa.int64()), _signed(a), _signed(b)]
+            yield pa.record_batch(columns, names=["doc_id", "t", "key", "size", "a", "b"])
 
-    return _rows(docs).mapInArrow(of, "doc_id long, key long, size long, a long, b long")
+    return _rows(docs).mapInArrow(of, "doc_id long, t long, key long, size long, a long, b long")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(key, hashes): each row's shingle set as ordered 64-bit words in bytes."""
+def _sets(rows: DataFrame) -> DataFrame:
+    """(key, hashes): the shingle set of each row's `text` as ordered 64-bit words in bytes."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +114,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             low = [np.ascontiguousarray(h[:, 0]).tobytes() for h in found]
             yield pa.record_batch([_signed([set_key(h) for h in found]), pa.array(low, pa.binary())], names=["key", "hashes"])
 
-    return _rows(docs).mapInArrow(of, "key long, hashes binary")
+    return rows.select("text").mapInArrow(of, "key long, hashes binary")
 
 
 def _near(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, radius: int) -> np.ndarray:
@@ -200,8 +201,9 @@ def candidate_links(entries: DataFrame, radius: int = RADIUS, tile: int | None =
 def similar_links(members: DataFrame, radius: int = RADIUS, tile: int = SET_TILE) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of `members` (root, key, a, b, hashes) of one root that
     are within the radius and similar."""
-    parts = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
-    placed = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    large = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts")).filter("parts > 1")
+    placed = members.join(written(large, "large-roots"), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     entry = F.struct("key", "a", "b", "hashes")
     tiles = written(placed.groupBy("root", "part").agg(F.first("parts").alias("parts"), F.collect_list(entry).alias("entries")), "set-tiles")
     pairs = tiles.select("root", F.col("part").alias("x_part"), F.col("entries").alias("x"), F.explode(F.expr("sequence(part, parts - 1)")).alias("part"))
@@ -223,23 +225,46 @@ def similar_links(members: DataFrame, radius: int = RADIUS, tile: int = SET_TILE
 def near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of `docs`: doc_id, component_id (smallest doc_id that chains of similar texts reach).
 
-    Texts without words are one component. A null doc_id is never a component's id while the component has another."""
+    Null and empty texts have no words; those without words are one component. A null doc_id is never a component's
+    id while the component has another. Repeated rows come out as they came in; an empty table gives an empty result;
+    columns other than doc_id and text are ignored."""
+    marks, of_key = _components(docs, radius)
+    return marks.select("doc_id", "key").join(of_key, "key").select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def _components(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and (key, first): the component's first text, by doc_id (null last), hash and key."""
     marks = written(sketches(docs), "sketches")
-    grouped = marks.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("a").alias("a"), F.first("b").alias("b"))
-    entries = written(grouped, "sketch-entries")
+    texts_of = marks.groupBy("key", "doc_id", "t").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("a").alias("a"), F.first("b").alias("b"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "n")).alias("least")
+    entries = written(texts_of.groupBy("key").agg(least, F.first("size").alias("size"), F.first("a").alias("a"), F.first("b").alias("b")), "sketch-entries")
     linked = connected_components(written(candidate_links(entries, radius), "sketch-links"))
     members = written(entries.join(linked.select(F.col("node").alias("key"), "root"), "key"), "linked")
-    ids = members.select(F.col("least").alias("_id")).distinct()
-    sets = _sets(docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")).dropDuplicates(["key"])
+    wanted = members.select(F.col("least.doc_id").alias("id"), F.col("least.t").alias("mark")).distinct()
+    whole = _rows(docs)
+    sets = _sets(whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("mark")), "left_semi")).dropDuplicates(["key"])
     links = written(similar_links(members.select("root", "key", "a", "b").join(sets, "key"), radius), "similar-links")
     roots = connected_components(links).select(F.col("node").alias("key"), "root")
     known = written(entries.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "near-roots")
-    smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_key = written(known.select("key", "root").join(smallest, "root").select("key", "component_id"), "near-ids")
-    return marks.select("doc_id", "key").join(of_key, "key").select("doc_id", "component_id")
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their component; all columns stay."""
-    kept = near_copies(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    first = F.min(F.struct("least.none", "least.doc_id", "least.t", "least.n", "key")).alias("first")
+    smallest = known.groupBy("root").agg(first)
+    return marks, written(known.select("key", "root").join(smallest, "root").select("key", "first"), "near-ids")
+
+
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of `docs` for each component of near copies: of smallest doc_id (null last), then of smallest hash of
+    the text; all columns stay, whatever their names.
+
+    Of rows repeated with one doc_id and text one stays, whose other columns sort first as JSON. An empty table gives
+    an empty one.
+    """
+    of_key = _components(docs, radius)[1]
+    kept = of_key.filter("key = first.key").select(F.col("first.doc_id").alias("id"), F.col("first.t").alias("mark"), F.col("first.n").alias("n"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    here = whole.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("t"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("mark"))
+    alone = here.join(kept.filter("n = 1"), same, "left_semi").select("row")
+    repeated = here.join(kept.filter("n > 1"), same, "left_semi")
+    order = Window.partitionBy("doc_id", "t").orderBy(F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256), F.to_json("row"))
+    one = repeated.withColumn("place", F.row_number().over(order)).filter("place = 1").select("row")
+    return alone.unionByName(one).select("row.*")

@@ -139,9 +139,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     of_mark = written(known.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "mark-components")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marks.join(of_mark, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their component; all columns stay."""
-    kept = near_duplicates(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
