@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, table
-from tidewire.operators import applied, attention, reports, scores, signals, stories, texts, words
+from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, news, table
+from tidewire.operators import applied, attention, ranking, reports, scores, selection, signals, stories, texts, words
+from tidewire.plans.ranking_sql import ranking_sql
+from tidewire.plans.selection_sql import selection_sql
 from tidewire.plans.reports_sql import reports_sql
 from tidewire.plans.scores_sql import scores_sql
 from tidewire.plans.words_sql import words_sql
@@ -39,20 +41,31 @@ _ON_TABLES = {
     "embedding_texts": ("documents", words.embedding_texts), "stem_counts": ("documents", words.stem_counts), "entity_counts": ("documents", words.entity_counts),
     "copy_purity": ("documents", scores.copy_purity),
     "turn_cosine": ("conversations", words.turn_cosine), "calibrated_distances": ("events", words.calibrated_distances), "centred_vectors": ("embeddings", words.centred_vectors),
+    "served_ads": ("orders", selection.served_ads), "on_this_day": ("orders", selection.on_this_day), "delivery_engagement": ("events", selection.delivery_engagement),
     "running_centroid": ("embeddings", reports.running_centroid), "clustering_quality": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v))),
     "running_centroid_vector": ("embeddings", reports.running_centroid_vector),
     "clustering_quality_vector": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v, first=None))),
 }
 
+_ON_NEWS = {
+    "source_weights": ranking.source_weights, "ranked_in_story": ranking.ranked_in_story, "story_scores": ranking.story_scores, "source_roles": ranking.source_roles,
+    "coverage": ranking.coverage, "summary_freshness": ranking.summary_freshness, "editor_signals": ranking.editor_signals, "lead_story": ranking.lead_story,
+    "source_reputation": ranking.source_reputation,
+    "news_page": selection.news_page, "archive_matches": selection.archive_matches, "followed_news": selection.followed_news, "live_candidates": selection.live_candidates,
+    "wire_candidates": selection.wire_candidates, "stub_stories": selection.stub_stories, "cyrillic_headlines": selection.cyrillic_headlines, "navigation_stories": selection.navigation_stories,
+    "entity_lookup": selection.entity_lookup, "merged_stories": selection.merged_stories, "brief_picks": selection.brief_picks, "archive_totals": selection.archive_totals, "title_pairs": selection.title_pairs,
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: (lambda s, d, f=f: f(articles(s, d))) for k, f in _ON_ARTICLES.items()}
+    out |= {k: (lambda s, d, f=f: f(news(s, d))) for k, f in _ON_NEWS.items()}
     return out | {k: (lambda s, d, t=t, f=f: f(table(s, d, t))) for k, (t, f) in _ON_TABLES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     a, now = ARTICLES_SQL, f"TIMESTAMP '{AS_OF}'"
-    return reports_sql() | scores_sql() | words_sql() | {
+    return reports_sql() | scores_sql() | words_sql() | ranking_sql() | selection_sql() | {
         "source_history": f"""WITH a AS {a}, s AS (SELECT cluster_id, arg_min(source, (created_at, id)) AS source, count(DISTINCT source) AS ns FROM a GROUP BY 1),
           l AS (SELECT source, count(*) AS leads, count(*) FILTER (ns >= 2) AS corroborated, count(*) FILTER (ns = 1) AS solo FROM s GROUP BY 1),
           r AS (SELECT source, count(*) AS articles, count(*) FILTER (created_at >= {now} - INTERVAL 7 DAY AND created_at < {now}) AS week,
