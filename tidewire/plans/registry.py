@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, news, table
-from tidewire.operators import applied, attention, ranking, reports, scores, selection, signals, stories, texts, words
+from tidewire.operators import applied, attention, ranking, reports, scores, search, selection, signals, stories, texts, words
 from tidewire.plans.ranking_sql import ranking_sql
+from tidewire.plans.search_sql import search_sql
 from tidewire.plans.selection_sql import selection_sql
 from tidewire.plans.reports_sql import reports_sql
 from tidewire.plans.scores_sql import scores_sql
@@ -56,16 +57,19 @@ _ON_NEWS = {
     "entity_lookup": selection.entity_lookup, "merged_stories": selection.merged_stories, "brief_picks": selection.brief_picks, "archive_totals": selection.archive_totals, "title_pairs": selection.title_pairs,
 }
 
+_ON_ALL = {f.__name__: f for f in (search.word_search, search.article_search, search.hybrid_search, search.semantic_search, search.related_stories, search.earlier_stories, search.for_reader, search.global_stories)}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: (lambda s, d, f=f: f(articles(s, d))) for k, f in _ON_ARTICLES.items()}
     out |= {k: (lambda s, d, f=f: f(news(s, d))) for k, f in _ON_NEWS.items()}
+    out |= _ON_ALL
     return out | {k: (lambda s, d, t=t, f=f: f(table(s, d, t))) for k, (t, f) in _ON_TABLES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     a, now = ARTICLES_SQL, f"TIMESTAMP '{AS_OF}'"
-    return reports_sql() | scores_sql() | words_sql() | ranking_sql() | selection_sql() | {
+    return reports_sql() | scores_sql() | words_sql() | ranking_sql() | selection_sql() | search_sql() | {
         "source_history": f"""WITH a AS {a}, s AS (SELECT cluster_id, arg_min(source, (created_at, id)) AS source, count(DISTINCT source) AS ns FROM a GROUP BY 1),
           l AS (SELECT source, count(*) AS leads, count(*) FILTER (ns >= 2) AS corroborated, count(*) FILTER (ns = 1) AS solo FROM s GROUP BY 1),
           r AS (SELECT source, count(*) AS articles, count(*) FILTER (created_at >= {now} - INTERVAL 7 DAY AND created_at < {now}) AS week,
