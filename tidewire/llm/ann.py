@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm._store import written
+from tidewire.llm._store import kept, scratch, written
 
 NEAREST, DEGREE, REVERSE, ROUNDS, STARTS, BLOCK = 20, 32, 32, 4, 4, 400
 BEAM, HOPS, PARTNERS, RESCORED = 256, 4, 10, 3
@@ -234,25 +234,27 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = NEAREST) -> DataFra
     """
     spark = embeddings.sparkSession
     rows = usable(embeddings)
-    known = written(nodes(rows, k), "nodes")
-    n, dims = known.agg(F.count(F.lit(1)), F.max(F.size("e"))).collect()[0]
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    codes = written(coded(known), "codes")
-    graph = build_graph(codes, n, dims)
-    codes = codes.drop("dims")
-    # Every query of a group of equal vectors, however many: a crowded vector's rows are split by the skew join.
-    queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "e").distinct()
-    queries = written(queries.join(known.select("e", F.col("id").alias("u")), "e").select("query_id", "u"), "queries")
-    asked = queries.select(F.col("u").alias("id")).distinct()
-    short = best(search(graph, codes, asked), RESCORED * k).select("u", "v").unionByName(asked.select(F.col("id").alias("u"), F.col("id").alias("v")))
-    left = known.select(F.col("id").alias("u"), F.col("e").alias("a"))
-    right = known.select(F.col("id").alias("v"), F.col("ids").alias("vec_ids"), F.col("e").alias("b"))
-    exact = short.join(left, "u").join(right, "v").select("u", "vec_ids", _inner(F.col("a"), F.col("b")).alias("score"))
-    exact = exact.select("u", F.explode("vec_ids").alias("vec_id"), "score")
-    place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("score"), "vec_id"))
-    first = exact.withColumn("r", place).filter(F.col("r") <= k + 1)  # one more: a query leaves itself out
-    lists = first.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
-    others = F.slice(F.filter("near", lambda c: c["vec_id"] != F.col("query_id")), 1, k)
-    out = queries.join(lists, "u").select("query_id", F.posexplode(others).alias("at", "c"))
-    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("c.vec_id").alias("vec_id"), F.col("c.score").alias("score"))
+    with scratch() as made:
+        known = written(nodes(rows, k), "nodes")
+        n, dims = known.agg(F.count(F.lit(1)), F.max(F.size("e"))).collect()[0]
+        if not n:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        codes = written(coded(known), "codes")
+        graph = build_graph(codes, n, dims)
+        codes = codes.drop("dims")
+        # Every query of a group of equal vectors, however many: a crowded vector's rows are split by the skew join.
+        queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "e").distinct()
+        queries = written(queries.join(known.select("e", F.col("id").alias("u")), "e").select("query_id", "u"), "queries")
+        asked = queries.select(F.col("u").alias("id")).distinct()
+        short = best(search(graph, codes, asked), RESCORED * k).select("u", "v").unionByName(asked.select(F.col("id").alias("u"), F.col("id").alias("v")))
+        left = known.select(F.col("id").alias("u"), F.col("e").alias("a"))
+        right = known.select(F.col("id").alias("v"), F.col("ids").alias("vec_ids"), F.col("e").alias("b"))
+        exact = short.join(left, "u").join(right, "v").select("u", "vec_ids", _inner(F.col("a"), F.col("b")).alias("score"))
+        exact = exact.select("u", F.explode("vec_ids").alias("vec_id"), "score")
+        place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("score"), "vec_id"))
+        first = exact.withColumn("r", place).filter(F.col("r") <= k + 1)  # one more: a query leaves itself out
+        lists = first.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
+        others = F.slice(F.filter("near", lambda c: c["vec_id"] != F.col("query_id")), 1, k)
+        out = queries.join(lists, "u").select("query_id", F.posexplode(others).alias("at", "c"))
+        out = out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("c.vec_id").alias("vec_id"), F.col("c.score").alias("score"))
+        return kept(out, "nearest", made)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm._ranges import default_ranges, range_bucket, sortable, split_points
-from tidewire.llm._store import written
+from tidewire.llm._store import kept, scratch, written
 
 #: Characters of a text that the splitters hold.
 LEAD = 64
@@ -67,7 +67,9 @@ def _content_sorted(docs: DataFrame, n_ranges: int | None, stage: bool) -> tuple
         F.first("doc_id").over(group.orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("head"),
         F.count(F.lit(1)).over(group).alias("size"),
     )
-    return (marked if stage else local), _chains(local)
+    with scratch() as made:
+        chains = kept(_chains(local), "chains", made)
+    return (marked if stage else local), chains
 
 
 def _payload(docs: DataFrame, norm: Column, stage: bool) -> list[Column]:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm._ranges import bucket_prefix, default_ranges, range_bucket, split_points
-from tidewire.llm._store import Table, written
+from tidewire.llm._store import Table, kept, scratch, written
 
 WEIGHTS = (3, 1, 2)
 #: Share of all sizes that the mix takes; times that a source, and a document, may be read.
@@ -55,39 +55,39 @@ def fair_mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, repeats=REPEATS, n
     """
     spark = docs.sparkSession
     n_ranges = n_ranges or default_ranges(spark)
-    skey = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    sizes = Table(
-        spark,
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), skey.alias("skey"), size_of(F.col("text")).alias("size"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("row"),
-        ),
-        "sizes",
-    )
-    targets = written(source_targets(sizes.df, weights, budget, repeats).withColumn("skey", _skey()), "targets")
-    # The queues: one order over (source, MD5, size, row), so a source's rows lie side by side in few ranges or many.
-    order_key = F.concat(F.md5("skey"), "h", F.lpad(F.hex("size"), 16, "0"), F.lpad(F.hex("row"), 16, "0"))
-    rows = sizes.df.withColumn("p", range_bucket(order_key, split_points(sizes.df, order_key, n_ranges)))
-    inside = Window.partitionBy("p", "skey").orderBy("h", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy("skey", "p").agg(F.sum("size").alias("in_range"))
-    below = Window.partitionBy("skey").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range and source
-    before = written(totals.select("skey", "p", F.coalesce(F.sum("in_range").over(below), F.lit(0)).alias("before")), "queue-prefix")
-    running = rows.withColumn("inside", F.sum("size").over(inside)).join(before, ["skey", "p"])
-    known = targets.select("skey", "source_size", "target")
-    queue = written(
-        running.withColumn("cum", F.col("before") + F.col("inside")).select("doc_id", "source", "skey", "size", "row", "cum").join(known, "skey"), "queues"
-    )
-    sizes.drop()
-    # The global order by finish time; within a source no two rows of a reading finish together.
-    finish = (F.col("cum") + F.col("epoch") * F.col("source_size")) / F.col("target")
-    waiting = queue.filter("target > 0 and size > 0").withColumn("epoch", F.explode(F.array(*[F.lit(i) for i in range(repeats)]))).withColumn("finish", finish)
-    events = waiting.withColumn("p", range_bucket(F.col("finish"), split_points(waiting, F.col("finish"), n_ranges)))
-    by_finish = Window.partitionBy("p").orderBy("finish", "skey", "epoch", F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, 0)
-    lower = written(bucket_prefix(events, "p", lower=F.sum("size")), "finish-prefix")
-    total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).collect()[0][0]
-    limit = F.lit(float(total) * min(budget, repeats))
-    taken = events.withColumn("inside", F.sum("size").over(by_finish)).join(lower, "p").filter(F.col("lower") + F.col("inside") <= limit)
-    reached = written(taken.groupBy("skey").agg(F.max(F.col("cum") + F.col("epoch") * F.col("source_size")).alias("reached")), "reached")
+    with scratch() as made:
+        skey = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+        sizes = Table(
+            spark,
+            docs.select(
+                F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), skey.alias("skey"), size_of(F.col("text")).alias("size"),
+                F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("row"),
+            ),
+            "sizes",
+        )
+        targets = written(source_targets(sizes.df, weights, budget, repeats).withColumn("skey", _skey()), "targets")
+        # The queues: one order over (source, MD5, size, row), so a source's rows lie side by side in few ranges or many.
+        order_key = F.concat(F.md5("skey"), "h", F.lpad(F.hex("size"), 16, "0"), F.lpad(F.hex("row"), 16, "0"))
+        rows = sizes.df.withColumn("p", range_bucket(order_key, split_points(sizes.df, order_key, n_ranges)))
+        inside = Window.partitionBy("p", "skey").orderBy("h", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+        totals = rows.groupBy("skey", "p").agg(F.sum("size").alias("in_range"))
+        below = Window.partitionBy("skey").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range and source
+        before = written(totals.select("skey", "p", F.coalesce(F.sum("in_range").over(below), F.lit(0)).alias("before")), "queue-prefix")
+        running = rows.withColumn("inside", F.sum("size").over(inside)).join(before, ["skey", "p"])
+        known = targets.select("skey", "source_size", "target")
+        queue = kept(
+            running.withColumn("cum", F.col("before") + F.col("inside")).select("doc_id", "source", "skey", "size", "row", "cum").join(known, "skey"), "queues", made
+        )
+        # The global order by finish time; within a source no two rows of a reading finish together.
+        finish = (F.col("cum") + F.col("epoch") * F.col("source_size")) / F.col("target")
+        waiting = queue.filter("target > 0 and size > 0").withColumn("epoch", F.explode(F.array(*[F.lit(i) for i in range(repeats)]))).withColumn("finish", finish)
+        events = waiting.withColumn("p", range_bucket(F.col("finish"), split_points(waiting, F.col("finish"), n_ranges)))
+        by_finish = Window.partitionBy("p").orderBy("finish", "skey", "epoch", F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, 0)
+        lower = written(bucket_prefix(events, "p", lower=F.sum("size")), "finish-prefix")
+        total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).collect()[0][0]
+        limit = F.lit(float(total) * min(budget, repeats))
+        taken = events.withColumn("inside", F.sum("size").over(by_finish)).join(lower, "p").filter(F.col("lower") + F.col("inside") <= limit)
+        reached = kept(taken.groupBy("skey").agg(F.max(F.col("cum") + F.col("epoch") * F.col("source_size")).alias("reached")), "reached", made)
     times = [F.when(F.col("cum") + i * F.col("source_size") <= F.col("reached"), F.col("size")).otherwise(0) for i in range(repeats)]
     return queue.join(reached, "skey", "left").select(
         "doc_id", "source", "size", "source_size", "target", sum(times[1:], times[0]).cast("long").alias("taken")
@@ -117,7 +117,8 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     alone = found.filter("rows = 1").select("row", F.col("n").alias("times"))
     # Repeated rows are numbered in two levels, within the slice of the table that `at` names, and over the slices.
     # They are written first: the numbers of a table that is computed twice could differ.
-    many = written(here.join(plan.filter("rows > 1"), same).withColumn("slice", F.shiftright("at", 33)), "repeated")
+    shared_keys = written(plan.filter("rows > 1"), "repeated-keys")  # few or none: its size lets the join be a broadcast
+    many = written(here.join(shared_keys, same).withColumn("slice", F.shiftright("at", 33)), "repeated")
     keys = ["id", "words", "from"]
     per = many.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("held"))
     below = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

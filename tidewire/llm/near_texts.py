@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm._store import written
+from tidewire.llm._store import kept, scratch, written
 from tidewire.llm._texts import texts
 from tidewire.llm.components import connected_components
 from tidewire.llm.simhash import LEAST_TILE, MOST_TILE, TILES, _root
@@ -233,22 +233,26 @@ def near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _components(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Sketches of all rows, and (key, first): the component's first text, by doc_id (null last), hash and key."""
-    marks = written(sketches(docs), "sketches")
-    texts_of = marks.groupBy("key", "doc_id", "t").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("a").alias("a"), F.first("b").alias("b"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "n")).alias("least")
-    entries = written(texts_of.groupBy("key").agg(least, F.first("size").alias("size"), F.first("a").alias("a"), F.first("b").alias("b")), "sketch-entries")
-    linked = connected_components(written(candidate_links(entries, radius), "sketch-links"))
-    members = written(entries.join(linked.select(F.col("node").alias("key"), "root"), "key"), "linked")
-    wanted = members.select(F.col("least.doc_id").alias("id"), F.col("least.t").alias("mark")).distinct()
-    whole = _rows(docs)
-    sets = _sets(whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("mark")), "left_semi")).dropDuplicates(["key"])
-    links = written(similar_links(members.select("root", "key", "a", "b").join(sets, "key"), radius), "similar-links")
-    roots = connected_components(links).select(F.col("node").alias("key"), "root")
-    known = written(entries.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "near-roots")
-    first = F.min(F.struct("least.none", "least.doc_id", "least.t", "least.n", "key")).alias("first")
-    smallest = known.groupBy("root").agg(first)
-    return marks, written(known.select("key", "root").join(smallest, "root").select("key", "first"), "near-ids")
+    """Sketches of all rows, and (key, first): the component's first text, by doc_id (null last), hash and key.
+
+    Both are written; all that leads to them is dropped."""
+    with scratch() as made:
+        marks = kept(sketches(docs), "sketches", made)
+        texts_of = marks.groupBy("key", "doc_id", "t").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("a").alias("a"), F.first("b").alias("b"))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "n")).alias("least")
+        entries = written(texts_of.groupBy("key").agg(least, F.first("size").alias("size"), F.first("a").alias("a"), F.first("b").alias("b")), "sketch-entries")
+        linked = connected_components(written(candidate_links(entries, radius), "sketch-links"))
+        members = written(entries.join(linked.select(F.col("node").alias("key"), "root"), "key"), "linked")
+        # Written first: where few texts are linked, their small table is broadcast and no text moves.
+        wanted = written(members.select(F.col("least.doc_id").alias("id"), F.col("least.t").alias("mark")).distinct(), "linked-texts")
+        whole = _rows(docs)
+        sets = _sets(whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("mark")), "left_semi")).dropDuplicates(["key"])
+        links = written(similar_links(members.select("root", "key", "a", "b").join(sets, "key"), radius), "similar-links")
+        roots = connected_components(links).select(F.col("node").alias("key"), "root")
+        known = written(entries.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "near-roots")
+        first = F.min(F.struct("least.none", "least.doc_id", "least.t", "least.n", "key")).alias("first")
+        smallest = known.groupBy("root").agg(first)
+        return marks, kept(known.select("key", "root").join(smallest, "root").select("key", "first"), "near-ids", made)
 
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -259,12 +263,13 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     an empty one.
     """
     of_key = _components(docs, radius)[1]
-    kept = of_key.filter("key = first.key").select(F.col("first.doc_id").alias("id"), F.col("first.t").alias("mark"), F.col("first.n").alias("n"))
+    stays = of_key.filter("key = first.key").select(F.col("first.doc_id").alias("id"), F.col("first.t").alias("mark"), F.col("first.n").alias("n"))
+    repeats = written(stays.filter("n > 1"), "repeated-texts")  # few or none: its size lets the join be a broadcast
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     here = whole.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("t"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("mark"))
-    alone = here.join(kept.filter("n = 1"), same, "left_semi").select("row")
-    repeated = here.join(kept.filter("n > 1"), same, "left_semi")
+    alone = here.join(stays.filter("n = 1"), same, "left_semi").select("row")
+    repeated = here.join(repeats, same, "left_semi")
     order = Window.partitionBy("doc_id", "t").orderBy(F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256), F.to_json("row"))
     one = repeated.withColumn("place", F.row_number().over(order)).filter("place = 1").select("row")
     return alone.unionByName(one).select("row.*")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidewire.llm._ranges import bucket_prefix, default_ranges, range_bucket, sortable, split_points
-from tidewire.llm._store import written
+from tidewire.llm._store import kept, scratch, written
 
 SHARDS, BITS, DIMENSIONS = 16, 8, 3
 #: A group of equal texts with less than this share of a shard's bytes stays in one shard.
@@ -70,46 +70,47 @@ def curve_shards(docs: DataFrame, shards: int = SHARDS, n_ranges: int | None = N
     MD5, then doc_id, null last. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    data = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    rows = written(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
-            F.coalesce(F.col("n_chars").cast("long"), F.lit(0)).alias("n_chars"), (F.octet_length(data) + 1).cast("long").alias("size"),
-            F.crc32(data).alias("text_crc32"), F.concat(F.md5(data), F.when(F.col("text").isNull(), "n").otherwise("t")).alias("h"),
-        ),
-        "shard-rows",
-    )
-    first = F.min(F.struct("doc_id", "source", "lang", "n_chars")).alias("r")
-    copies = written(
-        rows.groupBy("h").agg(first, F.count(F.lit(1)).alias("n"), F.sum("size").alias("group_bytes")).filter("n > 1")
-        .select("h", F.col("r.source").alias("r_source"), F.col("r.lang").alias("r_lang"), F.col("r.n_chars").alias("r_chars"), "group_bytes"),
-        "copies",
-    )
-    grouped = rows.join(copies, "h", "left")
-    of_group = lambda own, rep: F.when(F.col("group_bytes").isNull(), F.col(own)).otherwise(F.col(rep)).alias(own)
-    grouped = grouped.select("doc_id", "size", "text_crc32", "h", "group_bytes", of_group("source", "r_source"), of_group("lang", "r_lang"), of_group("n_chars", "r_chars"))
-    for name in ("source", "lang"):
-        levels = written(_levels(rows, name), f"{name}-levels")
-        grouped = grouped.join(levels, F.col(name).eqNullSafe(F.col(f"{name}_value")), "left")
-    chars = F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(F.greatest(F.col("n_chars"), F.lit(0)) + 1) * 12)).cast("int")
-    level = lambda name: F.coalesce(F.col(name), F.lit((1 << BITS) - 1))
-    placed = grouped.withColumn("curve", _curve(level("source_level"), level("lang_level"), chars))
-    placed = written(placed.select("doc_id", "size", "text_crc32", "h", "group_bytes", "curve"), "on-curve")
-    key = F.concat(F.lpad(F.hex("curve"), 6, "0"), "h", sortable(F.col("doc_id")))
-    ranged = placed.withColumn("p", range_bucket(key, split_points(placed, key, n_ranges or default_ranges(spark))))
-    order = Window.partitionBy("p").orderBy("curve", "h", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    inner = ranged.withColumn("end_in", F.sum("size").over(order)).withColumn("rank_in", F.count(F.lit(1)).over(order))
-    below = written(bucket_prefix(ranged, "p", bytes_below=F.sum("size"), rows_below=F.count(F.lit(1))), "range-prefix")
-    total = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
-    at = written(
-        inner.join(below, "p").select(
-            "doc_id", "size", "text_crc32", "h", "group_bytes", "curve",
-            (F.col("bytes_below") + F.col("end_in")).alias("end"), (F.col("rows_below") + F.col("rank_in")).alias("rank"),
-        ),
-        "in-order",
-    )
-    small = F.col("group_bytes") <= WHOLE_GROUP * total / shards
-    starts = written(at.filter(small).groupBy("h").agg(F.min(F.col("end") - F.col("size")).alias("group_start")), "group-starts")
+    with scratch() as made:
+        data = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+        rows = written(
+            docs.select(
+                F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+                F.coalesce(F.col("n_chars").cast("long"), F.lit(0)).alias("n_chars"), (F.octet_length(data) + 1).cast("long").alias("size"),
+                F.crc32(data).alias("text_crc32"), F.concat(F.md5(data), F.when(F.col("text").isNull(), "n").otherwise("t")).alias("h"),
+            ),
+            "shard-rows",
+        )
+        first = F.min(F.struct("doc_id", "source", "lang", "n_chars")).alias("r")
+        copies = written(
+            rows.groupBy("h").agg(first, F.count(F.lit(1)).alias("n"), F.sum("size").alias("group_bytes")).filter("n > 1")
+            .select("h", F.col("r.source").alias("r_source"), F.col("r.lang").alias("r_lang"), F.col("r.n_chars").alias("r_chars"), "group_bytes"),
+            "copies",
+        )
+        grouped = rows.join(copies, "h", "left")
+        of_group = lambda own, rep: F.when(F.col("group_bytes").isNull(), F.col(own)).otherwise(F.col(rep)).alias(own)
+        grouped = grouped.select("doc_id", "size", "text_crc32", "h", "group_bytes", of_group("source", "r_source"), of_group("lang", "r_lang"), of_group("n_chars", "r_chars"))
+        for name in ("source", "lang"):
+            levels = written(_levels(rows, name), f"{name}-levels")
+            grouped = grouped.join(levels, F.col(name).eqNullSafe(F.col(f"{name}_value")), "left")
+        chars = F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(F.greatest(F.col("n_chars"), F.lit(0)) + 1) * 12)).cast("int")
+        level = lambda name: F.coalesce(F.col(name), F.lit((1 << BITS) - 1))
+        placed = grouped.withColumn("curve", _curve(level("source_level"), level("lang_level"), chars))
+        placed = written(placed.select("doc_id", "size", "text_crc32", "h", "group_bytes", "curve"), "on-curve")
+        key = F.concat(F.lpad(F.hex("curve"), 6, "0"), "h", sortable(F.col("doc_id")))
+        ranged = placed.withColumn("p", range_bucket(key, split_points(placed, key, n_ranges or default_ranges(spark))))
+        order = Window.partitionBy("p").orderBy("curve", "h", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+        inner = ranged.withColumn("end_in", F.sum("size").over(order)).withColumn("rank_in", F.count(F.lit(1)).over(order))
+        below = written(bucket_prefix(ranged, "p", bytes_below=F.sum("size"), rows_below=F.count(F.lit(1))), "range-prefix")
+        total = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
+        at = kept(
+            inner.join(below, "p").select(
+                "doc_id", "size", "text_crc32", "h", "group_bytes", "curve",
+                (F.col("bytes_below") + F.col("end_in")).alias("end"), (F.col("rows_below") + F.col("rank_in")).alias("rank"),
+            ),
+            "in-order", made,
+        )
+        small = F.col("group_bytes") <= WHOLE_GROUP * total / shards
+        starts = kept(at.filter(small).groupBy("h").agg(F.min(F.col("end") - F.col("size")).alias("group_start")), "group-starts", made)
     middle = F.coalesce(F.col("group_start") + F.col("group_bytes") / 2, F.col("end") - F.col("size") / 2)
     shard = F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(float(max(total, 1))))).cast("int")
     cut = at.join(starts, "h", "left").withColumn("shard", shard)

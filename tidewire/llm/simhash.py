@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm._store import written
+from tidewire.llm._store import kept, scratch, written
 from tidewire.llm._texts import texts
 from tidewire.llm.components import connected_components
 
@@ -130,12 +130,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     id while the component has another; repeated rows come out as they came in. An empty table gives an empty
     result; columns other than doc_id and text are ignored.
     """
-    marks = written(fingerprints(docs), "fingerprints")
-    distinct = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = written(fingerprint_links(distinct.select("fp"), radius), "links")
-    roots = written(connected_components(links).select(F.col("node").alias("fp"), "root"), "component-roots")
-    known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    of_mark = written(known.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "mark-components")
+    with scratch() as made:
+        marks = kept(fingerprints(docs), "fingerprints", made)
+        distinct = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        links = written(fingerprint_links(distinct.select("fp"), radius), "links")
+        roots = written(connected_components(links).select(F.col("node").alias("fp"), "root"), "component-roots")
+        known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        smallest = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+        of_mark = kept(known.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "mark-components", made)
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marks.join(of_mark, "fp").select("doc_id", text.alias("fingerprint"), "component_id")

@@ -35,7 +35,7 @@ ROW_FEATURES = 4096
 #: Steps and weight decay of the fit.
 _STEPS, _L2 = 400, 1e-3
 #: Words whose features a worker remembers.
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 100_000
 
 
 def features_of(word: bytes) -> list[int]:
