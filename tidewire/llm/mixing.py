@@ -113,7 +113,7 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
         F.coalesce(F.concat(F.lit("s"), F.col("row.source").cast("string")), F.lit("n")).alias("from"), F.monotonically_increasing_id().alias("at"),
     )
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size")) & (F.col("from") == F.col("skey"))
-    found = here.join(plan, same)
+    found = here.join(plan.hint("merge"), same)  # as many rows as documents, at every size
     alone = found.filter("rows = 1").select("row", F.col("n").alias("times"))
     # Repeated rows are numbered in two levels, within the slice of the table that `at` names, and over the slices.
     # They are written first: the numbers of a table that is computed twice could differ.

@@ -268,7 +268,7 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     here = whole.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("t"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("mark"))
-    alone = here.join(stays.filter("n = 1"), same, "left_semi").select("row")
+    alone = here.join(stays.filter("n = 1").hint("merge"), same, "left_semi").select("row")
     repeated = here.join(repeats, same, "left_semi")
     order = Window.partitionBy("doc_id", "t").orderBy(F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256), F.to_json("row"))
     one = repeated.withColumn("place", F.row_number().over(order)).filter("place = 1").select("row")
