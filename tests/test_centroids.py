@@ -20,5 +20,5 @@ def test_running_centroid_of_all_components(spark):
 def test_clusters_of_all_components(spark):
     rows = [(1, 0, [0.0] * 10 + [5.0, 1.0]), (2, 0, [1.0] + [0.0] * 9 + [5.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
-    assert {r.found for r in reports.vector_clusters(vectors, first=None).collect()} == {11}
+    assert {r.found for r in reports.vector_clusters(vectors).collect()} == {11}
     assert "clustering_quality_vector" in registry.queries()

@@ -38,8 +38,9 @@ def numbers(text: Column) -> Column:
 
 
 def tone(text: Column, good: tuple[str, ...] = FOR, bad: tuple[str, ...] = AGAINST) -> Column:
-    """(p - n) / (p + n) over distinct lower-case words; 0 where none is known."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))
+    """(p - n) / (p + n) over distinct lower-case words, split at white space, so punctuation stays on them; 0 where none
+    is known (F30)."""
+    words = F.array_distinct(F.split(F.lower(text), r"[ \t\n\r]+"))
     known = lambda of: F.size(F.array_intersect(words, F.array(*map(F.lit, of))))
     p, n = known(good), known(bad)
     return F.when(p + n > 0, (p - n) / (p + n)).otherwise(F.lit(0.0))

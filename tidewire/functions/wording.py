@@ -20,20 +20,27 @@ CYRILLIC, LATIN = "абвгдђежзијклмнопрстћуфхцчш", "abv
 DIGRAPHS = (("љ", "lj"), ("њ", "nj"), ("џ", "dž"), ("Љ", "Lj"), ("Њ", "Nj"), ("Џ", "Dž"))
 #: Words that are no tokens and no entities; callers may pass their own.
 STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "der", "die", "das", "les", "des", "los", "las")
-#: What a title's key leaves out, in order: pattern, replacement.
-TITLE_STEPS = (
-    (r"<[^>]+>", " "), (r"(?i)^ *\[(live|update|breaking|video|photo)\] *", ""), (r"(?i)^ *(live|update|updated|breaking) *[:-] *", ""),
-    (r"(?i) *[-–—|] *(live updates?|updated|video|photo|gallery) *$", ""), (r"\b[0-9]{1,2}:[0-9]{2}\b", ""), (r"(?i)\b(live|updates?|updated)\b", ""),
-    ("[\"'“”‘’`]+", ""), (r"[!?,.;:()\[\]{}]+", ""), (r"[ \t\n\r\f]+", " "),
-)
-ENTITY = r"(?:^|[^\p{L}\p{N}_])([A-ZА-ШЃЌЅЉЊЏ][\p{L}\p{N}_-]+[\p{L}\p{N}_])"
+#: Marks of titles that run on or show something: anywhere, in brackets or before a colon at the start, after a dash at the end.
+RUNNING, OPENING, CLOSING = ("live", "update", "updates", "updated"), ("live", "update", "updated", "breaking"), ("video", "photo", "gallery")
+BRACKETED = ("[live]", "[update]", "[breaking]", "[video]", "[photo]")
+DASHES, PUNCTUATION = ("-", "–", "—", "|"), "\"'“”‘’`!?,.;:()[]{}"
+ENTITY = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_-]+[\p{L}\p{N}_])"
 TOKEN = r"[\p{L}\p{N}_-]{3,}"
 
 
 def title_key(title: Column) -> Column:
-    """A title for comparison: no tags, live marks, times, quotes, punctuation or capitals (F3); null is empty."""
-    steps = reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), TITLE_STEPS, F.coalesce(title, F.lit("")))
-    return F.lower(F.trim(steps))
+    """A title for comparison, word by word: without tags, live marks, times, quotes, punctuation and capitals."""
+    plain = F.lower(F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), "<[^>]+>", " ")))
+    words = F.filter(F.split(plain, "[ \t\n\r\f]+"), lambda w: w != "")
+    first = F.get(words, F.lit(0))
+    opening = first.isin(*BRACKETED) | F.rtrim(first, F.lit(":-")).isin(*OPENING) & first.rlike("[:-]$")
+    words = F.when(opening, F.slice(words, 2, 1 << 30)).otherwise(words)
+    n = F.size(words)
+    shown = (n > 1) & F.get(words, n - 1).isin(*CLOSING) & F.get(words, n - 2).isin(*DASHES)
+    words = F.when(shown, F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0)))).otherwise(words)
+    words = F.filter(words, lambda w: ~w.rlike("^[0-9]{1,2}:[0-9]{2}[,.;!?]*$"))
+    words = F.filter(F.transform(words, lambda w: F.translate(w, PUNCTUATION, "")), lambda w: (w != "") & ~w.isin(*RUNNING))
+    return F.regexp_replace(F.array_join(words, " "), "( [-–—|])+$", "")
 
 
 def accents() -> tuple[str, str]:

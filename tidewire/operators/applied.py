@@ -11,6 +11,7 @@ from tidewire.sources import sinks
 
 
 def quiet_titles(docs: DataFrame) -> DataFrame:
+    """First lines, the titles, in sentence case where they shout."""
     return docs.select("doc_id", scalars.quiet_title(F.substring_index("text", "\n", 1)).alias("title"))
 
 
@@ -27,14 +28,17 @@ def number_counts(docs: DataFrame) -> DataFrame:
 
 
 def text_tone(conversations: DataFrame) -> DataFrame:
+    """Tone of each turn by a lexicon."""
     return conversations.select("conv_id", "turn", quantised(scalars.tone(F.col("text"))).alias("tone"))
 
 
 def entry_times(articles: DataFrame) -> DataFrame:
+    """Times of articles, the clock where they are out of range."""
     return articles.select("id", scalars.entry_time(F.col("created_at")).alias("at"))
 
 
 def ad_prices(events: DataFrame) -> DataFrame:
+    """Prices in cents."""
     return events.select("event_id", scalars.ad_cents(F.col("value")).alias("cents"))
 
 

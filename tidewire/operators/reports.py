@@ -43,13 +43,6 @@ def top_sample(articles: DataFrame, most: int = 8) -> DataFrame:
     return few.groupBy("category").agg(F.to_json(F.transform(rows, lambda r: F.struct(r["source"].alias("source"), r["n"].alias("n")))).alias("sample"))
 
 
-def running_centroid(vectors: DataFrame) -> DataFrame:
-    """The mean first component of each label as vectors arrive (A19, T-5)."""
-    so_far = Window.partitionBy("label").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = F.col("embedding")[0].cast("double")
-    return vectors.select("vec_id", "label", F.count(x).over(so_far).alias("n"), quantised(F.avg(x).over(so_far), 4).alias("mean"))
-
-
 def running_centroid_vector(vectors: DataFrame) -> DataFrame:
     """The mean vector of each label as vectors arrive, a row for each component (A19, T-5)."""
     parts = vectors.select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
@@ -91,10 +84,9 @@ def clustering_quality(assigned: DataFrame) -> DataFrame:
     return out.select("*", _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def vector_clusters(vectors: DataFrame, first: int | None = 10) -> DataFrame:
-    """Labels beside a cluster by the largest of the first components, or of all (None)."""
-    head = F.col("embedding") if first is None else F.slice("embedding", 1, first)
-    return vectors.select("label", F.array_position(head, F.array_max(head)).alias("found"))
+def vector_clusters(vectors: DataFrame) -> DataFrame:
+    """Labels beside a cluster by the largest component."""
+    return vectors.select("label", F.array_position("embedding", F.array_max("embedding")).alias("found"))
 
 
 def window_quality(articles: DataFrame, hours: int = 24) -> DataFrame:

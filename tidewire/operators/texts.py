@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.operators.gates import feed_link
 from tidewire.operators.stories import quantised
 
 
@@ -15,10 +16,9 @@ def reading_time(docs: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Links with lower-case scheme and host, without query, fragment and last slash; host without www (F1, F2)."""
-    bare = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", "")
+    """Links as feeds know them, and hosts in lower case without www (F1, F2)."""
     host = F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#:]+)", 1))
-    return pages.select("page_id", F.concat(F.lower(F.regexp_extract(bare, "^[A-Za-z]+://[^/]*", 0)), F.regexp_replace(bare, "^[A-Za-z]+://[^/]*", "")).alias("link"), F.regexp_replace(host, "^www[.]", "").alias("host"))
+    return pages.select("page_id", feed_link(F.col("url")).alias("link"), F.regexp_replace(host, "^www[.]", "").alias("host"))
 
 
 def centroids(vectors: DataFrame) -> DataFrame:

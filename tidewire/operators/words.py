@@ -10,24 +10,29 @@ from tidewire.operators.stories import quantised
 
 
 def title_keys(docs: DataFrame) -> DataFrame:
+    """Keys of the first lines."""
     return docs.select("doc_id", wording.title_key(F.substring_index("text", "\n", 1)).alias("key"))
 
 
 def folded_titles(docs: DataFrame) -> DataFrame:
+    """First lines without diacritics."""
     return docs.select("doc_id", wording.folded(F.substring_index("text", "\n", 1)).alias("title"))
 
 
 def cyrillic_titles(docs: DataFrame) -> DataFrame:
+    """First lines in Cyrillic script."""
     return docs.select("doc_id", wording.to_cyrillic(F.substring_index("text", "\n", 1)).alias("title"))
 
 
 def embedding_texts(docs: DataFrame) -> DataFrame:
+    """What a text's embedding is made of: the first line and 300 characters (F24), which is its feature."""
     return docs.select("doc_id", wording.embedding_text(F.col("text")).alias("input"))
 
 
 def stem_counts(docs: DataFrame) -> DataFrame:
     """Stems of all texts and how often each stands there."""
-    return docs.select(F.explode(wording.stems(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(wording.TOKEN), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.select(F.explode(wording.stems(F.col("word"))).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))  # each word is stemmed once
 
 
 def entity_counts(docs: DataFrame) -> DataFrame:
@@ -55,11 +60,10 @@ def calibrated_distances(events: DataFrame) -> DataFrame:
 
 
 def centred_vectors(vectors: DataFrame) -> DataFrame:
-    """Vectors less the mean of all, of length 1, component by component."""
-    parts = vectors.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    mean = parts.groupBy("i").agg(F.avg("x").alias("mean"))  # a row for each component
-    apart = parts.join(F.broadcast(mean), "i").select("vec_id", F.struct("i", (F.col("x") - F.col("mean")).alias("x")).alias("c"))
-    rows = apart.groupBy("vec_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
-    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda t, c: t + c["x"] * c["x"]))
-    rows = rows.select("vec_id", F.inline("c"), norm.alias("norm"))
+    """Vectors less the mean of all, of length 1, a row a component (F23). The mean is one row, broadcast."""
+    mean = vectors.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    whole = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("mean"))
+    apart = vectors.join(F.broadcast(whole)).select("vec_id", F.zip_with("embedding", "mean", lambda x, m: x.cast("double") - m).alias("c"))
+    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda t, x: t + x * x))
+    rows = apart.select("vec_id", norm.alias("norm"), F.posexplode("c").alias("i", "x"))
     return rows.select("vec_id", "i", quantised(F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(F.col("x")), 4).alias("x"))

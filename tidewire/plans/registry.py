@@ -47,9 +47,9 @@ _ON_TABLES = {
     "feed_links": ("pages", gates.feed_links), "page_feeds": ("pages", gates.page_feeds), "image_scores": ("pages", gates.image_scores), "page_images": ("pages", gates.page_images),
     "profiles": ("events", readers.profiles),
     "served_ads": ("orders", selection.served_ads), "on_this_day": ("orders", selection.on_this_day), "delivery_engagement": ("events", selection.delivery_engagement),
-    "running_centroid": ("embeddings", reports.running_centroid), "clustering_quality": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v))),
+    "running_centroid": ("embeddings", reports.running_centroid_vector), "clustering_quality": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v))),
     "running_centroid_vector": ("embeddings", reports.running_centroid_vector),
-    "clustering_quality_vector": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v, first=None))),
+    "clustering_quality_vector": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v))),
 }
 
 _ON_NEWS = {
@@ -101,17 +101,15 @@ def oracle_sql() -> dict[str, str]:
           SELECT cluster_id, (10 + 10 * least(fresh, 5) + CASE WHEN newest > {now} - INTERVAL 1 HOUR THEN 15 WHEN newest > {now} - INTERVAL 6 HOUR THEN 8 WHEN newest >= {now} - INTERVAL 24 HOUR THEN 3 ELSE 0 END)::BIGINT AS pulse FROM s""",
         "visitors": "SELECT ts::DATE::VARCHAR AS day, count(*) AS views, count(DISTINCT user_id) AS visitors FROM events GROUP BY 1",
         "reading_time": r"SELECT doc_id, greatest(1, ceil(len(regexp_extract_all(text, '[^ \t\n\r]+')) / 200.0::DOUBLE))::BIGINT AS minutes FROM documents",
-        "page_links": r"""WITH b AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS bare FROM pages)
-          SELECT page_id, lower(regexp_extract(bare, '^[A-Za-z]+://[^/]*', 0)) || regexp_replace(bare, '^[A-Za-z]+://[^/]*', '') AS link,
-            regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www[.]', '') AS host FROM b""",
+        "page_links": f"SELECT page_id, link, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www[.]', '') AS host FROM pages JOIN ({gates_sql()['feed_links']}) USING (page_id)",
         "centroids": "WITH p AS (SELECT label, (unnest(range(len(embedding))))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, i, floor(avg(x) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS mean FROM p GROUP BY 1, 2",
         "text_search": r"""WITH d AS (SELECT doc_id, lower(text) AS low, lower(split_part(text, chr(10), 1)) AS title FROM documents)
           SELECT doc_id, (CASE WHEN title = 'the' THEN 4 WHEN starts_with(title, 'the') THEN 3 WHEN contains(title, 'the') THEN 2 ELSE 1 END)::BIGINT AS rank FROM d WHERE contains(low, 'the')""",
         "language_sources": "WITH s AS (SELECT source, count(*) AS n, count(*) FILTER (lang <> 'en') AS \"foreign\" FROM documents GROUP BY 1) SELECT *, floor(100.0::DOUBLE * \"foreign\" / n * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS share FROM s",
         "staleness": f"WITH s AS (SELECT category, cluster_id, max(created_at) AS newest FROM {a} GROUP BY 1, 2) SELECT category, count(*) AS stories, count(*) FILTER (newest < {now} - INTERVAL 2 DAY) AS stale FROM s GROUP BY 1",
         "moving_stats": f"SELECT id, source, count(*) OVER w AS n, max(value) OVER w AS highest FROM {a} WINDOW w AS (PARTITION BY source ORDER BY created_at, id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)",
-        "recency_weight": f"""WITH d AS (SELECT id, (epoch_us({now}) - epoch_us(created_at)) / 8.64e10::DOUBLE AS days FROM {a})
-          SELECT id, (CASE WHEN days <= 2 THEN 1.0 WHEN days <= 7 THEN 0.82 WHEN days <= 14 THEN 0.58 WHEN days <= 30 THEN 0.32 ELSE 0.14 END)::DOUBLE AS weight FROM d""",
+        "recency_weight": f"""WITH d AS (SELECT id, CASE WHEN id % 10 <> 0 THEN (epoch_us({now}) - epoch_us(created_at)) / 8.64e10::DOUBLE END AS days FROM {a})
+          SELECT id, (CASE WHEN days IS NULL THEN 0.7 WHEN days <= 2 THEN 1.0 WHEN days <= 7 THEN 0.82 WHEN days <= 14 THEN 0.58 WHEN days <= 30 THEN 0.32 ELSE 0.14 END)::DOUBLE AS weight FROM d""",
         "nearest_days": f"SELECT max(created_at::DATE) FILTER (created_at::DATE < DATE '2024-01-15')::VARCHAR AS before, min(created_at::DATE) FILTER (created_at::DATE > DATE '2024-01-15')::VARCHAR AS after FROM {a}",
         "key_counts": "SELECT try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
         "event_counters": "SELECT ts::DATE::VARCHAR AS day, event_type, props, count(*) AS n FROM events GROUP BY 1, 2, 3",
@@ -136,7 +134,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT conv_id, turn, CASE WHEN len(x) > 0 AND len(y) > 0 THEN floor((n::DOUBLE / (len(x) + len(y) - n)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE ELSE 0.0::DOUBLE END AS overlap FROM j""",
         "number_counts": r"""WITH f AS (SELECT unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) AS x FROM documents)
           SELECT CASE WHEN regexp_full_match(x, '[0-9]{1,3}([.,][0-9]{3})+') THEN regexp_replace(x, '[.,]', '', 'g') ELSE replace(x, ',', '.') END AS number, count(*) AS n FROM f GROUP BY 1""",
-        "text_tone": """WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM conversations),
+        "text_tone": r"""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_split_to_array(lower(text), '[ \t\n\r]+')) AS x FROM conversations),
           k AS (SELECT *, len(list_intersect(x, ['good', 'great', 'win', 'growth', 'success'])) AS p, len(list_intersect(x, ['bad', 'crisis', 'war', 'loss', 'attack'])) AS n FROM w)
           SELECT conv_id, turn, CASE WHEN p + n > 0 THEN floor(((p::DOUBLE - n) / (p + n)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE ELSE 0.0::DOUBLE END AS tone FROM k""",
         "ad_prices": "SELECT event_id, greatest(floor(value * 100.0::DOUBLE * (1.0::DOUBLE - 0.15::DOUBLE) + 0.5::DOUBLE), 50)::BIGINT AS cents FROM events",

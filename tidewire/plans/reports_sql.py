@@ -10,6 +10,11 @@ def _q(x: str, digits: int = 6) -> str:
 
 
 def reports_sql() -> dict[str, str]:
+    out = _reports_sql()
+    return out | {f"{k}_vector": out[k] for k in ("running_centroid", "clustering_quality")}
+
+
+def _reports_sql() -> dict[str, str]:
     a, now = ARTICLES_SQL, f"TIMESTAMP '{AS_OF}'"
     since = lambda h: f"(created_at >= {now} - INTERVAL {h} HOUR AND created_at < {now})"
     ratio = lambda x, y: _q(f"({x})::DOUBLE / nullif({y}, 0)")
@@ -21,9 +26,7 @@ def reports_sql() -> dict[str, str]:
         "story_text": f"SELECT cluster_id, string_agg(category, ', ' ORDER BY created_at, id) AS words FROM {a} GROUP BY 1",
         "top_sample": f"""WITH n AS (SELECT category, source, count(*) AS n FROM {a} GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, source) AS place FROM n QUALIFY place <= 8)
           SELECT category, to_json(list(struct_pack(source := source, n := n) ORDER BY place))::VARCHAR AS sample FROM p GROUP BY 1""",
-        "running_centroid": f"""SELECT vec_id, label, count(embedding[1]) OVER w AS n, {_q("avg(embedding[1]::DOUBLE) OVER w", 4)} AS mean FROM embeddings
-          WINDOW w AS (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING)""",
-        "running_centroid_vector": f"""WITH p AS (SELECT vec_id, label, unnest(range(len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+        "running_centroid": f"""WITH p AS (SELECT vec_id, label, unnest(range(len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
           SELECT vec_id, label, i, count(x) OVER w AS n, {_q("avg(x) OVER w", 4)} AS mean FROM p
           WINDOW w AS (PARTITION BY label, i ORDER BY vec_id ROWS UNBOUNDED PRECEDING)""",
         "provider_mix": f"""WITH s AS (SELECT source, {ratio(f"count(*) FILTER (category = 'purchase' AND {since(24)})", f"count(*) FILTER {since(24)}")} AS day,
@@ -32,11 +35,7 @@ def reports_sql() -> dict[str, str]:
         "adoption": f"WITH l AS (SELECT source, count(DISTINCT category) AS kinds FROM {a} GROUP BY 1) SELECT kinds, count(*) AS sources FROM l GROUP BY 1",
         "alert_engagement": f"""WITH s AS (SELECT source, created_at::DATE::VARCHAR AS day, count(*) FILTER (category = 'view') AS sent, count(*) FILTER (category = 'click') AS opened, count(*) FILTER (category = 'purchase') AS saved FROM {a} GROUP BY 1, 2)
           SELECT *, {ratio("opened", "sent")} AS open_rate, {ratio("saved", "sent")} AS save_rate FROM s WHERE sent >= 3""",
-        "clustering_quality": f"""WITH v AS (SELECT label, list_position(embedding[1:10], list_max(embedding[1:10])) AS found FROM embeddings), n AS (SELECT label, found, count(*) AS n FROM v GROUP BY 1, 2),
-          t AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS tp FROM n), p AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS p FROM (SELECT sum(n) AS n FROM n GROUP BY found)),
-          g AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS g FROM (SELECT sum(n) AS n FROM n GROUP BY label)), o AS (SELECT tp, p - tp AS fp, g - tp AS fn FROM t, p, g)
-          SELECT tp, fp, fn, {ratio("tp", "tp + fp")} AS precision, {ratio("tp", "tp + fn")} AS recall, {ratio("2 * tp", "2 * tp + fp + fn")} AS f1 FROM o""",
-        "clustering_quality_vector": f"""WITH v AS (SELECT label, list_position(embedding, list_max(embedding)) AS found FROM embeddings), n AS (SELECT label, found, count(*) AS n FROM v GROUP BY 1, 2),
+        "clustering_quality": f"""WITH v AS (SELECT label, list_position(embedding, list_max(embedding)) AS found FROM embeddings), n AS (SELECT label, found, count(*) AS n FROM v GROUP BY 1, 2),
           t AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS tp FROM n), p AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS p FROM (SELECT sum(n) AS n FROM n GROUP BY found)),
           g AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS g FROM (SELECT sum(n) AS n FROM n GROUP BY label)), o AS (SELECT tp, p - tp AS fp, g - tp AS fn FROM t, p, g)
           SELECT tp, fp, fn, {ratio("tp", "tp + fp")} AS precision, {ratio("tp", "tp + fn")} AS recall, {ratio("2 * tp", "2 * tp + fp + fn")} AS f1 FROM o""",

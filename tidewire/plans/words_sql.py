@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from tidewire.functions.wording import CALIBRATION, CYRILLIC, DIGRAPHS, ENTITY, LATIN, STOPWORDS, SUFFIXES, TITLE_STEPS, TOKEN
+from tidewire.functions.wording import CALIBRATION, CYRILLIC, DIGRAPHS, ENTITY, LATIN, STOPWORDS, SUFFIXES, TOKEN
 from tidewire.plans.reports_sql import _q
 
 _TITLE = "split_part(text, chr(10), 1)"
@@ -22,13 +22,16 @@ def _calibrated(x: str, back: bool) -> str:
 
 
 def words_sql() -> dict[str, str]:
-    key = reduce(lambda t, s: f"regexp_replace({t}, {_text(s[0])}, '{s[1]}', 'g')", TITLE_STEPS, f"coalesce({_TITLE}, '')")
     pairs = reduce(lambda t, p: f"replace({t}, '{p[1]}', '{p[0]}')", DIGRAPHS, _TITLE)
     stems = f"list_transform(list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda w: NOT list_contains({_STOP}, w)), lambda w: regexp_replace(w, '^(.{{3,}})({'|'.join(SUFFIXES)})$', '\\1'))"
     found = f"list_distinct(list_filter(list_transform(regexp_extract_all({_TITLE}, '{ENTITY}', 1), lambda w: lower(w)), lambda w: NOT list_contains({_STOP}, w)))"
     x = "((event_id % 2100) / 1000.0::DOUBLE)"
     return {
-        "title_keys": f"SELECT doc_id, lower(trim({key})) AS key FROM documents",
+        "title_keys": rf"""WITH a AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(trim(regexp_replace(coalesce({_TITLE}, ''), '<[^>]+>', ' ', 'g'))), '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM documents),
+          b AS (SELECT doc_id, CASE WHEN w[1] IN ('[live]', '[update]', '[breaking]', '[video]', '[photo]') OR regexp_full_match(w[1], '(live|update|updated|breaking)[:-]+') THEN w[2:] ELSE w END AS w FROM a),
+          c AS (SELECT doc_id, CASE WHEN len(w) > 1 AND w[-1] IN ('video', 'photo', 'gallery') AND w[-2] IN ('-', '–', '—', '|') THEN w[:-3] ELSE w END AS w FROM b),
+          d AS (SELECT doc_id, list_filter(list_transform(list_filter(w, lambda x: NOT regexp_full_match(x, '[0-9]{{1,2}}:[0-9]{{2}}[,.;!?]*')), lambda x: regexp_replace(x, '["''“”‘’`!?,.;:()\[\]{{}}]', '', 'g')), lambda x: x NOT IN ('', 'live', 'update', 'updates', 'updated')) AS w FROM c)
+          SELECT doc_id, regexp_replace(array_to_string(w, ' '), '( [-–—|])+$', '') AS key FROM d""",
         "folded_titles": f"SELECT doc_id, strip_accents({_TITLE}) AS title FROM documents",
         "cyrillic_titles": f"SELECT doc_id, CASE WHEN regexp_matches({_TITLE}, '[Ѐ-ӿ]') THEN {_TITLE} ELSE translate({pairs}, '{LATIN + LATIN.upper()}', '{CYRILLIC + CYRILLIC.upper()}') END AS title FROM documents",
         "embedding_texts": f"""SELECT doc_id, {_TITLE} || '. ' || substring(trim(regexp_replace(regexp_replace(text, '^[^\\n]*\\n?', ''), '<[^>]+>', ' ', 'g')), 1, 300) AS input FROM documents""",
