@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, news, table
-from tidewire.operators import applied, attention, gates, ranking, readers, reports, scores, search, selection, signals, stories, texts, words
+from tidewire.operators import applied, attention, gates, ranking, readers, reports, scores, search, selection, signals, statistics, stories, texts, words
 from tidewire.plans.gates_sql import gates_sql
 from tidewire.plans.ranking_sql import ranking_sql
 from tidewire.plans.search_sql import search_sql
 from tidewire.plans.selection_sql import selection_sql
 from tidewire.plans.reports_sql import reports_sql
 from tidewire.plans.scores_sql import scores_sql
+from tidewire.plans.statistics_sql import statistics_sql
 from tidewire.plans.words_sql import words_sql
 
 _ON_ARTICLES = {
@@ -31,6 +32,8 @@ _ON_ARTICLES = {
     "viewpoint_tiers": reports.viewpoint_tiers, "story_text": reports.story_text, "top_sample": reports.top_sample, "provider_mix": reports.provider_mix, "adoption": reports.adoption,
     "alert_engagement": reports.alert_engagement, "window_quality": reports.window_quality, "merged_nodes": reports.merged_nodes, "trending": reports.trending, "story_sessions": reports.story_sessions,
     "first_impressions": reports.first_impressions, "groomed_queue": reports.groomed_queue, "error_streaks": reports.error_streaks, "day_articles": reports.day_articles,
+    "filtered_facets": statistics.filtered_facets, "followers": statistics.followers, "stale_stories": statistics.stale_stories, "navigation_axes": statistics.navigation_axes,
+    "retention": statistics.retention, "fallback_reasons": statistics.fallback_reasons, "backlog": statistics.backlog, "last_timings": statistics.last_timings, "editor_rates": statistics.editor_rates,
     "source_policies": gates.source_policies, "ops_alerts": gates.ops_alerts,
 }
 _ON_TABLES = {
@@ -45,7 +48,7 @@ _ON_TABLES = {
     "copy_purity": ("documents", scores.copy_purity),
     "turn_cosine": ("conversations", words.turn_cosine), "calibrated_distances": ("events", words.calibrated_distances), "centred_vectors": ("embeddings", words.centred_vectors),
     "feed_links": ("pages", gates.feed_links), "page_feeds": ("pages", gates.page_feeds), "image_scores": ("pages", gates.image_scores), "page_images": ("pages", gates.page_images),
-    "profiles": ("events", readers.profiles),
+    "profiles": ("events", readers.profiles), "mood_days": ("events", statistics.mood_days), "checked_centroids": ("embeddings", statistics.checked_centroids),
     "served_ads": ("orders", selection.served_ads), "on_this_day": ("orders", selection.on_this_day), "delivery_engagement": ("events", selection.delivery_engagement),
     "running_centroid": ("embeddings", reports.running_centroid_vector), "clustering_quality": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v))),
     "running_centroid_vector": ("embeddings", reports.running_centroid_vector),
@@ -56,6 +59,7 @@ _ON_NEWS = {
     "source_weights": ranking.source_weights, "ranked_in_story": ranking.ranked_in_story, "story_scores": ranking.story_scores, "source_roles": ranking.source_roles,
     "coverage": ranking.coverage, "summary_freshness": ranking.summary_freshness, "editor_signals": ranking.editor_signals, "lead_story": ranking.lead_story,
     "source_reputation": ranking.source_reputation,
+    "aliased_edges": statistics.aliased_edges, "trending_words": statistics.trending_words, "ingest_gates": statistics.ingest_gates, "trust_tiers": statistics.trust_tiers,
     "languages": gates.languages, "fact_checks": gates.fact_checks, "junk_articles": gates.junk_articles, "classes": gates.classes, "number_grounding": gates.number_grounding,
     "complexity": gates.complexity, "editorial_patterns": gates.editorial_patterns, "citations": gates.citations, "cleaned_texts": gates.cleaned_texts,
     "reader_scores": readers.reader_scores, "follow_recommendations": readers.follow_recommendations, "digest": readers.digest,
@@ -76,7 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     a, now = ARTICLES_SQL, f"TIMESTAMP '{AS_OF}'"
-    return reports_sql() | scores_sql() | words_sql() | ranking_sql() | selection_sql() | search_sql() | gates_sql() | {
+    return reports_sql() | scores_sql() | words_sql() | ranking_sql() | selection_sql() | search_sql() | gates_sql() | statistics_sql(words_sql() | gates_sql()) | {
         "source_history": f"""WITH a AS {a}, s AS (SELECT cluster_id, arg_min(source, (created_at, id)) AS source, count(DISTINCT source) AS ns FROM a GROUP BY 1),
           l AS (SELECT source, count(*) AS leads, count(*) FILTER (ns >= 2) AS corroborated, count(*) FILTER (ns = 1) AS solo FROM s GROUP BY 1),
           r AS (SELECT source, count(*) AS articles, count(*) FILTER (created_at >= {now} - INTERVAL 7 DAY AND created_at < {now}) AS week,
