@@ -30,3 +30,10 @@ def added(known: DataFrame, rows: DataFrame, keys: list[str], sums: list[str], l
     """The table after `rows` are added: `sums` add up, `latest` take the greater, by key; a null key is a key."""
     both = known.unionByName(rows)
     return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in latest])
+
+
+def archived(known: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of `known` that an upsert of `rows` overwrites: what goes to the history first (S11). A null key is a key."""
+    new = rows.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return known.join(new, same, "left_semi")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,101 @@ def streaks(events: DataFrame, good: str = "view", limit: int = 3) -> DataFrame:
 
     rows = events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
     return rows.applyInPandasWithState(advance, "user_id long, run long, paused boolean", "run long", "update", GroupStateTimeout.NoTimeout)
+
+
+def first_impressions(events: DataFrame, within: str = "1 day") -> DataFrame:
+    """Each view that is the first of its user, topic and day (T-10). State goes once the watermark has passed the day."""
+    topic, day = F.get_json_object("props", "$.k"), F.date_format("ts", "yyyy-MM-dd")
+    views = events.filter("event_type = 'view'").withColumn("topic", topic).withColumn("day", day)
+    return views.withWatermark("ts", within).dropDuplicatesWithinWatermark(["user_id", "topic", "day"])
+
+
+def groomed(events: DataFrame, within: str = "1 day") -> DataFrame:
+    """A queue of tasks by user and type: the first of each within a day stays, repeats go; urgent types come with a
+    priority (T-12)."""
+    priority = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
+    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(["user_id", "event_type"]).withColumn("priority", priority)
+
+
+def rate_limited(events: DataFrame, limit: int = 60, seconds: int = 60, daily: int = 100) -> DataFrame:
+    """Whether each event of a user is let through: less than `limit` tries in the seconds before it, and `daily` tries of
+    the day at most; refused tries count too (T-6).
+
+    The state of a user is the last `limit` times and the count of the day, however many events come.
+    """
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, day, count = state.get if state.exists else ([], "", 0)
+        last = list(last)
+        batch = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        allowed = []
+        for at in batch["ts"]:
+            now, today = int(at.value // 1000), str(at.date())
+            count = count + 1 if today == day else 1
+            day = today
+            last = [x for x in last if x > now - seconds * 1_000_000]
+            allowed.append(len(last) < limit and count <= daily)
+            last = [*last, now][-limit:]
+        state.update((last, day, count))
+        yield pd.DataFrame({"event_id": batch["event_id"], "user_id": key[0], "allowed": allowed})
+
+    rows = events.select("user_id", "event_id", "ts").groupBy("user_id")
+    return rows.applyInPandasWithState(advance, "event_id long, user_id long, allowed boolean", "last array<long>, day string, count long", "append", GroupStateTimeout.NoTimeout)
+
+
+def throttled_alerts(events: DataFrame, gap: int = 90, story_gap: int = 180) -> DataFrame:
+    """Purchases as alerts to their user: sent if `gap` minutes have passed since any alert and `story_gap` since one on
+    the same topic; throttled ones change no state (T-11). Topics of the state that have waited long enough go."""
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, topics, times = state.get if state.exists else (-(1 << 60), [], [])
+        by_topic = dict(zip(topics, times, strict=True))
+        batch = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        sent = []
+        for row in batch.itertuples():
+            now = int(row.ts.value // 60_000_000_000)
+            fine = now - last >= gap and now - by_topic.get(row.topic, -(1 << 60)) >= story_gap
+            sent.append(fine)
+            if fine:
+                last, by_topic[row.topic] = now, now
+        by_topic = {t: at for t, at in by_topic.items() if last - at < story_gap}
+        state.update((last, list(by_topic), list(by_topic.values())))
+        yield pd.DataFrame({"event_id": batch["event_id"], "user_id": key[0], "sent": sent})
+
+    rows = events.filter("event_type = 'purchase'").select("user_id", "event_id", "ts", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("topic")).groupBy("user_id")
+    return rows.applyInPandasWithState(advance, "event_id long, user_id long, sent boolean", "last long, topics array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def running_centroids(vectors: DataFrame) -> DataFrame:
+    """After each batch, per label: how many vectors have come and their mean; malformed ones and those of another
+    length than the label's first are skipped (T-5, A19)."""
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, [])
+        total = np.array(total, float)
+        for e in pd.concat(list(frames)).sort_values("vec_id")["embedding"]:
+            x = None if e is None else np.array([np.nan if c is None else c for c in e], float)
+            if x is None or not len(x) or not np.isfinite(x).all() or (n and len(x) != len(total)):
+                continue
+            total = total + x if n else x
+            n += 1
+        state.update((n, total.tolist()))
+        yield pd.DataFrame({"label": [key[0]], "n": [n], "mean": [(total / n).tolist() if n else []]})
+
+    rows = vectors.select("label", "vec_id", "embedding").groupBy("label")
+    return rows.applyInPandasWithState(advance, "label int, n long, mean array<double>", "n long, total array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def ingest(rows: DataFrame, folder: str, checkpoint: str, seconds: int | None = 600):
+    """Starts appending `rows` to Parquet files in `folder`, a batch every `seconds` (T-1), or all that is there (None).
+
+    One query a checkpoint can run at a time: that is the lock of the ingest.
+    """
+    trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
+    return rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
+
+
+def published(rows: DataFrame, channel: str, folder: str, checkpoint: str):
+    """Starts publishing `rows` as lines of JSON, each with its channel, for those who follow `folder`."""
+    message = F.to_json(F.struct(F.lit(channel).alias("channel"), F.struct(*rows.columns).alias("data")))
+    return rows.select(message.alias("value")).writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
