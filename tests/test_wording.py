@@ -30,3 +30,16 @@ def test_calibration_meets_its_points(spark):
     assert all(abs(r.x - r.b) < 1e-12 for r in there)
     back = frame.filter("a < 3").select(wording.calibrated(F.col("b"), back=True).alias("x"), "a").collect()
     assert all(abs(r.x - r.a) < 1e-12 for r in back)
+
+
+def test_three_styles_of_latin(spark):
+    text = "Ѓорѓи Џеп Ќе Ђак Љубов щ"
+    assert values(spark, lambda t: wording.latin_in(t, "standard"), text, None) == ["Đorđi Džep Će Đak Ljubov щ", None]
+    assert values(spark, lambda t: wording.latin_in(t, "plain"), text) == ["GJorgji DZHep KJe DJak LJubov sht"]
+    assert values(spark, lambda t: wording.latin_in(t, "keys"), text) == ["gjorgji dzhep kje ђak ljubov sht"]
+
+
+def test_unwrapped(spark):
+    inner = '{"summary": "**Bold** and *soft*"}'
+    wrapped = '```json\n{"text": ' + __import__("json").dumps(inner) + "}\n```"
+    assert values(spark, wording.unwrapped, wrapped, inner, '{"summary": "cut off', "plain  text", "", None) == ["Bold and soft", "Bold and soft", "cut off", "plain text", "", None]

@@ -48,7 +48,7 @@ _ON_TABLES = {
     "copy_purity": ("documents", scores.copy_purity),
     "turn_cosine": ("conversations", words.turn_cosine), "calibrated_distances": ("events", words.calibrated_distances), "centred_vectors": ("embeddings", words.centred_vectors),
     "feed_links": ("pages", gates.feed_links), "page_feeds": ("pages", gates.page_feeds), "image_scores": ("pages", gates.image_scores), "page_images": ("pages", gates.page_images),
-    "profiles": ("events", readers.profiles), "mood_days": ("events", statistics.mood_days), "checked_centroids": ("embeddings", statistics.checked_centroids),
+    "alert_gaps": ("events", gates.alert_gaps), "profiles": ("events", readers.profiles), "mood_days": ("events", statistics.mood_days), "checked_centroids": ("embeddings", statistics.checked_centroids),
     "served_ads": ("orders", selection.served_ads), "on_this_day": ("orders", selection.on_this_day), "delivery_engagement": ("events", selection.delivery_engagement),
     "running_centroid": ("embeddings", reports.running_centroid_vector), "clustering_quality": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v))),
     "running_centroid_vector": ("embeddings", reports.running_centroid_vector),
@@ -61,6 +61,7 @@ _ON_NEWS = {
     "source_reputation": ranking.source_reputation,
     "story_timeline": grouping.story_timeline, "story_overview": grouping.story_overview, "story_summary": grouping.story_summary, "merge_plan": grouping.merged_stories,
     "aliased_edges": statistics.aliased_edges, "trending_words": statistics.trending_words, "ingest_gates": statistics.ingest_gates, "trust_tiers": statistics.trust_tiers,
+    "latin_titles": gates.latin_titles, "synthesis_quality": gates.synthesis_quality,
     "languages": gates.languages, "fact_checks": gates.fact_checks, "junk_articles": gates.junk_articles, "classes": gates.classes, "number_grounding": gates.number_grounding,
     "complexity": gates.complexity, "editorial_patterns": gates.editorial_patterns, "citations": gates.citations, "cleaned_texts": gates.cleaned_texts,
     "reader_scores": readers.reader_scores, "follow_recommendations": readers.follow_recommendations, "digest": readers.digest,
