@@ -198,17 +198,20 @@ def candidate_links(entries: DataFrame, radius: int = RADIUS, tile: int | None =
     return both.mapInArrow(compare, "u long, v long")
 
 
-def similar_links(members: DataFrame, radius: int = RADIUS, tile: int = SET_TILE) -> DataFrame:
+def similar_links(members: DataFrame, radius: int = RADIUS, tile: int = SET_TILE, roots: DataFrame | None = None) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of `members` (root, key, a, b, hashes) of one root that
-    are within the radius and similar."""
-    large = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts")).filter("parts > 1")
+    are within the radius and similar. `roots` holds the members' roots where that is cheaper to read."""
+    large = (members if roots is None else roots).groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts")).filter("parts > 1")
     placed = members.join(written(large, "large-roots"), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     entry = F.struct("key", "a", "b", "hashes")
     tiles = written(placed.groupBy("root", "part").agg(F.first("parts").alias("parts"), F.collect_list(entry).alias("entries")), "set-tiles")
-    pairs = tiles.select("root", F.col("part").alias("x_part"), F.col("entries").alias("x"), F.explode(F.expr("sequence(part, parts - 1)")).alias("part"))
-    others = tiles.select("root", "part", F.when(F.col("parts") > 1, F.col("entries")).alias("y"))
-    both = pairs.join(others, ["root", "part"]).select("x", "y", F.expr("x_part = part").alias("same"))
+    # Roots of one tile, all but the largest, are compared in place; tiles of the others meet pair by pair.
+    alone = tiles.filter("parts = 1").select(F.col("entries").alias("x"), F.when(F.lit(False), F.col("entries")).alias("y"), F.lit(True).alias("same"))
+    several = tiles.filter("parts > 1")
+    pairs = several.select("root", F.col("part").alias("x_part"), F.col("entries").alias("x"), F.explode(F.expr("sequence(part, parts - 1)")).alias("part"))
+    both = pairs.join(several.select("root", "part", F.col("entries").alias("y")), ["root", "part"]).select("x", "y", F.expr("x_part = part").alias("same"))
+    both = alone.unionByName(both)
 
     def rows(tile: pa.Scalar) -> list[tuple]:
         return [(m["key"], m["a"] % 2**64, m["b"] % 2**64, np.frombuffer(m["hashes"], "<u8")) for m in tile.as_py()]
@@ -247,7 +250,7 @@ def _components(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
         wanted = written(members.select(F.col("least.doc_id").alias("id"), F.col("least.t").alias("mark")).distinct(), "linked-texts")
         whole = _rows(docs)
         sets = _sets(whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("mark")), "left_semi")).dropDuplicates(["key"])
-        links = written(similar_links(members.select("root", "key", "a", "b").join(sets, "key"), radius), "similar-links")
+        links = written(similar_links(members.select("root", "key", "a", "b").join(sets, "key"), radius, roots=members), "similar-links")
         roots = connected_components(links).select(F.col("node").alias("key"), "root")
         known = written(entries.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "near-roots")
         first = F.min(F.struct("least.none", "least.doc_id", "least.t", "least.n", "key")).alias("first")
