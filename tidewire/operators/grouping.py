@@ -88,18 +88,19 @@ def assign_stories(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["id", "story"])
 
 
-def online_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The story of each article, found in order of time within its topic.
+def online_stories(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("topic", "category")) -> DataFrame:
+    """The story of each article, found in order of time among those of its topic and category.
 
-    Assignment depends on order, so a topic's open stories are one state: groups are a topic and a span of five days.
-    A story that runs over a span's end is cut there; across topics none is found. Titles count, to 40 tokens.
+    Assignment depends on order, so what may share a story is one state: a group is what `keys` name and a span of five
+    days, and a task holds it. Where that is too much, name more keys (a country, a language). A story that runs over a
+    span's end is cut there; across groups none is found. Titles count, to 40 stems and 20 names.
     """
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
     rows = news(spark, sf_dir).join(vectors, "id", "left").select(
         "id", "category", "topic", (-hours_since("created_at")).alias("hours"), F.slice(wording.stems(F.col("title")), 1, 40).alias("tokens"), F.slice(wording.title_entities(F.col("title")), 1, 20).alias("entities"), "e",
         F.floor(hours_since("created_at") / 120).alias("span"),
     )
-    return rows.groupBy("topic", "span").applyInPandas(assign_stories, "id long, story long")
+    return rows.groupBy(*keys, "span").applyInPandas(assign_stories, "id long, story long")
 
 
 def merged_pairs(news_rows: DataFrame, least: float = 0.5) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, NEWS_SQL
+from tidewire.functions.wording import CYRILLIC, DIGRAPHS, LATIN, latin_pairs
 from tidewire.operators.gates import BG_WORDS, FACT_MARKS, HEAVY_TERMS, MK_WORDS, SR_WORDS, TRACKING
 from tidewire.plans.ranking_sql import _SCORED, RANKED, hours
 from tidewire.plans.reports_sql import _q
-from tidewire.functions.wording import CYRILLIC, DIGRAPHS, LATIN, latin_pairs
 
 
 def _any(text: str, words) -> str:
@@ -53,8 +53,6 @@ def gates_sql() -> dict[str, str]:
     tags = f"regexp_replace(regexp_replace({lines}, '#[^ \\t\\n\\r#]+', '', 'g'), '(?i)(read more *»?|continue reading *\\.*|&[a-z]{{0,8}}) *$', '', 'g')"
     q = "regexp_extract(regexp_replace(trim(url), '#.*$', ''), '[?](.*)$', 1)"
     bare = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '[?].*$', '')"
-    into_cyr = cyr.replace("title", "title")
-
     def latin(style: str) -> str:
         pairs = latin_pairs(style)
         one = [p for p in pairs if len(p[1]) == 1]
@@ -67,7 +65,7 @@ def gates_sql() -> dict[str, str]:
     weak = "(CASE WHEN sends >= 8 AND clicks::DOUBLE / greatest(sends, 1) < 0.12::DOUBLE AND opens::DOUBLE / greatest(sends, 1) < 0.35::DOUBLE THEN {} WHEN sends >= 6 AND (clicks::DOUBLE / greatest(sends, 1) >= 0.22::DOUBLE OR opens::DOUBLE / greatest(sends, 1) >= 0.58::DOUBLE) THEN {} ELSE 0 END)"
     gap = lambda a, b, c, d, more, less: f"((CASE topic % 4 WHEN 3 THEN {a} WHEN 2 THEN {b} WHEN 1 THEN {c} ELSE {d} END) + {weak.format(more, -less)})::INTEGER"
     return {
-        "latin_titles": f"WITH t AS (SELECT id, {into_cyr} AS t FROM {NEWS_SQL}) SELECT id, {latin('standard')} AS standard, {latin('plain')} AS plain, {latin('keys')} AS keys FROM t",
+        "latin_titles": f"WITH t AS (SELECT id, {cyr} AS t FROM {NEWS_SQL}) SELECT id, {latin('standard')} AS standard, {latin('plain')} AS plain, {latin('keys')} AS keys FROM t",
         "synthesis_quality": f"""WITH t AS (SELECT id, length(title) > 0 AND contains(lower(description), lower(title)) AS again, len(list_distinct(list_transform(regexp_extract_all(description, '[0-9]+(?:[.,][0-9]+)*'), lambda x: {number}))) AS facts,
             len(list_filter(string_split(description, chr(10)), lambda x: trim(x) <> '')) AS paragraphs, contains(lower(description), 'the and')::INTEGER + contains(lower(description), 'it is')::INTEGER + contains(lower(description), 'of the')::INTEGER AS weak FROM {NEWS_SQL})
           SELECT id, {_q("greatest(0::DOUBLE, 1::DOUBLE - CASE WHEN again THEN 0.4::DOUBLE ELSE 0 END - CASE WHEN facts < 3 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN paragraphs IN (3, 5) THEN 0 ELSE 0.3::DOUBLE END - least(0.35::DOUBLE, 0.18::DOUBLE * weak))", 3)} AS quality FROM t""",

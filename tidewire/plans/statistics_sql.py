@@ -21,7 +21,7 @@ def statistics_sql(queries: dict[str, str]) -> dict[str, str]:
     number = "regexp_extract(source, '([0-9]+)$', 1)::INTEGER"
     week = lambda kind, a_: f"count(*) FILTER (category = '{kind}' AND created_at >= {back(168 * a_)} AND created_at < {back(168 * (a_ - 1))})"
     rate = lambda x, y: _q(f"100::DOUBLE * {x} / greatest({y}, 1)", 1)
-    keys = queries["title_keys"].replace("documents", f"(SELECT id AS doc_id, title AS text FROM {NEWS_SQL})") if "documents" in queries["title_keys"] else ""
+    keys = queries["title_keys"].replace("documents", f"(SELECT id AS doc_id, title AS text FROM {NEWS_SQL})")
     language = "SELECT id, CASE WHEN c = 0 AND l = 0 THEN 'unk' WHEN l > c THEN CASE WHEN regexp_matches(low, '[čćđšž]') THEN 'hr' WHEN regexp_matches(low, '[ğşı]') THEN 'tr' WHEN regexp_matches(low, '[ëç]') THEN 'sq' ELSE 'en' END ELSE 'other' END AS language FROM (SELECT id, lower(title) AS low, len(regexp_extract_all(title, '[Ѐ-ӿ]')) AS c, len(regexp_extract_all(title, '[A-Za-z]')) AS l FROM " + NEWS_SQL + ")"
     return {
         "filtered_facets": f"""WITH a AS {a} (SELECT 'source' AS axis, source::VARCHAR AS value, count(*) AS n FROM a WHERE category = 'view' GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 12) UNION ALL

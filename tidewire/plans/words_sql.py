@@ -11,10 +11,6 @@ _TITLE = "split_part(text, chr(10), 1)"
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
-def _text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 def _calibrated(x: str, back: bool) -> str:
     points = [p[::-1] for p in CALIBRATION] if back else list(CALIBRATION)
     steps = "".join(f" WHEN {x} <= {c!r}::DOUBLE THEN {b!r}::DOUBLE + {d - b!r}::DOUBLE * (({x} - {a!r}::DOUBLE) / {c - a!r}::DOUBLE)" for (a, b), (c, d) in zip(points, points[1:], strict=False))
