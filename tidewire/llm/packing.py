@@ -24,7 +24,7 @@ SEQUENCE, OPEN_BINS, END = 2048, 4096, 0
 #: About so many pieces are packed by a task.
 PIECES_A_TASK = 60_000
 TOKENIZER = "word_bpe_49k.json"
-_CACHED = 200_000
+_CACHED = 400_000
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _PLAIN = regex.compile(r"[\x21-\x3b\x3d-\x7e]+")
 
