@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import ann, exact_dedup, html_text, licenses, line_dedup, mixing, packing, prefix_trie, quality, sharding, simhash, toxicity
+from tidewire.llm import ann, exact_dedup, html_text, licenses, line_dedup, mixing, packing, prefix_trie, quality, repair, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,13 @@ def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.learned(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_line_dedup, op4_nn_descent, op5_best_fit_packing, op6_license_scan, op7_mixing, op8_hilbert_sharding, op9_html_text, op10_simhash, op11_prefix_trie, op12_quality)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_line_dedup, op4_nn_descent, op5_best_fit_packing, op6_license_scan, op7_mixing, op8_hilbert_sharding, op9_html_text, op10_simhash, op11_prefix_trie, op12_quality, op13_repair)}
 
 
 OP1_SQL = r"""
