@@ -1,106 +1,18 @@
-"""Stories from articles: online clustering, merges of stories, timelines, overviews. Greedy parts work on one bounded group."""
+"""Merges of stories, timelines, overviews. Greedy parts work on one bounded group."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.adapters import news, table
 from tidewire.functions import wording
 from tidewire.functions.scalars import numbers
 from tidewire.operators.ranking import hours_since, weight
 from tidewire.operators.stories import quantised
 
-#: Fixed values of the online clustering: members, hours, gates of similarity, bonuses and thresholds.
-MOST_MEMBERS, OPEN_HOURS, STORY_HOURS, NEWEST = 40, 24, 36, 12
-GATE, ACROSS, INSTANT, TWIN, PARAPHRASE = 0.75, 0.90, 0.72, 0.90, 0.93
-SHARED, SHARED_MORE, SAME_TOPIC, SEMANTIC, ACCEPT, ANCHORED, SURE = 0.15, 0.05, 0.06, 0.22, 0.40, 0.32, 0.86
-
-
-def ratio_overlap(a: list[str], b: list[str]) -> float:
-    """The larger of the Jaccard similarity of two token lists and .85 of their matching blocks' share; two empty ones
-    are equal (F15)."""
-    if not a or not b:
-        return 1.0 if a == b else 0.0
-    x, y = set(a), set(b)
-    jaccard = len(x & y) / len(x | y)
-    if jaccard >= 0.85:
-        return jaccard
-    return max(jaccard, 0.85 * SequenceMatcher(None, " ".join(a), " ".join(b)).ratio())
-
-
-def entity_overlap(a: set[str], b: set[str]) -> float:
-    """Shared entities over all."""
-    return len(a & b) / len(a | b) if a | b else 0.0
-
-
-def assign_stories(frame: pd.DataFrame) -> pd.DataFrame:
-    """Greedy assignment of articles in order of time to open stories.
-
-    Columns: id, hours (a running clock), category, topic, tokens, entities, e (a vector or None). A story takes an
-    article if it has under 40 members, its last member is 24 hours old at most and its first 36. With vectors the mean
-    must be nearer than .75; another category asks for .90. Title overlap is the best over the 12 newest members: .72
-    settles it, as do .90 with equal topic and a shared entity, or .93. Else overlap + .15 for a shared entity, .05 for
-    two, .06 for the topic and up to .22 for nearness must reach .40, or .32 with an entity or from .86 on. A story is
-    named after its first article.
-    """
-    frame = frame.sort_values(["hours", "id"])
-    stories: list[dict] = []
-    out = []
-    for row in frame.itertuples():
-        tokens, entities = list(row.tokens), set(row.entities)
-        e = None if row.e is None else np.asarray(row.e, float)
-        e = None if e is None or not np.isfinite(e).all() or not e.any() else e / np.sqrt(e @ e)
-        stories = [s for s in stories if row.hours - s["last"] <= OPEN_HOURS and row.hours - s["first"] <= STORY_HOURS]
-        best, chosen = -1.0, None
-        for s in stories:
-            if len(s["members"]) >= MOST_MEMBERS:
-                continue
-            near = None
-            if e is not None and s["n"]:
-                mean = s["sum"] / s["n"]
-                near = float(e @ mean / (np.sqrt(mean @ mean) or 1.0))
-                if near < GATE:
-                    continue
-            if row.category != s["category"] and (near is None or near < ACROSS):
-                continue
-            like = max(ratio_overlap(tokens, t) for t in s["members"][-NEWEST:])
-            shared, topic = len(entities & s["entities"]), row.topic == s["topic"]
-            settled = like >= INSTANT or (near is not None and ((near >= TWIN and topic and shared) or near >= PARAPHRASE))
-            bonus = SEMANTIC * max(0.0, (near - GATE) / (1 - GATE)) if near is not None else 0.0
-            score = like + SHARED * (shared > 0) + SHARED_MORE * (shared > 1) + SAME_TOPIC * topic + bonus + 10.0 * settled
-            fine = score >= ACCEPT or (score >= ANCHORED and (shared > 0 or (near is not None and near >= SURE)))
-            if fine and score > best:
-                best, chosen = score, s
-        if chosen is None:
-            chosen = {"id": row.id, "first": row.hours, "category": row.category, "topic": row.topic, "members": [], "entities": set(), "sum": 0.0, "n": 0}
-            stories.append(chosen)
-        chosen["members"].append(tokens)
-        chosen["entities"] |= entities
-        chosen["last"] = row.hours
-        if e is not None:
-            chosen["sum"], chosen["n"] = chosen["sum"] + e, chosen["n"] + 1
-        out.append((row.id, chosen["id"]))
-    return pd.DataFrame(out, columns=["id", "story"])
-
-
-def online_stories(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("topic", "category")) -> DataFrame:
-    """The story of each article, found in order of time among those of its topic and category.
-
-    Assignment depends on order, so what may share a story is one state: a group is what `keys` name and a span of five
-    days, and a task holds it. Where that is too much, name more keys (a country, a language). A story that runs over a
-    span's end is cut there; across groups none is found. Titles count, to 40 stems and 20 names.
-    """
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
-    rows = news(spark, sf_dir).join(vectors, "id", "left").select(
-        "id", "category", "topic", (-hours_since("created_at")).alias("hours"), F.slice(wording.stems(F.col("title")), 1, 40).alias("tokens"), F.slice(wording.title_entities(F.col("title")), 1, 20).alias("entities"), "e",
-        F.floor(hours_since("created_at") / 120).alias("span"),
-    )
-    return rows.groupBy(*keys, "span").applyInPandas(assign_stories, "id long, story long")
+#: Newest articles of a story that a timeline tells of.
+MOST_MEMBERS = 40
 
 
 def merged_pairs(news_rows: DataFrame, least: float = 0.5) -> DataFrame:

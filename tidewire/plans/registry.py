@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, news, table
-from tidewire.operators import applied, attention, gates, grouping, ranking, readers, reports, scores, search, selection, signals, statistics, stories, texts, words
+from tidewire.operators import applied, attention, gates, grouping, online, ranking, readers, reports, scores, search, selection, signals, statistics, stories, texts, words
 from tidewire.plans.gates_sql import gates_sql
 from tidewire.plans.ranking_sql import ranking_sql
 from tidewire.plans.search_sql import search_sql
@@ -70,7 +70,7 @@ _ON_NEWS = {
     "entity_lookup": selection.entity_lookup, "merged_stories": selection.merged_stories, "brief_picks": selection.brief_picks, "archive_totals": selection.archive_totals, "title_pairs": selection.title_pairs,
 }
 
-_ON_ALL = {f.__name__: f for f in (search.word_search, search.article_search, search.hybrid_search, search.semantic_search, search.related_stories, search.earlier_stories, search.for_reader, search.global_stories, grouping.online_stories)}
+_ON_ALL = {f.__name__: f for f in (search.word_search, search.article_search, search.hybrid_search, search.semantic_search, search.related_stories, search.earlier_stories, search.for_reader, search.global_stories, online.online_stories)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
