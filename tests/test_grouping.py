@@ -12,11 +12,6 @@ def test_timeline_absorbs_only_near_repeats():
     assert list(zip(got.id, got.sources, got.label, strict=True)) == [(1, "x,y", "first"), (4, "z", "update"), (5, "x", "official"), (6, "x", "latest")]
 
 
-def test_star_merges_follow_no_chain(spark):
-    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "e"), ("x", "y")], "a string, b string")
-    assert {(r.story, r.into) for r in grouping.star_merges(pairs).collect()} == {("a", "b"), ("c", "b"), ("e", "b"), ("y", "x")}
-
-
 def test_whole_tables(spark):
     rows = news(spark, DATA)
     n = rows.count()

@@ -1,4 +1,4 @@
-"""Merges of stories, timelines, overviews. Greedy parts work on one bounded group."""
+"""Timelines, overviews and summaries of stories. Greedy parts work on one bounded group."""
 
 from __future__ import annotations
 
@@ -15,44 +15,6 @@ from tidewire.operators.stories import quantised
 MOST_MEMBERS = 40
 
 
-def merged_pairs(news_rows: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs of stories that may be one: rare shared words of their titles, the clock within 36 hours, equal category and
-    topic, confidence by overlap, shared entities and length (R10). A story's title is its newest article's.
-
-    Words that more than 30 stories have block nothing: pairs without a rarer shared word are not compared.
-    """
-    last = news_rows.groupBy("cluster_id").agg(F.max_by(F.struct("title", "category", "topic", "created_at"), F.struct("created_at", "id")).alias("x")).select("cluster_id", "x.*")
-    titles = last.select("cluster_id", "category", "topic", "created_at", F.array_distinct(wording.stems(F.col("title"))).alias("words"), wording.title_entities(F.col("title")).alias("names"))
-    each = titles.select("cluster_id", F.explode("words").alias("word"))
-    rare = each.join(each.groupBy("word").agg(F.count(F.lit(1)).alias("used")).filter("used between 2 and 30"), "word").select("cluster_id", "word")
-    pairs = rare.withColumnRenamed("cluster_id", "a").join(rare.withColumnRenamed("cluster_id", "b"), "word").filter("a < b").select("a", "b").distinct()
-    side = lambda k: titles.select(F.col("cluster_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("category", "topic", "created_at", "words", "names")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.abs(F.unix_micros(F.col("a_created_at").cast("timestamp")) - F.unix_micros(F.col("b_created_at").cast("timestamp"))) / 3.6e9
-    like = F.size(F.array_intersect("a_words", "b_words")) / F.size(F.array_union("a_words", "b_words"))
-    shared = F.size(F.array_intersect("a_names", "b_names"))
-    score = like + 0.1 * F.least(shared, F.lit(3)) + F.when(F.col("a_topic") == F.col("b_topic"), 0.1).otherwise(0.0)
-    out = both.filter((F.col("a_category") == F.col("b_category")) & (apart <= 36 * 20)).select("a", "b", quantised(score).alias("confidence"))
-    return out.filter(F.col("confidence") >= least)
-
-
-def star_merges(pairs: DataFrame) -> DataFrame:
-    """Which story goes into which, from pairs (a, b): hubs by number of pairs, then name, take their free neighbours;
-    no chain is followed (R9). Decided in rounds of local winners, so no list of all stories is needed."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
-    ranked = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b")
-    better = (F.col("e") > F.col("d")) | ((F.col("e") == F.col("d")) & (F.col("b") < F.col("a")))
-    hubs = ranked.groupBy("a").agg(F.bool_or(better).alias("beaten")).filter("not beaten").select(F.col("a").alias("hub"))
-    near = ranked.join(hubs, ranked["b"] == hubs["hub"]).groupBy("a").agg(F.min_by("hub", F.struct(-F.col("e"), F.col("hub"))).alias("into"))
-    return near.select(F.col("a").alias("story"), "into")
-
-
-def merged_stories(news_rows: DataFrame) -> DataFrame:
-    """Stories to merge and the hub they go into."""
-    return star_merges(merged_pairs(news_rows))
-
-
 def timeline(frame: pd.DataFrame) -> pd.DataFrame:
     """One story's events: an article within six hours of an earlier event whose title shares over .65 of its words is
     absorbed, its source collected by the first such event (J17); labels by words, the first, the last of three (R57)."""

@@ -31,12 +31,13 @@ from tidewire.tables import dropping, kept, written
 MOST_MEMBERS, OPEN_HOURS, STORY_HOURS, NEWEST = 40, 24, 36, 12
 GATE, FLOOR, SURE, TWIN, ACROSS, PARAPHRASE = 0.75, 0.80, 0.86, 0.90, 0.90, 0.93
 INSTANT, ACCEPT, ANCHORED = 0.72, 0.40, 0.32
+MOST_LETTERS = 1_000
 SHARED, SHARED_MORE, SAME_TOPIC, SEMANTIC = 0.15, 0.05, 0.06, 0.22
 #: Of articles of one fetch under a general topic: distance on the calibrated scale, and overlap without a shared name.
 FETCH_DISTANCE, FETCH_OVERLAP = 0.28 * 0.78, 0.34
-#: A word or name tells, of an article, if at most so many articles of its day have it; groups of more articles than
-#: MOST_GROUP are split by rarer words.
-TELLING, MOST_GROUP = 30, 20_000
+#: A word or name tells, of an article, if at most so many articles of its day have it: TELLING, or TELLING_SHARE of the
+#: day's if that is fewer, but LEAST_TELLING on any day. Groups of more articles than MOST_GROUP are split.
+TELLING, TELLING_SHARE, LEAST_TELLING, MOST_GROUP = 30, 0.02, 6, 2_000
 #: Buckets of vectors: tables, bits of a code, and rows of a bucket above which it is split by more bits.
 TABLES, BITS, MOST_BUCKET = 16, 24, 2_000
 _NEAR_CODES = [d[::-1] for d in wording.CALIBRATION]
@@ -53,14 +54,18 @@ def local_similarity(calibrated: float) -> float:
 
 def ratio_overlap(a: list[str], b: list[str], least: float = 0.0) -> float:
     """The larger of the Jaccard similarity of two token lists and .85 of their matching blocks' share (F15); two empty
-    lists are equal. Below `least` the second may be left out."""
+    lists are equal. Below `least` the second may be left out; it is for titles of more than MOST_LETTERS letters together,
+    which no headlines have, as blocks of letters say nothing of such."""
     if not a or not b:
         return 1.0 if a == b else 0.0
     x, y = set(a), set(b)
     jaccard = len(x & y) / len(x | y)
     if jaccard >= 0.85:
         return jaccard
-    match = SequenceMatcher(None, " ".join(a), " ".join(b))
+    left, right = " ".join(a), " ".join(b)
+    if len(left) + len(right) > MOST_LETTERS:
+        return jaccard
+    match = SequenceMatcher(None, left, right)
     floor = max(jaccard, least) / 0.85
     if match.real_quick_ratio() < floor or match.quick_ratio() < floor:
         return jaccard
@@ -260,9 +265,11 @@ def assign_stories(frame: pd.DataFrame, general_topics: tuple[str | None, ...] =
 
 
 def article_keys(rows: DataFrame, telling: int = TELLING) -> DataFrame:
-    """(id, keys): the words and names of each article that at most `telling` articles of its day have."""
+    """(id, keys): the words and names that tell, of each article; `telling` in place of TELLING."""
     each = rows.select("id", "day", F.explode(F.array_distinct(F.concat("tokens", "entities"))).alias("key"))
-    rare = each.groupBy("day", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= telling).drop("n")
+    most = F.greatest(F.lit(LEAST_TELLING), F.least(F.lit(telling), F.count(F.lit(1)) * TELLING_SHARE))
+    days = rows.groupBy("day").agg(most.alias("most"))  # a row a day
+    rare = each.groupBy("day", "key").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(days), "day").filter("n <= most").select("day", "key")
     return each.join(rare, ["day", "key"]).groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
@@ -419,10 +426,11 @@ def assigned_stories(rows: DataFrame, telling: int = TELLING, most: int = MOST_G
 
 
 def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The news with what the rule reads, and a vector where there is one."""
+    """The news with what the rule reads, and a vector where there is one; a headline is the first sentence of a title."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
-    return news(spark, sf_dir).join(vectors, "id", "left").select(
-        "id", "category", "topic", (-hours_since("created_at")).alias("hours"), wording.stems(F.col("title")).alias("tokens"), wording.title_entities(F.col("title")).alias("entities"), "e"
+    rows = news(spark, sf_dir).withColumn("headline", F.regexp_extract("title", r"^(.*?[.!?])(?:\s|$)|^(.*)$", 0))
+    return rows.join(vectors, "id", "left").select(
+        "id", "category", "topic", (-hours_since("created_at")).alias("hours"), wording.stems(F.col("headline")).alias("tokens"), wording.title_entities(F.col("headline")).alias("entities"), "e"
     )
 
 

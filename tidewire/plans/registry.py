@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, news, table
-from tidewire.operators import applied, attention, gates, grouping, online, ranking, readers, reports, scores, search, selection, signals, statistics, stories, texts, words
+from tidewire.operators import applied, attention, gates, grouping, merges, online, ranking, readers, reports, scores, search, selection, signals, statistics, stories, texts, words
 from tidewire.plans.gates_sql import gates_sql
 from tidewire.plans.ranking_sql import ranking_sql
 from tidewire.plans.search_sql import search_sql
@@ -59,7 +59,7 @@ _ON_NEWS = {
     "source_weights": ranking.source_weights, "ranked_in_story": ranking.ranked_in_story, "story_scores": ranking.story_scores, "source_roles": ranking.source_roles,
     "coverage": ranking.coverage, "summary_freshness": ranking.summary_freshness, "editor_signals": ranking.editor_signals, "lead_story": ranking.lead_story,
     "source_reputation": ranking.source_reputation,
-    "story_timeline": grouping.story_timeline, "story_overview": grouping.story_overview, "story_summary": grouping.story_summary, "merge_plan": grouping.merged_stories,
+    "story_timeline": grouping.story_timeline, "story_overview": grouping.story_overview, "story_summary": grouping.story_summary,
     "aliased_edges": statistics.aliased_edges, "trending_words": statistics.trending_words, "ingest_gates": statistics.ingest_gates, "trust_tiers": statistics.trust_tiers,
     "latin_titles": gates.latin_titles, "synthesis_quality": gates.synthesis_quality,
     "languages": gates.languages, "fact_checks": gates.fact_checks, "junk_articles": gates.junk_articles, "classes": gates.classes, "number_grounding": gates.number_grounding,
@@ -70,7 +70,7 @@ _ON_NEWS = {
     "entity_lookup": selection.entity_lookup, "merged_stories": selection.merged_stories, "brief_picks": selection.brief_picks, "archive_totals": selection.archive_totals, "title_pairs": selection.title_pairs,
 }
 
-_ON_ALL = {f.__name__: f for f in (search.word_search, search.article_search, search.hybrid_search, search.semantic_search, search.related_stories, search.earlier_stories, search.for_reader, search.global_stories, online.online_stories)}
+_ON_ALL = {f.__name__: f for f in (search.word_search, search.article_search, search.hybrid_search, search.semantic_search, search.related_stories, search.earlier_stories, search.for_reader, search.global_stories, online.online_stories, merges.merge_plan, merges.story_confidence)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
