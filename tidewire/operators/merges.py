@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewire.adapters import news, table
 from tidewire.functions import wording
 from tidewire.operators.online import (
-    ACCEPT, ANCHORED, GATE, INSTANT, SAME_TOPIC, SHARED, SHARED_MORE, article_keys, calibrated_similarity, ratio_overlap, vector_of, word_links,
+    ACCEPT, ANCHORED, GATE, INSTANT, SAME_TOPIC, SHARED, SHARED_MORE, article_keys, calibrated_similarity, headline, ratio_overlap, vector_of, word_links,
 )
 from tidewire.operators.ranking import hours_since
 from tidewire.tables import dropping, kept, written
@@ -118,7 +118,8 @@ def _judged(pairs: DataFrame, rule) -> DataFrame:
             out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(scores, pa.float64())], names=["a", "b", "score"])
             yield out.filter(pa.array([bool(s) for s in scores], pa.bool_()))
 
-    return pairs.mapInArrow(judge, "a string, b string, score double")
+    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    return dealt.mapInArrow(judge, "a string, b string, score double")
 
 
 def repair_pairs(heads: DataFrame, hours: float = REPAIR_HOURS) -> DataFrame:
@@ -174,7 +175,7 @@ def star_merges(pairs: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
 
 def news_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
-    return story_heads(news(spark, sf_dir).join(vectors, "id", "left"))
+    return story_heads(news(spark, sf_dir).withColumn("title", headline(F.col("title"))).join(vectors, "id", "left"))
 
 
 def merge_plan(spark: SparkSession, sf_dir: str, hours: float = 31 * 24) -> DataFrame:

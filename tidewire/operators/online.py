@@ -17,7 +17,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -425,10 +425,15 @@ def assigned_stories(rows: DataFrame, telling: int = TELLING, most: int = MOST_G
         return kept(dealt.mapInArrow(placed, "id long, story long"), "stories")
 
 
+def headline(title: Column) -> Column:
+    """The first sentence of a title."""
+    return F.regexp_extract(title, r"^(.*?[.!?])(?:\s|$)|^(.*)$", 0)
+
+
 def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The news with what the rule reads, and a vector where there is one; a headline is the first sentence of a title."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
-    rows = news(spark, sf_dir).withColumn("headline", F.regexp_extract("title", r"^(.*?[.!?])(?:\s|$)|^(.*)$", 0))
+    rows = news(spark, sf_dir).withColumn("headline", headline(F.col("title")))
     return rows.join(vectors, "id", "left").select(
         "id", "category", "topic", (-hours_since("created_at")).alias("hours"), wording.stems(F.col("headline")).alias("tokens"), wording.title_entities(F.col("headline")).alias("entities"), "e"
     )
