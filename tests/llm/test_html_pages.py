@@ -84,6 +84,19 @@ def test_depth_keeps_text_and_marks():
     assert page_text("<div>" * 5000 + "x<p hidden>no</p>y") == "xy"
 
 
+def test_elements_beyond_the_depth_part_lines_and_words():
+    deep = "<div>" * 600
+    assert page_text(deep + "<ul><li>z</ul>tail").split() == ["z", "tail"]
+    assert page_text(deep + "<p>a</p>b<section>c</section>d").split() == ["a", "b", "c", "d"]
+    assert page_text(deep + "<table><tr><td>a<td>b<tr><td>c</table>d").split() == ["a", "b", "c", "d"]
+    assert page_text(deep + "a<b>b</b>c" + "</div>" * 600 + "<b>x</b>y").split() == ["abc", "xy"]
+
+
+def test_drawings_formulas_and_maps_are_visible():
+    page = "<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>drawn</text></svg> <math><mi>x</mi><annotation>no</annotation></math> <map>way<area></map><desc>seen</desc>"
+    assert page_text(page) == "drawn x wayseen"
+
+
 def test_wide_cells_do_not_multiply():
     page = "<table><tr><td>" + "w" * 60_000 + "<td>z" + "<tr><td>a<td>b" * 4_000
     out = page_text(page)

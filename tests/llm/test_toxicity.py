@@ -61,8 +61,8 @@ def test_sample_is_bounded_and_counts_an_id_once(spark):
     rows += [(3, f"another text {j}", None, None, None, 0, "") for j in range(50)] + [(99, None, None, None, None, 0, "")]
     docs = spark.createDataFrame(rows, SCHEMA)
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 0), (None, 1), (99, 1), (5, None), (7, 7)], "doc_id long, toxic int")
-    hashes, toxic = toxicity.sampled_features(docs, labels, row_features=100)
-    assert len(hashes) == len(toxic) == 21 and max(map(len, hashes)) == 100 and toxic.sum() == 11
+    hashes, toxic = toxicity.sampled_features(docs, labels)
+    assert len(hashes) == len(toxic) == 21 and toxic.sum() == 11
     hashes, toxic = toxicity.sampled_features(docs, labels, sample=4)
     assert len(hashes) == 8 and toxic.sum() == 4
     model = toxicity.fit(*toxicity.sampled_features(docs, labels.filter("toxic = 1")))
@@ -76,3 +76,15 @@ def test_stage_drops_what_severity_calls_toxic(spark):
     model = toxicity.fit(*toxicity.sampled_features(docs, labels))
     want = sorted(r.doc_id for r in docs.collect() if plain_grades(model, r.text)[0] > 0.5)
     assert sorted(r.doc_id for r in corpus_pipeline.toxicity_stage(spark, docs, "/root/testdata/sf0.01").collect()) == want
+
+
+def test_every_feature_of_long_texts_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    flag = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in flag)
+    every = [np.array(sorted(toxicity.features(t.encode())), np.uint32) for _, t in rows]
+    assert max(map(len, every)) > 4096
+    want = toxicity.fit(every, np.array([flag[d] for d, _ in rows]))
+    got = toxicity.fit(*toxicity.sampled_features(docs, labels))
+    assert got.weights == want.weights and got.thresholds == want.thresholds

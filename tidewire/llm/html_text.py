@@ -5,11 +5,11 @@ option, tbody, tr, td), keeps script and style bodies out of the text, and ignor
 tree with its own stack: blocks start lines, paragraphs and headings stand apart by an empty line, list items carry
 bullets or numbers and hang, table cells align in columns, pre keeps its white space. Hidden are elements with the
 hidden attribute or display:none, those with visibility:hidden but for parts that are set visible again, form inputs,
-closed details but their summary, and head, script, style, template, noscript, iframe, object and their like. All
-other text comes out whole.
+closed details but their summary, head, script, style, template, noscript, iframe, object and their like, and what a
+drawing defines but does not draw. All other text comes out whole, that of drawings, formulas and maps, too.
 
 Time and output stay in proportion to the page, whatever the markup: tags are read in one pass, elements nested deeper
-than MOST_DEPTH become siblings, indents end at MOST_FRAMES levels (marks and cells stay), and table cells are padded
+than MOST_DEPTH become siblings whose ends still part lines and words, indents end at MOST_FRAMES levels (marks and cells stay), and table cells are padded
 up to column WIDEST_LINE only. None of these bounds drops text.
 """
 
@@ -29,8 +29,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 INVISIBLE = frozenset(
-    "head script style template noscript iframe object embed audio video canvas svg math datalist input select textarea noembed noframes title param source track area map".split()
+    "head script style template noscript iframe object embed audio video canvas datalist input select textarea noembed noframes title param source track area annotation annotation-xml".split()
 )
+#: Parts of a drawing that are not drawn; elsewhere their names mean nothing.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern".split())
 #: Elements that begin and end on lines of their own, and those of them that stand apart by an empty line.
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul tr caption thead tbody tfoot".split()
@@ -161,6 +163,7 @@ class TreeBuilder:
         self.root.kids.append(self.body)
         self.open = [self.root, self.body]
         self.count = Counter()  # open elements by tag, below body
+        self.flat = Counter()  # elements beyond MOST_DEPTH that have not ended, by tag
 
     def build(self, markup: str) -> Node:
         at, head, tags = 0, False, Tags(markup)
@@ -216,11 +219,19 @@ class TreeBuilder:
             if here == "table":
                 self.push("tbody", "")
             self.push("tr", "")
+        if tag in UNDRAWN and self.count["svg"]:
+            tag = "template"
         node = Node(tag, attrs)
         self.open[-1].kids.append(node)
-        if tag not in VOID and (len(self.open) < MOST_DEPTH or tag in RAW or tag in INVISIBLE or shown(node.attrs) in ("none", "hidden")):
+        if tag in VOID:
+            return
+        if len(self.open) < MOST_DEPTH or tag in RAW or tag in INVISIBLE or shown(node.attrs) in ("none", "hidden"):
             self.open.append(node)
             self.count[tag] += 1
+        else:
+            self.flat[tag] += 1
+            if tag in ("td", "th"):
+                self.open[-1].kids.append(" ")
 
     def push(self, tag: str, attrs: str) -> None:
         node = Node(tag, attrs)
@@ -233,11 +244,19 @@ class TreeBuilder:
         for node in self.open[at:]:
             self.count[node.tag] -= 1
         del self.open[at:]
+        if self.flat and len(self.open) < MOST_DEPTH:
+            self.flat.clear()
 
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
-        if tag == "br":
+        if tag in UNDRAWN and self.count["svg"]:
+            tag = "template"
+        if self.flat[tag] > 0:
+            self.flat[tag] -= 1
+            if tag in BLOCK:
+                self.open[-1].kids.append(Node("div"))
+        elif tag == "br":
             self.start("br", "")
         elif tag == "p" and not self.within({"p"}, SCOPE):
             self.open[-1].kids.append(Node("p"))

@@ -16,9 +16,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm._store import scratch, written
 from tidewire.llm._texts import texts, words
 
 #: Rows of each label (toxic, clean) that the fit reads at most, smallest MD5 of the doc_id first.
@@ -29,9 +30,6 @@ GRADES = 4
 LEAST_ROWS, LEAST_CHI2, MOST_FEATURES = 3, 12.0, 20_000
 #: A document is toxic from this probability of a grade above 0 on.
 THRESHOLD = 0.5
-#: Feature hashes that the fit reads of a sampled row at most, the smallest first: with SAMPLE, what the driver holds
-#: is 4 bytes * 2 * 4000 * 4096 = 131 MB at most, however long the texts are. Scoring reads every feature.
-ROW_FEATURES = 4096
 #: Steps and weight decay of the fit.
 _STEPS, _L2 = 400, 1e-3
 #: Words whose features a worker remembers.
@@ -82,11 +80,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def sampled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, row_features: int = ROW_FEATURES) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature hashes and toxic flags of at most `sample` doc_ids a label, smallest MD5 of the doc_id first.
+def _telling(hit: Column, rows: Column, n_toxic: int, n: int) -> tuple[Column, Column]:
+    """Whether a feature of `rows` sampled rows, `hit` of them toxic, is kept, and its chi-square; as in fit()."""
+    expect = rows * n_toxic / n
+    chi2 = (hit - expect) * (hit - expect) / (expect * (1 - n_toxic / n) * F.greatest(F.lit(1e-9), 1 - rows / n) + 1e-9)
+    lift = (hit / n_toxic) / F.greatest(F.lit(1e-9), (rows - hit + 0.5) / (n - n_toxic + 1))
+    return (hit >= min(LEAST_ROWS, n_toxic)) & (chi2 >= LEAST_CHI2 * (1 - 1e-9)) & (lift > 1 - 1e-9), chi2
 
-    Labels other than 0 and 1, null ids and rows without a label are left out; of repeated labels of a doc_id the
-    toxic one counts; of documents that share a doc_id, the one of smallest MD5 of the text. Null text is empty.
+
+def sampled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
+    """Telling features and toxic flags of at most `sample` doc_ids a label, smallest MD5 of the doc_id first.
+
+    Every feature of every sampled text is counted, by Spark; the at most MOST_FEATURES that tell most come back, so the
+    driver's memory is bounded however long the texts are. Labels other than 0 and 1, null ids and rows without a label
+    are left out; of repeated labels of a doc_id the toxic one counts; of documents that share a doc_id, the one of
+    smallest MD5 of the text. Null text is empty.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -98,10 +106,35 @@ def sampled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, r
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [np.array(sorted(features(t))[:row_features], np.uint32).tobytes() for t in texts(batch)]
+            hashes = [np.array(sorted(features(t)), np.uint32).tobytes() for t in texts(batch)]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(hashes, pa.binary())], names=["doc_id", "toxic", "hashes"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column("toxic").to_pylist()
+            own = [np.frombuffer(h, np.uint32) for h in batch.column("hashes").to_pylist()]
+            names, at = np.unique(np.concatenate(own), return_inverse=True)
+            hit = np.bincount(at, np.repeat(toxic, [len(x) for x in own]), len(names)).astype(np.int64)
+            yield pa.record_batch([pa.array(names.astype(np.int64)), pa.array(np.bincount(at, minlength=len(names))), pa.array(hit)], names=["feature", "n", "hit"])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            hashes = [np.intersect1d(np.frombuffer(h, np.uint32), held, assume_unique=True).tobytes() for h in batch.column("hashes").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(hashes, pa.binary())], names=["doc_id", "toxic", "hashes"])
 
-    got = rows.mapInArrow(of, "doc_id long, toxic int, hashes binary").toArrow().sort_by("doc_id")
+    schema = "doc_id long, toxic int, hashes binary"
+    with scratch():
+        every = written(rows.mapInArrow(of, schema), "features")
+        n, n_toxic = every.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        held = np.array([], np.uint32)
+        if 0 < n_toxic < n:
+            counts = every.mapInArrow(counted, "feature long, n long, hit long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))
+            fine, chi2 = _telling(F.col("hit"), F.col("n"), n_toxic, n)
+            best = counts.filter(fine).orderBy(chi2.desc(), "feature").limit(MOST_FEATURES).select("feature").collect()
+            held = np.array(sorted(r.feature for r in best), np.uint32)
+        shared = docs.sparkSession.sparkContext.broadcast(held)
+        got = every.mapInArrow(kept, schema).toArrow().sort_by("doc_id")
     return [np.frombuffer(h, np.uint32) for h in got.column("hashes").to_pylist()], np.array(got.column("toxic").to_pylist(), np.int64)
 
 
