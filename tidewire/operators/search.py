@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.adapters import news, table
+from tidewire.operators.index import news_index, ranks
 from tidewire.operators.ranking import hours_since, weight
 from tidewire.operators.stories import quantised
 
-TOKEN = r"[\p{L}\p{N}]+"
 #: A query of two words, and how many results each branch of a search may give: features of the search.
 QUERY, BRANCH = "the and", 300
 
@@ -37,45 +35,35 @@ def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
 
 
-def text_rank(query: str = QUERY) -> Column:
-    """Occurrences of the query's words, 1 in the title and .4 in the description, over one plus the log of the number
-    of words; null where a word is absent. This rank is our own: the store's cannot be had outside it."""
-    title, rest = (F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)) for c in ("title", "description"))
-    count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    terms = [(count(title, w), count(rest, w)) for w in query.lower().split()]
-    hits = reduce(lambda a, b: a + b, [a + 0.4 * b for a, b in terms])
-    every = reduce(lambda a, b: a & b, [a + b > 0 for a, b in terms])
-    return F.when(every, quantised(hits / (1 + F.log1p(F.size(title) + F.size(rest)))))
-
-
 def match_score(query: str = QUERY) -> Column:
     """4 for the very title, 3 for its beginning, 2 in it, 1 in the description, else 0."""
     title, q = F.lower("title"), query.lower()
     return F.when(title == q, 4).when(title.startswith(q), 3).when(F.contains(title, F.lit(q)), 2).when(F.contains(F.lower("description"), F.lit(q)), 1).otherwise(0)
 
 
-def word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_search(spark: SparkSession, sf_dir: str, query: str = QUERY) -> DataFrame:
     """The 50 best articles with all words of the query: twice the match score plus the rank."""
-    rows = news(spark, sf_dir).select("id", "created_at", match_score().alias("match"), text_rank().alias("rank")).filter("rank is not null")
+    rows = news(spark, sf_dir).join(ranks(news_index(spark, sf_dir), query), "id").select("id", "created_at", match_score(query).alias("match"), "rank")
     return rows.withColumn("total", quantised(2 * F.col("match") + F.col("rank"))).orderBy(F.desc("total"), F.desc("created_at"), "id").limit(50).select("id", "match", "rank", "total")
 
 
-def article_search(spark: SparkSession, sf_dir: str, far: float = 0.6) -> DataFrame:
+def article_search(spark: SparkSession, sf_dir: str, far: float = 0.6, query: str = QUERY) -> DataFrame:
     """Word search plus five times the cosine, of articles that hold the words or lie nearer than `far`."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"))
-    rows = news(spark, sf_dir).select("id", "created_at", match_score().alias("match"), text_rank().alias("rank")).join(vectors, "id", "left").join(F.broadcast(query_vector(spark, sf_dir)))  # one row
-    near = F.when(F.col("e").isNotNull(), cosine(F.col("e"), F.col("q")))
-    rows = rows.withColumn("near", near).filter((F.col("rank").isNotNull()) | (1 - F.col("near") < far))
+    near = table(spark, sf_dir, "embeddings").join(F.broadcast(query_vector(spark, sf_dir)))  # one row
+    near = near.select(F.col("vec_id").alias("id"), cosine(F.col("embedding"), F.col("q")).alias("near"))
+    found = ranks(news_index(spark, sf_dir), query).join(near, "id", "full").filter(F.col("rank").isNotNull() | (1 - F.col("near") < far))
+    rows = news(spark, sf_dir).join(found, "id").select("id", "created_at", match_score(query).alias("match"), "rank", "near")
     total = quantised(2 * F.col("match") + F.coalesce("rank", F.lit(0.0)) + 5 * F.coalesce("near", F.lit(0.0)))
     return rows.withColumn("total", total).orderBy(F.desc("total"), F.desc("created_at"), "id").limit(50).select("id", "match", "total")
 
 
-def hybrid_search(spark: SparkSession, sf_dir: str, least: float = 0.1) -> DataFrame:
+def hybrid_search(spark: SparkSession, sf_dir: str, least: float = 0.1, query: str = QUERY) -> DataFrame:
     """The best article of each story by .45 rank + .55 cosine, from the 300 best of each, less with age."""
-    words = news(spark, sf_dir).select("id", text_rank().alias("rank")).filter("rank is not null").orderBy(F.desc("rank"), "id").limit(BRANCH)
+    words = ranks(news_index(spark, sf_dir), query).orderBy(F.desc("rank"), "id").limit(BRANCH)
     near = with_vectors(spark, sf_dir).filter(hours_since("created_at") <= 720).join(F.broadcast(query_vector(spark, sf_dir))).select("id", cosine(F.col("e"), F.col("q")).alias("near"))
     near = near.orderBy(F.desc("near"), "id").limit(BRANCH)
-    rows = news(spark, sf_dir).select("id", "cluster_id", "created_at").join(words, "id", "left").join(near, "id", "left").filter(F.col("rank").isNotNull() | (F.col("near") > least))
+    found = words.join(near, "id", "full").filter(F.col("rank").isNotNull() | (F.col("near") > least))  # 2 * BRANCH rows at most
+    rows = news(spark, sf_dir).select("id", "cluster_id", "created_at").join(F.broadcast(found), "id")
     base = quantised(0.45 * F.coalesce("rank", F.lit(0.0)) + 0.55 * F.coalesce("near", F.lit(0.0)))
     recency = F.greatest(F.lit(0.1), 1 - hours_since("created_at") / 168)
     place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("base"), "id"))

@@ -13,12 +13,11 @@ def cosine(a: str, b: str) -> str:
 
 def search_sql() -> dict[str, str]:
     words = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
-    count = lambda c, w: f"len(list_filter({c}, lambda x: x = '{w}'))"
-    hits = " + ".join(f"({count('tw', w)} + 0.4::DOUBLE * {count('dw', w)})" for w in ("the", "and"))
-    every = " AND ".join(f"{count('tw', w)} + {count('dw', w)} > 0" for w in ("the", "and"))
-    rank = _q(f"({hits}) / (1 + ln(1::DOUBLE + len(tw) + len(dw)))")
     match = "CASE WHEN lower(title) = 'the and' THEN 4 WHEN starts_with(lower(title), 'the and') THEN 3 WHEN contains(lower(title), 'the and') THEN 2 WHEN contains(lower(description), 'the and') THEN 1 ELSE 0 END"
-    n = f"n AS {NEWS_SQL}, w AS (SELECT *, {words('title')} AS tw, {words('description')} AS dw, {match}::INTEGER AS match FROM n), t AS (SELECT *, CASE WHEN {every} THEN {rank} END AS rank FROM w)"
+    n = f"""n AS {NEWS_SQL}, w AS (SELECT *, {words('title')} AS tw, {words('description')} AS dw, {match}::INTEGER AS match FROM n),
+      u AS (SELECT id, len(tw) AS n_title, unnest(range(len(tw) + len(dw))) AS pos, unnest(list_concat(tw, dw)) AS term FROM w), h AS (SELECT *, CASE WHEN pos < n_title THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS x FROM u WHERE term IN ('the', 'and')),
+      l AS (SELECT *, lag(term) OVER o AS t0, lag(pos) OVER o AS p0, lag(x) OVER o AS x0 FROM h WINDOW o AS (PARTITION BY id ORDER BY pos)),
+      r AS (SELECT id, {_q("sum(2 / (1 / x + 1 / x0) / (pos - p0))")} AS rank FROM l WHERE term <> t0 GROUP BY 1), t AS (SELECT w.*, rank FROM w LEFT JOIN r USING (id))"""
     q = "q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
     v = "v AS (SELECT n.*, embedding AS e FROM n JOIN embeddings ON vec_id = id)"
     c = """p AS (SELECT cluster_id, created_at, unnest(range(len(e)))::INTEGER AS i, unnest(e)::DOUBLE AS x FROM v), m AS (SELECT cluster_id, i, avg(x) AS x, max(created_at) AS newest FROM p WHERE NOT isnan(x) GROUP BY 1, 2),
