@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, news, table
-from tidewire.operators import applied, attention, entities, gates, grouping, merges, online, quality, ranking, readers, reports, scores, search, selection, signals, statistics, stories, texts, words
+from tidewire.operators import applied, attention, entities, gates, grouping, merges, online, pages, quality, ranking, readers, reports, scores, search, selection, signals, statistics, stories, texts, words
 from tidewire.plans.entities_sql import entities_sql
 from tidewire.plans.gates_sql import gates_sql
+from tidewire.plans.pages_sql import pages_sql
 from tidewire.plans.quality_sql import quality_sql
 from tidewire.plans.ranking_sql import ranking_sql
 from tidewire.plans.search_sql import search_sql
@@ -49,7 +50,7 @@ _ON_TABLES = {
     "embedding_texts": ("documents", words.embedding_texts), "stem_counts": ("documents", words.stem_counts), "entity_counts": ("documents", words.entity_counts),
     "copy_purity": ("documents", scores.copy_purity),
     "turn_cosine": ("conversations", words.turn_cosine), "calibrated_distances": ("events", words.calibrated_distances), "centred_vectors": ("embeddings", words.centred_vectors),
-    "feed_links": ("pages", gates.feed_links), "page_feeds": ("pages", gates.page_feeds), "image_scores": ("pages", gates.image_scores), "page_images": ("pages", gates.page_images),
+    "page_articles": ("pages", pages.page_articles), "feed_links": ("pages", gates.feed_links), "page_feeds": ("pages", gates.page_feeds), "image_scores": ("pages", gates.image_scores), "page_images": ("pages", gates.page_images),
     "alert_gaps": ("events", gates.alert_gaps), "profiles": ("events", readers.profiles), "mood_days": ("events", statistics.mood_days), "checked_centroids": ("embeddings", statistics.checked_centroids),
     "served_ads": ("orders", selection.served_ads), "on_this_day": ("orders", selection.on_this_day), "delivery_engagement": ("events", selection.delivery_engagement),
     "running_centroid": ("embeddings", reports.running_centroid_vector), "clustering_quality": ("embeddings", lambda v: reports.clustering_quality(reports.vector_clusters(v))),
@@ -85,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     a, now = ARTICLES_SQL, f"TIMESTAMP '{AS_OF}'"
-    return reports_sql() | scores_sql() | words_sql() | ranking_sql() | selection_sql() | search_sql() | entities_sql() | quality_sql(gates_sql()["junk_articles"]) | gates_sql() | statistics_sql(words_sql() | gates_sql()) | {
+    return reports_sql() | scores_sql() | words_sql() | ranking_sql() | selection_sql() | search_sql() | entities_sql() | pages_sql() | quality_sql(gates_sql()["junk_articles"]) | gates_sql() | statistics_sql(words_sql() | gates_sql()) | {
         "source_history": f"""WITH a AS {a}, s AS (SELECT cluster_id, arg_min(source, (created_at, id)) AS source, count(DISTINCT source) AS ns FROM a GROUP BY 1),
           l AS (SELECT source, count(*) AS leads, count(*) FILTER (ns >= 2) AS corroborated, count(*) FILTER (ns = 1) AS solo FROM s GROUP BY 1),
           r AS (SELECT source, count(*) AS articles, count(*) FILTER (created_at >= {now} - INTERVAL 7 DAY AND created_at < {now}) AS week,
