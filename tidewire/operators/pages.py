@@ -18,7 +18,7 @@ FUNCTION_WORDS = tuple(
 )
 #: Most letters in links; letters below which a block is short and from which a wordy one is sure; shares of function words.
 LINKED, SHORT, LONG, SOME, MANY = 0.2, 70, 200, 0.10, 0.20
-_CUT, _OPEN = "", ""
+_CUT, _OPEN = "\ue000", "\ue001"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
