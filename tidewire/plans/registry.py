@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, news, table
-from tidewire.operators import applied, attention, entities, gates, grouping, home, merges, online, pages, quality, ranking, readers, reports, scores, search, selection, signals, statistics, stories, support, texts, words
+from tidewire.operators import applied, attention, entities, gates, grouping, home, merges, next_reads, online, pages, quality, ranking, readers, reports, scores, search, selection, signals, statistics, stories, support, texts, words
 from tidewire.plans.entities_sql import entities_sql
 from tidewire.plans.gates_sql import gates_sql
 from tidewire.plans.pages_sql import pages_sql
@@ -63,9 +63,9 @@ _ON_NEWS = {
     "source_weights": ranking.source_weights, "ranked_in_story": ranking.ranked_in_story, "story_scores": ranking.story_scores, "source_roles": ranking.source_roles,
     "coverage": ranking.coverage, "summary_freshness": ranking.summary_freshness, "editor_signals": ranking.editor_signals, "lead_story": ranking.lead_story,
     "source_reputation": ranking.source_reputation,
-    "story_entities": entities.story_entities, "word_roles": entities.word_roles, "article_quality": quality.article_quality, "rejected_articles": quality.rejected_articles, "home_page": home.home_page, "faithfulness": support.faithfulness,
+    "story_entities": entities.story_entities, "word_roles": entities.word_roles, "article_quality": quality.article_quality, "rejected_articles": quality.rejected_articles, "home_page": home.home_page, "next_reads": next_reads.next_reads, "faithfulness": support.faithfulness,
     "story_timeline": grouping.story_timeline, "story_overview": grouping.story_overview, "story_summary": grouping.story_summary,
-    "aliased_edges": statistics.aliased_edges, "trending_words": statistics.trending_words, "ingest_gates": statistics.ingest_gates, "trust_tiers": statistics.trust_tiers,
+    "aliased_edges": statistics.aliased_edges, "trending_words": statistics.trending_words, "ingest_gates": statistics.ingest_gates, "trust_tiers": lambda n: statistics.trust_tiers(n, provisional_hours=10),
     "latin_titles": gates.latin_titles, "synthesis_quality": gates.synthesis_quality,
     "languages": gates.languages, "fact_checks": gates.fact_checks, "junk_articles": gates.junk_articles, "classes": gates.classes, "number_grounding": gates.number_grounding,
     "complexity": gates.complexity, "editorial_patterns": gates.editorial_patterns, "citations": gates.citations, "cleaned_texts": gates.cleaned_texts,
