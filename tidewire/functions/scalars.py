@@ -25,7 +25,11 @@ def long_words(text: Column, least: int = 4) -> Column:
 
 def overlap(a: Column, b: Column, least: int = 4) -> Column:
     """Jaccard similarity of the two texts' long words; 0 where either has none (F16, F17 with least=1)."""
-    x, y = long_words(a, least), long_words(b, least)
+    return words_overlap(long_words(a, least), long_words(b, least))
+
+
+def words_overlap(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two word sets; 0 where either is empty."""
     both = F.size(F.array_union(x, y))
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / both).otherwise(F.lit(0.0))
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.adapters import AS_OF
-from tidewire.functions.scalars import numbers, overlap
+from tidewire.functions.scalars import long_words, numbers, overlap, words_overlap
 from tidewire.operators.stories import quantised
 
+#: Articles of a story that another of it is compared with.
+MOST_MEMBERS = 40
 HARD_TOPICS, SOFT_TOPICS = ("politics", "economy", "crime", "sport", "technology"), ("life", "fun", "health")
 
 
@@ -45,23 +50,43 @@ def ranked_in_story(news: DataFrame) -> DataFrame:
     Greedy, so a story at a time: taken by weight and .12 for a description, an article is redundant if its title
     overlaps a kept one by .85 or more; then by weight, less 5 if redundant, and time. Ties go by id.
     """
-    rows = news.select("id", "cluster_id", "title", "created_at", weight().alias("weight"), (F.length(F.trim("description")) > 0).alias("described"))
-
-    def rank(frame):
-        words = lambda t: {w for w in (t or "").lower().split() if len(w) >= 4}
-        frame = frame.assign(first=frame["weight"] + 0.12 * frame["described"]).sort_values(["first", "id"], ascending=[False, True])
-        kept, redundant = [], []
-        for title in frame["title"]:
-            own = words(title)
-            near = any(len(own & k) / (len(own | k) or 1) >= 0.85 for k in kept)
-            redundant.append(near)
-            if not near:
-                kept.append(own)
-        frame = frame.assign(redundant=redundant)
-        frame = frame.assign(key=frame["weight"] - 5.0 * frame["redundant"]).sort_values(["key", "created_at", "id"], ascending=[False, False, True])
-        return frame.assign(rank=range(1, len(frame) + 1))[["id", "cluster_id", "redundant", "rank"]]
-
-    return rows.groupBy("cluster_id").applyInPandas(rank, "id long, cluster_id string, redundant boolean, rank int")
+    first = weight() + F.when(F.length(F.trim("description")) > 0, 0.12).otherwise(0.0)
+    rows = news.select("id", "cluster_id", "title", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), weight().alias("weight"), first.alias("first"))
+    dealt = rows.repartition("cluster_id").sortWithinPartitions("cluster_id", F.desc("first"), "id")
+    return dealt.mapInArrow(_ranked, "id long, cluster_id string, redundant boolean, rank int")
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks of the stories of a partition, whose rows come one story after another, best first."""
+    story, held = (), []
+    for batch in batches:
+        out: list[tuple] = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("cluster_id", "id", "title", "at", "weight")), strict=True):
+            if held and row[0] != story:
+                out += _ranks(held)
+                held = []
+            story = row[0]
+            held.append(row)
+        yield _rank_rows(out)
+    yield _rank_rows(_ranks(held))
+
+
+def _ranks(rows: list[tuple]) -> list[tuple]:
+    kept: list[set[str]] = []
+    told = []
+    for story, key, title, at, held in rows:
+        own = {w for w in (title or "").lower().split() if len(w) >= 4}
+        near = any(len(own & k) / (len(own | k) or 1) >= 0.85 for k in kept)
+        if not near:
+            kept.append(own)
+        told.append((held - 5.0 * near, at, -key, story, near))
+    told.sort(key=lambda r: r[:3], reverse=True)
+    return [(-minus, story, near, i + 1) for i, (_, _, minus, story, near) in enumerate(told)]
+
+
+def _rank_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.string(), pa.bool_(), pa.int32())
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["id", "cluster_id", "redundant", "rank"])
 
 
 def story_scores(news: DataFrame) -> DataFrame:
@@ -87,15 +112,16 @@ def story_scores(news: DataFrame) -> DataFrame:
 
 
 def source_roles(news: DataFrame) -> DataFrame:
-    """What each article does in its story: confirm, lead, contrast or context, and how many titles corroborate it."""
-    rows = ranked_rows(news).select("cluster_id", "id", "title", "created_at", "weight", "rank")
-    other = rows.select("cluster_id", F.col("id").alias("o"), F.col("title").alias("o_title"))
-    pairs = rows.select("cluster_id", "id", "title").join(other, "cluster_id").filter("id <> o")
-    near = pairs.groupBy("id").agg(F.count_if(overlap(F.col("title"), F.col("o_title")) >= 0.3).alias("corroborated"))
-    lead = rows.filter("rank = 1").select("cluster_id", F.col("title").alias("lead_title"), F.col("created_at").alias("lead_at"))
+    """What each article does in its story: confirm, lead, contrast or context, and how many titles corroborate it (R26), of
+    the MOST_MEMBERS best-ranked ones; a story of the online rule has no more."""
+    rows = ranked_rows(news).select("cluster_id", "id", long_words(F.col("title")).alias("words"), "created_at", "weight", "rank")
+    other = rows.filter(F.col("rank") <= MOST_MEMBERS).select("cluster_id", F.col("id").alias("o"), F.col("words").alias("o_words"))
+    pairs = rows.select("cluster_id", "id", "words").join(other, "cluster_id").filter("id <> o")
+    near = pairs.groupBy("id").agg(F.count_if(words_overlap(F.col("words"), F.col("o_words")) >= 0.3).alias("corroborated"))
+    lead = rows.filter("rank = 1").select("cluster_id", F.col("words").alias("lead_words"), F.col("created_at").alias("lead_at"))
     first = rows.groupBy("cluster_id").agg(F.min("created_at").alias("first_at"))
     every = rows.join(lead, "cluster_id").join(first, "cluster_id").join(near, "id", "left").withColumn("corroborated", F.coalesce("corroborated", F.lit(0)))
-    like = F.when(F.col("rank") == 1, 1.0).otherwise(overlap(F.col("title"), F.col("lead_title")))
+    like = F.when(F.col("rank") == 1, 1.0).otherwise(words_overlap(F.col("words"), F.col("lead_words")))
     late = F.col("created_at") > F.col("lead_at") + F.expr("interval 90 minutes")
     role = (
         F.when((F.col("rank") == 1) & (F.col("corroborated") >= 2), "confirm").when((F.col("rank") == 1) & (F.col("weight") >= 1.6), "lead")
