@@ -15,43 +15,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the group of its normalised text."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity, the model fitted on a sample of labels."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.severity(docs, toxicity.fit(*toxicity.sampled_features(docs, table(spark, sf_dir, "labels"))))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that nearly repeat an earlier one."""
     return line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
 
 
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document stands in the sequences."""
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and notices."""
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
     return mixing.fair_mix(table(spark, sf_dir, "documents"))
 
 
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document."""
     return sharding.curve_shards(table(spark, sf_dir, "documents"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's visible text."""
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
