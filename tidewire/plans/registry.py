@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.adapters import ARTICLES_SQL, AS_OF, articles, news, table
-from tidewire.operators import applied, attention, entities, gates, grouping, home, merges, next_reads, online, pages, quality, ranking, readers, reports, scores, search, selection, signals, statistics, stories, support, texts, words
+from tidewire.operators import applied, attention, entities, gates, grouping, home, merges, next_reads, online, pages, quality, ranking, readers, reports, scores, search, selection, signals, statistics, stories, support, texts, trends, words
 from tidewire.plans.entities_sql import entities_sql
 from tidewire.plans.gates_sql import gates_sql
 from tidewire.plans.pages_sql import pages_sql
@@ -19,6 +19,7 @@ from tidewire.plans.reports_sql import reports_sql
 from tidewire.plans.scores_sql import scores_sql
 from tidewire.plans.statistics_sql import statistics_sql
 from tidewire.plans.support_sql import support_sql
+from tidewire.plans.trends_sql import trends_sql
 from tidewire.plans.words_sql import words_sql
 
 _ON_ARTICLES = {
@@ -63,7 +64,7 @@ _ON_NEWS = {
     "source_weights": ranking.source_weights, "ranked_in_story": ranking.ranked_in_story, "story_scores": ranking.story_scores, "source_roles": ranking.source_roles,
     "coverage": ranking.coverage, "summary_freshness": ranking.summary_freshness, "editor_signals": ranking.editor_signals, "lead_story": ranking.lead_story,
     "source_reputation": ranking.source_reputation,
-    "story_entities": entities.story_entities, "word_roles": entities.word_roles, "article_quality": quality.article_quality, "rejected_articles": quality.rejected_articles, "home_page": home.home_page, "next_reads": next_reads.next_reads, "faithfulness": support.faithfulness,
+    "story_entities": entities.story_entities, "word_roles": entities.word_roles, "article_quality": quality.article_quality, "rejected_articles": quality.rejected_articles, "home_page": home.home_page, "rising_words": lambda n: trends.rising_words(n, unit=48), "next_reads": next_reads.next_reads, "faithfulness": support.faithfulness,
     "story_timeline": grouping.story_timeline, "story_overview": grouping.story_overview, "story_summary": grouping.story_summary,
     "aliased_edges": statistics.aliased_edges, "trending_words": statistics.trending_words, "ingest_gates": statistics.ingest_gates, "trust_tiers": lambda n: statistics.trust_tiers(n, provisional_hours=10),
     "latin_titles": gates.latin_titles, "synthesis_quality": gates.synthesis_quality,
@@ -87,7 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     a, now = ARTICLES_SQL, f"TIMESTAMP '{AS_OF}'"
-    return reports_sql() | scores_sql() | words_sql() | ranking_sql() | selection_sql() | search_sql() | entities_sql() | pages_sql() | support_sql() | quality_sql(gates_sql()["junk_articles"]) | gates_sql() | statistics_sql(words_sql() | gates_sql()) | {
+    return reports_sql() | scores_sql() | words_sql() | ranking_sql() | selection_sql() | search_sql() | entities_sql() | pages_sql() | support_sql() | trends_sql(trends.SPELLINGS, 48) | quality_sql(gates_sql()["junk_articles"]) | gates_sql() | statistics_sql(words_sql() | gates_sql()) | {
         "source_history": f"""WITH a AS {a}, s AS (SELECT cluster_id, arg_min(source, (created_at, id)) AS source, count(DISTINCT source) AS ns FROM a GROUP BY 1),
           l AS (SELECT source, count(*) AS leads, count(*) FILTER (ns >= 2) AS corroborated, count(*) FILTER (ns = 1) AS solo FROM s GROUP BY 1),
           r AS (SELECT source, count(*) AS articles, count(*) FILTER (created_at >= {now} - INTERVAL 7 DAY AND created_at < {now}) AS week,
