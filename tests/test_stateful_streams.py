@@ -12,6 +12,11 @@ from tidewire.streaming import events
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 @pytest.fixture(scope="module")
 def rows():
     r = random.Random(9)
@@ -45,6 +50,18 @@ def test_rate_limits(spark, rows, folder):
     assert got == want and 0 < sum(want.values()) < len(want)
 
 
+def test_users_are_forgotten(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    for i, (user, hours) in enumerate([(1, 0), (2, 60), (2, 61), (2, 62)]):
+        spark.createDataFrame([(i, start + timedelta(hours=hours), user, "view", 1.0, "{}")], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frame = events.rate_limited(events.event_stream(spark, str(tmp_path / "in")), limit=2)
+    query = frame.writeStream.format("memory").queryName("forgotten").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    assert [r.allowed for r in spark.table("forgotten").collect()] == [True] * 4
+    state = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "value").load()
+    assert {r.key.user_id if hasattr(r.key, "user_id") else r.key[0] for r in state.select("key").collect()} == {2}
+
+
 def test_alert_throttles(spark, rows, folder):
     got = {x.event_id: x.sent for x in collected(spark, events.throttled_alerts(events.event_stream(spark, folder)), "alerts")}
     last, topics, want = {}, {}, {}

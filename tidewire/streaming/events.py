@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.functions.scalars import entry_time
@@ -82,53 +84,93 @@ def groomed(events: DataFrame, within: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(["user_id", "event_type"]).withColumn("priority", priority)
 
 
-def rate_limited(events: DataFrame, limit: int = 60, seconds: int = 60, daily: int = 100) -> DataFrame:
-    """Whether each event of a user is let through: less than `limit` tries in the seconds before it, and `daily` tries of
-    the day at most; refused tries count too (T-6).
+class Forgetful(StatefulProcessor):
+    """Decides on each event of a user in order of time, with one value as the user's state; a timer `hours` after the
+    last event forgets the user, so the state is of those who were there of late."""
 
-    The state of a user is the last `limit` times and the count of the day, however many events come.
-    """
+    schema, column, hours = "", "", 24
 
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, day, count = state.get if state.exists else ([], "", 0)
-        last = list(last)
-        batch = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        allowed = []
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._value = handle.getValueState("value", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        state, told = self.decide(batch, self._value.get() if self._value.exists() else None)
+        self._value.update(state)
+        for at in list(self._handle.listTimers()):
+            self._handle.deleteTimer(at)
+        self._handle.registerTimer(int(batch["ts"].iloc[-1].timestamp() * 1000) + self.hours * 3_600_000)
+        yield pd.DataFrame({"event_id": batch["event_id"], "user_id": key[0], self.column: told})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._value.clear()
+        yield pd.DataFrame({"event_id": np.array([], np.int64), "user_id": np.array([], np.int64), self.column: np.array([], bool)})
+
+    def close(self) -> None:
+        pass
+
+    def decide(self, batch: pd.DataFrame, state: tuple | None) -> tuple[tuple, list[bool]]:
+        raise NotImplementedError
+
+
+class Limits(Forgetful):
+    schema, column = "last string, day string, count long", "allowed"
+
+    def __init__(self, limit: int, seconds: int, daily: int):
+        self._limit, self._seconds, self._daily = limit, seconds, daily
+        self.hours = max(24, -(-seconds // 3600))
+
+    def decide(self, batch: pd.DataFrame, state: tuple | None) -> tuple[tuple, list[bool]]:
+        held, day, count = state or ("", "", 0)
+        last, allowed = [int(x) for x in held.split()], []
         for at in batch["ts"]:
             now, today = int(at.value // 1000), str(at.date())
             count = count + 1 if today == day else 1
             day = today
-            last = [x for x in last if x > now - seconds * 1_000_000]
-            allowed.append(len(last) < limit and count <= daily)
-            last = [*last, now][-limit:]
-        state.update((last, day, count))
-        yield pd.DataFrame({"event_id": batch["event_id"], "user_id": key[0], "allowed": allowed})
+            last = [x for x in last if x > now - self._seconds * 1_000_000]
+            allowed.append(len(last) < self._limit and count <= self._daily)
+            last = [*last, now][-self._limit :]
+        return (" ".join(map(str, last)), day, count), allowed
 
-    rows = events.select("user_id", "event_id", "ts").groupBy("user_id")
-    return rows.applyInPandasWithState(advance, "event_id long, user_id long, allowed boolean", "last array<long>, day string, count long", "append", GroupStateTimeout.NoTimeout)
 
+class Throttle(Forgetful):
+    schema, column = "last long, topics string", "sent"
 
-def throttled_alerts(events: DataFrame, gap: int = 90, story_gap: int = 180) -> DataFrame:
-    """Purchases as alerts to their user: sent if `gap` minutes have passed since any alert and `story_gap` since one on
-    the same topic; throttled ones change no state (T-11). Topics of the state that have waited long enough go."""
+    def __init__(self, gap: int, story_gap: int):
+        self._gap, self._story_gap = gap, story_gap
+        self.hours = -(-max(gap, story_gap) // 60)
 
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, topics, times = state.get if state.exists else (-(1 << 60), [], [])
-        by_topic = dict(zip(topics, times, strict=True))
-        batch = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        sent = []
+    def decide(self, batch: pd.DataFrame, state: tuple | None) -> tuple[tuple, list[bool]]:
+        last, held = state or (-(1 << 60), "{}")
+        by_topic, sent = json.loads(held), []
         for row in batch.itertuples():
             now = int(row.ts.value // 60_000_000_000)
-            fine = now - last >= gap and now - by_topic.get(row.topic, -(1 << 60)) >= story_gap
+            fine = now - last >= self._gap and now - by_topic.get(row.topic, -(1 << 60)) >= self._story_gap
             sent.append(fine)
             if fine:
                 last, by_topic[row.topic] = now, now
-        by_topic = {t: at for t, at in by_topic.items() if last - at < story_gap}
-        state.update((last, list(by_topic), list(by_topic.values())))
-        yield pd.DataFrame({"event_id": batch["event_id"], "user_id": key[0], "sent": sent})
+        return (last, json.dumps({t: at for t, at in by_topic.items() if last - at < self._story_gap})), sent
+
+
+def rate_limited(events: DataFrame, limit: int = 60, seconds: int = 60, daily: int = 100, late: str = "1 hour") -> DataFrame:
+    """Whether each event of a user is let through: less than `limit` tries in the seconds before it, and `daily` tries of
+    the day at most; refused tries count too (T-6).
+
+    The state of a user is the last `limit` times and the count of the day, however many events come; it goes a day
+    after the last. Needs the RocksDB state store.
+    """
+    rows = events.withWatermark("ts", late).select("user_id", "event_id", "ts").groupBy("user_id")
+    return rows.transformWithStateInPandas(Limits(limit, seconds, daily), "event_id long, user_id long, allowed boolean", "Append", "EventTime")
+
 
-    rows = events.filter("event_type = 'purchase'").select("user_id", "event_id", "ts", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("topic")).groupBy("user_id")
-    return rows.applyInPandasWithState(advance, "event_id long, user_id long, sent boolean", "last long, topics array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
+def throttled_alerts(events: DataFrame, gap: int = 90, story_gap: int = 180, late: str = "1 hour") -> DataFrame:
+    """Purchases as alerts to their user: sent if `gap` minutes have passed since any alert and `story_gap` since one on
+    the same topic; throttled ones change no state (T-11). Topics that have waited long enough go from the state, and a
+    user who has waited so long goes as a whole. Needs the RocksDB state store."""
+    rows = events.withWatermark("ts", late).filter("event_type = 'purchase'")
+    rows = rows.select("user_id", "event_id", "ts", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("topic")).groupBy("user_id")
+    return rows.transformWithStateInPandas(Throttle(gap, story_gap), "event_id long, user_id long, sent boolean", "Append", "EventTime")
 
 
 def running_centroids(vectors: DataFrame) -> DataFrame:
