@@ -86,3 +86,12 @@ def test_no_conversations(spark):
     assert df.columns == NAMES and df.count() == 0
     assert result(prefix_trie.prefix_trie(spark.createDataFrame([(None, 1, "user", "x", 1, "x")], SCHEMA))) == []
     assert len(result(prefix_trie.prefix_trie(spark.createDataFrame([(21, 1, "user", "x", 1, "x")], SCHEMA)))) == 2 - (zlib.crc32(b"21") % 4 > 0)
+
+
+def test_given_conversations_as_by_sql(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    want = db.execute(f"SELECT {', '.join(NAMES)} FROM ({queries.oracle_sql()['op11_prefix_trie']})").fetchall()
+    assert result(queries.op11_prefix_trie(spark, "/root/testdata/sf0.001")) == sorted(tuple(-1 if x is None else x for x in r) for r in want)

@@ -118,6 +118,35 @@ SELECT doc_id, q.source, size, source_size, target,
 FROM queue q LEFT JOIN reached r ON q.source IS NOT DISTINCT FROM r.source
 """
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base,
+         list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substring(conv_id::VARCHAR, i, 1))::BIGINT) AS bytes FROM t),
+crc AS (  -- CRC-32 of the decimal id, bit by bit
+  SELECT conv_id, base, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, b: list_reduce(
+    list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END)), 4294967295::BIGINT) % 4 AS h FROM ids),
+rebuilt AS (
+  SELECT crc.conv_id, 0 AS part, pos, k, text FROM crc JOIN t ON t.conv_id = crc.base AND pos <= h
+  UNION ALL SELECT crc.conv_id, 1, pos, k, text FROM crc JOIN t ON t.conv_id = crc.conv_id AND pos > h),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words FROM rebuilt),
+paths AS (
+  SELECT conv_id, d, words, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM turns UNION ALL SELECT conv_id, 0, 0, '' FROM crc),
+nodes AS (SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM paths GROUP BY 1, 2),
+ends AS (
+  SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, arg_max(path, d) AS path FROM paths GROUP BY 1) GROUP BY 1),
+kids AS (SELECT path[:-65] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+sums AS (
+  SELECT a.path, count(*) FILTER (kids.n IS NULL) AS leaves, sum((b.n_convs - 1) * b.words)::BIGINT AS saved
+  FROM nodes a JOIN nodes b ON starts_with(b.path, a.path) LEFT JOIN kids ON kids.path = b.path GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums USING (path) LEFT JOIN kids USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes up ON n.depth > 0 AND up.path = n.path[:-65]
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_mixing": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_mixing": OP7_SQL, "op11_prefix_trie": OP11_SQL}
