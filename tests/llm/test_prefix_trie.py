@@ -75,7 +75,7 @@ def test_many_members_in_blocks(spark, monkeypatch):
     assert result(prefix_trie.prefix_trie(spark.createDataFrame(rows, SCHEMA))) == plain(rows)
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("sf", ["sf0.01"])
 def test_given_conversations(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{sf}/conversations.parquet").collect()]
     assert result(queries.queries()["op11_prefix_trie"](spark, f"/root/testdata/{sf}")) == plain(rows)
