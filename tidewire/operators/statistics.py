@@ -46,12 +46,12 @@ def followers(articles: DataFrame) -> DataFrame:
 
 def stale_stories(articles: DataFrame, minutes: int = 45) -> DataFrame:
     """Stories whose newest article is over 45 minutes newer than their summary (the last purchase), or that have none:
-    their number, the age of the newest in minutes, and the first ids (A25, J6)."""
+    their number, the age of the newest in minutes, and the first ids (A25, J6); age and ids are null if there are none."""
     newest = articles.groupBy("cluster_id").agg(F.max("created_at").alias("newest"))
     summary = articles.filter("category = 'purchase'").groupBy("cluster_id").agg(F.max("created_at").alias("summary_at"))
     late = F.col("summary_at").isNull() | (F.col("newest") > F.col("summary_at") + F.expr(f"interval {minutes} minutes"))
     rows = newest.join(summary, "cluster_id", "left").filter(late)
-    first = rows.orderBy("cluster_id").limit(8).agg(F.array_join(F.array_sort(F.collect_list("cluster_id")), ",").alias("sample"))
+    first = rows.orderBy("cluster_id").limit(8).agg(F.when(F.count(F.lit(1)) > 0, F.array_join(F.array_sort(F.collect_list("cluster_id")), ",")).alias("sample"))
     sums = rows.agg(F.count(F.lit(1)).alias("stale"), F.floor(F.min(hours_since("newest")) * 60).cast("long").alias("newest_age"))
     return sums.join(F.broadcast(first))  # one row each
 
