@@ -1,10 +1,13 @@
 """Merges of stories against a greedy walk and against all pairs."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 
-from tidewire.operators import merges
+from pyspark.sql import functions as F
+
+from tidewire.operators import merges, online
 
 DATA = "/root/testdata/sf0.001"
 
@@ -84,3 +87,28 @@ def test_pairs_of_the_news_against_all_pairs(spark):
     sure = {(r.a, r.b): r.confidence for r in merges.story_confidence(spark, DATA).collect()}
     of = {r["id"]: r for r in rows}
     assert all(merges.confidence(of[a], of[b]) == c > 0 for (a, b), c in sure.items())
+
+
+def test_pairs_that_cannot_be_one_are_not_judged(spark):
+    """Of 30 stories a day that share a word, those of other topics, or with far vectors, are left out where words meet."""
+    day = lambda i: (f"s{i:02}", 5, ["bridge", f"w{i}"], [], ["n"], f"t{i % 6}", "m", [[]], 100.0 + i % 2, [float(i % 5 == k) for k in range(5)])
+    rows = spark.createDataFrame([day(i) for i in range(30)], "id string, day long, tokens array<string>, entities array<string>, x array<string>, topic string, category string, titles array<array<string>>, newest double, e array<double>")
+    loose = {(r.a, r.b) for r in merges.story_pairs(rows.filter("id < 's06'")).collect()}
+    assert len(loose) == 15
+    rows = rows.filter("id < 's06'")
+    near = {(r.a, r.b) for r in merges.story_pairs(rows, gate=merges.GATE).collect()}
+    assert near == {("s00", "s05")}
+    assert merges.story_pairs(rows, topical=True).count() == 0
+    same = rows.withColumn("topic", F.lit(None).cast("string"))
+    assert {(r.a, r.b) for r in merges.story_pairs(same, topical=True).collect()} == loose
+
+
+def test_common_letters_bound_matching_blocks():
+    r = random.Random(5)
+    for _ in range(200):
+        a, b = ("".join(r.choice("abcd ") for _ in range(r.randrange(40))) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert online.common_letters(a, b) == table[-1][-1] >= sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())

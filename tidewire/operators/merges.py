@@ -42,23 +42,74 @@ def story_heads(articles: DataFrame) -> DataFrame:
     )
 
 
-def story_pairs(heads: DataFrame) -> DataFrame:
+def story_pairs(heads: DataFrame, gate: float | None = None, topical: bool = False) -> DataFrame:
     """Pairs (a, b) of stories within two days that share a telling word or name of their longest titles, each once; stories
-    of one and the same title each with the first of its day and that with the first of the day before."""
+    of one and the same title each with the first of its day and that with the first of the day before. With `gate` those
+    whose vectors are farther apart are left out where the words meet, with `topical` those that confidence() calls unsafe.
+    """
     keyed = heads.join(article_keys(heads.select("id", "day", "tokens", "entities")), "id", "left")
-    each = keyed.select("id", "day", F.explode("keys").alias("key"))
-    later = each.select(F.col("id").alias("b"), F.explode(F.array("day", F.col("day") + 1)).alias("day"), "key")
-    pairs = each.withColumnRenamed("id", "a").join(later, ["day", "key"]).select("a", "b")
+    safe = [F.coalesce("topic", F.lit("")).alias("topic"), F.coalesce("category", F.lit("")).alias("category"), "newest"] if topical else []
+    each = keyed.select("id", "day", F.explode("keys").alias("key"), *safe, *(["e"] if gate is not None else []))
     twins = word_links(keyed.withColumn("keys", F.array().cast("array<string>"))).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    both = pairs.unionByName(twins).filter("a != b")
+    if gate is not None:
+        pairs = _near_pairs(each, gate)
+    else:
+        day = F.explode(F.array("day", F.col("day") + 1)).alias("day")
+        later = each.select(F.col("id").alias("b"), day, "key", *([F.col("topic"), F.col("category").alias("other"), F.col("newest").alias("then")] if topical else []))
+        pairs = each.withColumnRenamed("id", "a").join(later, ["day", "key", *(["topic"] if topical else [])])
+        if topical:
+            pairs = pairs.filter(((F.col("category") == F.col("other")) | F.col("category").isin("") | F.col("other").isin("")) & (F.abs(F.col("newest") - F.col("then")) <= APART_HOURS))
+    both = pairs.select("a", "b").unionByName(twins).filter("a != b")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-_SIDE = ("tokens", "entities", "category", "topic", "titles", "e", "hours", "newest")
+def _near_pairs(each: DataFrame, gate: float) -> DataFrame:
+    """Pairs (a, b) of (id, day, key, e) that share a key within two days and are `gate` near or cannot be compared. A key
+    is of few stories a day, so vectors go once a key and day, not once a pair."""
+
+    def groups(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        found = [vector_of(x) for x in table["e"].to_pylist()]
+        size = np.array([0 if x is None else len(x) for x in found])
+        unit = np.zeros((len(found), size.max(initial=1)))
+        for i, x in enumerate(found):
+            if x is not None:
+                unit[i, : len(x)] = x / np.sqrt(x @ x)
+        own, ids, place = table["own"].to_numpy(), table["id"].to_numpy(), table["group"].to_numpy()
+        for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(place)) + 1):
+            left = at[own[at]]
+            comparable = (size[left][:, None] == size[at]) & (size[at] > 0)
+            i, j = np.nonzero((ids[left][:, None] != ids[at]) & (~comparable | (calibrated_similarity(unit[left] @ unit[at].T) >= gate - 1e-9)))
+            yield ids[left[i]], ids[at[j]]
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            days, keys = table["d"].to_numpy(), table["key"].to_numpy()
+            place = np.concatenate([[0], np.cumsum((days[1:] != days[:-1]) | (keys[1:] != keys[:-1]))])
+            last = int(np.searchsorted(place, place[-1]))
+            held = table.slice(last)
+            yield from _batches(groups(table.append_column("group", pa.array(place)).slice(0, last)))
+        if held is not None:
+            yield from _batches(groups(held.append_column("group", pa.array(np.zeros(len(held), int)))))
+
+    def _batches(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        pairs = list(found)
+        if pairs:
+            yield pa.record_batch([pa.array(np.concatenate(x), pa.string()) for x in zip(*pairs, strict=True)], names=["a", "b"])
+
+    rows = each.select("id", "key", "e", "day", F.explode(F.array("day", F.col("day") + 1)).alias("d")).withColumn("own", F.col("d") == F.col("day"))
+    return rows.drop("day").repartition("d", "key").sortWithinPartitions("d", "key").mapInArrow(paired, "a string, b string")
+
 
+#: What the rules read of a story: matching_overlap() and confidence().
+_MATCHED = ("tokens", "entities", "category", "topic", "e")
+_TRUSTED = ("entities", "category", "topic", "titles", "e", "newest")
 
-def _with_sides(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    side = lambda k: heads.select(F.col("id").alias(k), F.struct(*_SIDE).alias(f"{k}_"))
+
+def _with_sides(pairs: DataFrame, heads: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    side = lambda k: heads.select(F.col("id").alias(k), F.struct(*columns).alias(f"{k}_"))
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
@@ -76,10 +127,10 @@ def matching_overlap(a: dict, b: dict) -> float | None:
     near = nearness(a, b)
     if near is not None and near < GATE:
         return None
-    overlap = ratio_overlap(a["tokens"], b["tokens"])
+    shared = len({x for x in set(a["entities"]) & set(b["entities"]) if not x.isdigit()})
+    overlap = ratio_overlap(a["tokens"], b["tokens"], {0: INSTANT, 1: ANCHORED}.get(shared, 0.0))
     if overlap >= INSTANT:
         return overlap
-    shared = len({x for x in set(a["entities"]) & set(b["entities"]) if not x.isdigit()})
     if not shared or (shared < 2 and overlap < ANCHORED):
         return None
     if a["category"] and b["category"] and a["category"] != b["category"] and shared < 2 and overlap < 0.40:
@@ -97,8 +148,13 @@ def confidence(a: dict, b: dict) -> float:
     left, right = (Counter(w for t in s["titles"] for w in t) for s in (a, b))
     norm = np.sqrt(sum(v * v for v in left.values()) * sum(v * v for v in right.values()))
     lexical = sum(left[w] * right[w] for w in left.keys() & right.keys()) / norm if norm else 0.0
-    phrase = max((ratio_overlap(x, y) for x in a["titles"] for y in b["titles"]), default=0.0)
     tags = len(set(a["entities"]) & set(b["entities"]) - set(GENERAL))
+    if lexical < (0.24 if tags else 0.36) and (not tags or (a["topic"] or "").strip().lower() in GENERAL):
+        return 0.0
+    phrase = 0.0
+    for x in a["titles"]:
+        for y in b["titles"]:
+            phrase = max(phrase, ratio_overlap(x, y, phrase))
     near = nearness(a, b) or 0.0
     if (a["topic"] or "").strip().lower() in GENERAL:
         if tags >= 2 and lexical >= 0.30:
@@ -118,19 +174,20 @@ def _judged(pairs: DataFrame, rule) -> DataFrame:
             out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(scores, pa.float64())], names=["a", "b", "score"])
             yield out.filter(pa.array([bool(s) for s in scores], pa.bool_()))
 
-    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    # by a hash of both, as pairs already dealt by a and b would stay in the few tasks that their bytes ask for
+    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("a", "b"))
     return dealt.mapInArrow(judge, "a string, b string, score double")
 
 
 def repair_pairs(heads: DataFrame, hours: float = REPAIR_HOURS) -> DataFrame:
     """Pairs of stories of the last `hours` that are one story (R9), with their overlap."""
     fresh = heads.filter(F.col("hours") >= -hours)
-    return _judged(_with_sides(story_pairs(fresh), fresh), matching_overlap)
+    return _judged(_with_sides(story_pairs(fresh, gate=GATE), fresh, _MATCHED), matching_overlap)
 
 
 def merge_confidence(heads: DataFrame) -> DataFrame:
     """Pairs of stories that may be one, with the confidence."""
-    return _judged(_with_sides(story_pairs(heads), heads), confidence).withColumnRenamed("score", "confidence")
+    return _judged(_with_sides(story_pairs(heads, topical=True), heads, _TRUSTED), confidence).withColumnRenamed("score", "confidence")
 
 
 def star_merges(pairs: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
@@ -143,6 +200,7 @@ def star_merges(pairs: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """
     spark = pairs.sparkSession
     with dropping(spark):
+        pairs = written(pairs.select("a", "b"), "judged")  # read four times below
         both = pairs.filter("a != b").select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
         degree = both.groupBy("a").agg(F.count("*").alias("d"))
         if sizes is not None:
