@@ -43,3 +43,12 @@ def test_searches_read_the_index(spark):
     assert "regexp_extract_all" not in plan and "In(term" in plan.replace("in(term", "In(term")
     one = search.word_search(spark, DATA, query="of").collect()
     assert one and all(x["rank"] > 0 for x in one)
+
+
+def test_words_of_an_article_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(index, "AT_ONCE", 2)
+    rows = [(1, "A b a", "b c"), (2, None, None), (3, "", "a"), (4, "b", None), (5, "Ж ж", "ж a")]
+    found = index.postings(spark.createDataFrame(rows, "id long, title string, description string"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {("a", 1): (3, [0, 2]), ("b", 1): (3, [1, 3]), ("c", 1): (3, [4]), ("a", 3): (0, [0]), ("b", 4): (1, [0]), ("ж", 5): (2, [0, 1, 2]), ("a", 5): (2, [3])}
+    assert {(r.term, r.id): (r.n_title, r.positions) for r in found.collect()} == want

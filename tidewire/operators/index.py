@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +22,41 @@ IN_TITLE, IN_TEXT = 1.0, 0.4
 _BUILT: dict[tuple[str, str], DataFrame] = {}
 
 
+#: Articles whose words are grouped at once.
+AT_ONCE = 500
+
+
 def postings(articles: DataFrame) -> DataFrame:
-    """(term, id, n_title, positions) of articles (id, title, description): where each word stands, from 0, the
-    description's words after the n_title of the title. An article without words has no row; null is empty."""
+    """(term, id, n_title, positions) of articles (id, title, description), ids unique: where each word stands, from 0, the
+    description's words after the n_title of the title. An article without words has no row; null is empty. The words
+    of an article are grouped where it is read, so none is shuffled."""
     words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(TOKEN), F.lit(0))
     rows = articles.select("id", words("title").alias("t"), words("description").alias("d"))
-    each = rows.select("id", F.size("t").alias("n_title"), F.posexplode(F.concat("t", "d")).alias("position", "term"))
-    return each.groupBy("term", "id", "n_title").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    rows = rows.select("id", F.size("t").alias("n_title"), F.concat("t", "d").alias("words"))
+    at_once = AT_ONCE
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, at_once):
+                batch = whole.slice(start, at_once)
+                lists = batch.column("words")
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                coded = lists.flatten().dictionary_encode()
+                if not len(coded):
+                    continue
+                own = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                key = own * len(coded.dictionary) + coded.indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                heads = pa.array(order[first])
+                owners = pa.array(own[order[first]])
+                positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+                yield pa.record_batch(
+                    [coded.dictionary.take(coded.indices.take(heads)), batch.column("id").take(owners), batch.column("n_title").take(owners), positions], names=["term", "id", "n_title", "positions"]
+                )
+
+    return rows.mapInArrow(grouped, f"term string, id {articles.schema['id'].dataType.simpleString()}, n_title int, positions array<int>")
 
 
 def news_index(spark: SparkSession, sf_dir: str) -> DataFrame:

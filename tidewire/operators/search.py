@@ -43,7 +43,7 @@ def match_score(query: str = QUERY) -> Column:
 
 def word_search(spark: SparkSession, sf_dir: str, query: str = QUERY) -> DataFrame:
     """The 50 best articles with all words of the query: twice the match score plus the rank."""
-    rows = news(spark, sf_dir).join(ranks(news_index(spark, sf_dir), query), "id").select("id", "created_at", match_score(query).alias("match"), "rank")
+    rows = news(spark, sf_dir).select("id", "created_at", match_score(query).alias("match")).join(ranks(news_index(spark, sf_dir), query), "id")  # no text is shuffled
     return rows.withColumn("total", quantised(2 * F.col("match") + F.col("rank"))).orderBy(F.desc("total"), F.desc("created_at"), "id").limit(50).select("id", "match", "rank", "total")
 
 
@@ -52,7 +52,7 @@ def article_search(spark: SparkSession, sf_dir: str, far: float = 0.6, query: st
     near = table(spark, sf_dir, "embeddings").join(F.broadcast(query_vector(spark, sf_dir)))  # one row
     near = near.select(F.col("vec_id").alias("id"), cosine(F.col("embedding"), F.col("q")).alias("near"))
     found = ranks(news_index(spark, sf_dir), query).join(near, "id", "full").filter(F.col("rank").isNotNull() | (1 - F.col("near") < far))
-    rows = news(spark, sf_dir).join(found, "id").select("id", "created_at", match_score(query).alias("match"), "rank", "near")
+    rows = news(spark, sf_dir).select("id", "created_at", match_score(query).alias("match")).join(found, "id")
     total = quantised(2 * F.col("match") + F.coalesce("rank", F.lit(0.0)) + 5 * F.coalesce("near", F.lit(0.0)))
     return rows.withColumn("total", total).orderBy(F.desc("total"), F.desc("created_at"), "id").limit(50).select("id", "match", "total")
 
