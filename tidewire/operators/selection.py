@@ -10,6 +10,7 @@ from tidewire.functions import wording
 from tidewire.functions.scalars import long_words
 from tidewire.operators.ranking import HARD_TOPICS, SOFT_TOPICS, ranked_rows, story_scores, weight
 from tidewire.operators.stories import quantised
+from tidewire.tables import dropping, kept, written
 
 #: Spans of time that a list may ask for, and its orders.
 SPANS = {"24h": 24, "7d": 24 * 7, "30d": 24 * 30}
@@ -18,6 +19,8 @@ ORDERS = ("hybrid", "recent")
 FEATURE_MARKS = (
     "izdanie na", "intervju so", r"intervju\b", "proverete dali", "pred da ", "postojano ste umorni", "ovoj mineral", "horoskop", "recept", r"foto\b", r"video\b", "galerija",
 )
+#: Stories of a block of one title, pairs of stories that a task gives, and tasks that give them at least.
+BLOCK_STORIES, TASK_PAIRS, LEAST_TASKS = 500, 4_000_000, 16
 #: Categories that are hard news; callers may pass their own.
 HARD_CATEGORIES = ("en", "fr")
 
@@ -215,19 +218,56 @@ def archive_totals(news: DataFrame) -> DataFrame:
     )
 
 
-def title_pairs(news: DataFrame, least: float = 0.9) -> DataFrame:
-    """Stories to merge: titles (the greatest of each story) that overlap by `least` or more.
+def title_classes(news: DataFrame) -> DataFrame:
+    """(cluster_id, class, words) of stories whose title (the greatest of each) has long words; equal words, one class."""
+    titles = news.groupBy("cluster_id").agg(F.max("title").alias("title")).filter("cluster_id is not null")
+    words = titles.select("cluster_id", F.array_sort(long_words(F.col("title"))).alias("words")).filter(F.size("words") > 0)
+    return words.select("cluster_id", F.sha2(F.array_join("words", " "), 256).alias("class"), "words")
+
 
-    Only pairs that share one of the words that such an overlap forces are compared: of n long words, in order of
-    rarity, the first n - ceil(least * n) + 1. Nothing is lost by that.
+def like_classes(classes: DataFrame, least: float) -> DataFrame:
+    """(a, b, like): classes (class, words) of different words that overlap by `least` or more, a before b.
+
+    Only those that share one of the words that such an overlap forces are compared: of n words, in order of rarity, the
+    first n - ceil(least * n) + 1. Where words meet, pairs go whose places and numbers of words leave too few words to
+    share, and classes so small that one word more is too much. Nothing is lost by that.
     """
-    titles = news.groupBy("cluster_id").agg(F.max("title").alias("title")).select("cluster_id", long_words(F.col("title")).alias("words"))
-    each = titles.select("cluster_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    enough = lambda shared, x, y: shared / (x + y - shared) >= least
+    sized = classes.withColumn("n", F.size("words"))
+    each = sized.select("class", "n", F.explode("words").alias("word"))
     often = each.groupBy("word").agg(F.count(F.lit(1)).alias("used"))
-    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("used", "word"))
-    rare = each.join(often, "word").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("cluster_id", "word")
-    left, right = rare.withColumnRenamed("cluster_id", "a"), rare.withColumnRenamed("cluster_id", "b")
-    pairs = left.join(right, "word").filter("a < b").select("a", "b").distinct()
-    x, y = titles.select(F.col("cluster_id").alias("a"), F.col("words").alias("x")), titles.select(F.col("cluster_id").alias("b"), F.col("words").alias("y"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("used", "word"))
+    able = each.filter(enough(F.col("n"), F.col("n"), F.col("n") + 1)).join(often, "word").withColumn("place", place)
+    rare = able.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("class", "word", "n", "place")
+    left, right = rare.toDF("a", "word", "n", "i"), rare.toDF("b", "word", "m", "j")
+    most = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    pairs = left.join(right, "word").filter((F.col("a") < F.col("b")) & enough(most, F.col("n"), F.col("m"))).select("a", "b").distinct()
+    x, y = classes.select(F.col("class").alias("a"), F.col("words").alias("x")), classes.select(F.col("class").alias("b"), F.col("words").alias("y"))
     like = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return pairs.join(x, "a").join(y, "b").withColumn("like", like).filter(F.col("like") >= least).select("a", "b", quantised(F.col("like")).alias("overlap"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", like.alias("like")).filter(F.col("like") >= least)
+
+
+def title_pairs(news: DataFrame, least: float = 0.9, block: int = BLOCK_STORIES) -> DataFrame:
+    """Stories to merge: titles (the greatest of each story) that overlap by `least` or more.
+
+    Titles of equal words are one class, and only classes are compared. The stories of a class are dealt into blocks of
+    about `block`; each two blocks of like classes meet in one row that gives their pairs one after another, in tasks of
+    about TASK_PAIRS, so that no pair is shuffled, sorted or kept: pairs are quadratic, as stories of one title are.
+    """
+    with dropping(news.sparkSession):
+        titles = written(title_classes(news), "titles")
+        classes = written(titles.groupBy("class").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("stories")), "classes")
+        parts = F.ceil(F.col("stories") / block).cast("int").alias("parts")
+        dealt = titles.select("cluster_id", "class").join(classes.select("class", parts), "class")
+        part = F.pmod(F.xxhash64("cluster_id"), F.col("parts")).cast("int").alias("part")
+        blocks = written(dealt.select("class", part, "cluster_id").groupBy("class", "part").agg(F.collect_list("cluster_id").alias("ids")), "blocks")
+        same = classes.filter("stories > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("like"))
+        like = same.unionByName(like_classes(classes.select("class", "words"), least))
+        for side in "ab":
+            like = like.join(blocks.select(F.col("class").alias(side), F.col("part").alias(f"part_{side}"), F.col("ids").alias(f"ids_{side}")), side)
+        met = kept(like.filter("a != b or part_a <= part_b"), "met")
+        n = met.agg(F.sum(F.size("ids_a").cast("long") * F.size("ids_b"))).first()[0] or 0
+    own = (F.col("a") == F.col("b")) & (F.col("part_a") == F.col("part_b"))
+    spread = met.withColumn("own", own).repartition(max(LEAST_TASKS, -(-n // TASK_PAIRS)), "a", "b", "part_a", "part_b")
+    pairs = spread.select("own", "like", "ids_b", F.explode("ids_a").alias("x")).select("own", "like", "x", F.explode("ids_b").alias("y")).filter("not own or x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), quantised(F.col("like")).alias("overlap"))
