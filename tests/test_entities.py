@@ -47,3 +47,17 @@ def test_strongest_names_of_a_story(spark):
     rows = [(1, "s", "we met Ana Ivanova", "in Lisbon with Once Only"), (2, "s", "then Ana Ivanova left", "and Lisbon slept"), (3, None, None, None)]
     news = spark.createDataFrame(rows, "id long, cluster_id string, title string, description string")
     assert [tuple(r) for r in entities.story_entities(news).orderBy("place").collect()] == [("s", 1, "Ana Ivanova", "PER", 2, 2), ("s", 2, "Lisbon", "MISC", 2, 0)]
+
+
+def test_texts_are_searched_once_for_names(spark):
+    news = spark.createDataFrame([(1, "s", "we met Ana Ivanova", "in Lisbon"), (2, "s", "ШТО Е ОВА", "ШТО е ова")], "id long, cluster_id string, title string, description string")
+    found = entities.story_entities(news)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.name for r in found.collect()} == {"Ana Ivanova"}
+
+
+def test_shares_count_words_as_written(spark):
+    texts = ["ИМЕ", "we saw Kostov and kostov", "then Kostov came. Kostov left", "the KOSTOV file", "straße"]
+    words = entities.word_rows(spark.createDataFrame([(i, "title", t) for i, t in enumerate(texts)], "id long, part string, text string"))
+    assert not words.filter("id = 0").count() and words.filter("id = 4").count() == 1
+    assert [(r.key, r.share) for r in entities.name_shares(words).collect()] == [("kostov", 0.75)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.tables import dropping, kept, written
+
 #: A word's evidence, the shares of capitals from which it is a name and below which a common noun, words of
 #: a name, names of a text, names of a story.
 EVIDENCE, NAME_SHARE, NOUN_SHARE, NAME_WORDS, TEXT_NAMES, STORY_NAMES = 3, 0.6, 0.4, 3, 12, 8
@@ -31,23 +33,26 @@ def acronym(word: Column) -> Column:
 def word_rows(texts: DataFrame) -> DataFrame:
     """(id, part, i, word, key, opens, joins, pauses) of each word of texts (id, part, text): whether it opens a sentence,
     follows one space, and is before a colon or comma. Empty texts and those in capitals alone have no words."""
-    rows = texts.filter((F.length("text") > 0) & (F.col("text") != F.upper("text")))
+    rows = texts.filter((F.length("text") > 0) & (F.col("text").rlike("[a-z]") | (F.col("text") != F.upper("text"))))  # most need not be upper-cased
     gaps, words = (F.regexp_extract_all("text", F.lit(WORD), F.lit(k)) for k in (1, 2))
     pause = F.col("text").rlike(_LAST_PAUSES)
     each = rows.select("id", "part", gaps.alias("g"), words.alias("w"), pause.alias("p")).select("id", "part", "g", "p", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     gap, after = F.get("g", F.col("i")), F.substring(F.get("g", F.col("i") + 1), 1, 1)
     return each.select(
-        "id", "part", "i", "word", F.lower("word").alias("key"), (((F.col("i") == 0) & (gap == "")) | gap.rlike(OPENER)).alias("opens"), ((F.col("i") > 0) & (gap == " ")).alias("joins"),
+        "id", "part", "i", "word", F.lower("word").alias("key"), (((F.col("i") == 0) & (gap == "")) | ((gap != " ") & gap.rlike(OPENER))).alias("opens"), ((F.col("i") > 0) & (gap == " ")).alias("joins"),
         F.when(F.col("i") == F.col("n") - 1, F.col("p")).otherwise(after.isin(":", ",")).alias("pauses"),
     )
 
 
 def name_shares(words: DataFrame) -> DataFrame:
-    """(key, share) of words with EVIDENCE: how often one of three letters on, not opening a sentence, has a capital."""
+    """(key, share) of words with EVIDENCE: how often one of three letters on, not opening a sentence, has a capital.
+
+    Counted by word as written, then by key, so that only different words are lower-cased whole."""
     word = F.col("word")
+    capital = F.substring(word, 1, 1) != F.lower(F.substring(word, 1, 1))
+    written_so = words.filter(F.length("word") >= 3).groupBy("word").agg(F.count("*").alias("n"), F.count_if(capital & ~F.col("opens")).alias("inside"))
     low = word == F.lower(word)
-    high = ~low & (F.substring(word, 1, 1) != F.lower(F.substring(word, 1, 1))) & ~F.col("opens")
-    counts = words.filter(F.length("word") >= 3).groupBy("key").agg(F.count_if(low).alias("low"), F.count_if(high).alias("high"))
+    counts = written_so.groupBy(F.lower("word").alias("key")).agg(F.sum(F.when(low, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(low, 0).otherwise(F.col("inside"))).alias("high"))
     return counts.filter(F.col("low") + F.col("high") >= EVIDENCE).select("key", (F.col("high") / (F.col("low") + F.col("high"))).alias("share"))
 
 
@@ -115,16 +120,17 @@ def article_texts(news: DataFrame) -> DataFrame:
 
 def story_entities(news: DataFrame, most: int = STORY_NAMES) -> DataFrame:
     """The up to eight strongest names of each story (R12): of a headline or two articles, by headlines, mentions, length;
-    surnames count for the one full name that ends in them."""
-    names = names_in(article_texts(news))
-    aliases = surname_aliases(names)
-    named = names.join(aliases, "name", "left").select("id", "part", F.coalesce("full", "name").alias("name"))
-    stories = news.select("id", "cluster_id")
-    per_article = named.join(stories, "id").groupBy("cluster_id", "name", "id").agg(F.max((F.col("part") == "title").cast("int")).alias("t"))
-    sums = per_article.groupBy("cluster_id", "name").agg(F.count("*").alias("mentions"), F.sum("t").alias("in_title")).filter("in_title > 0 or mentions >= 2")
-    order = Window.partitionBy("cluster_id").orderBy(F.desc("in_title"), F.desc("mentions"), F.desc(F.length("name")), "name")
-    rows = sums.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    return rows.select("cluster_id", "place", "name", kind(F.col("name")).alias("type"), "mentions", "in_title")
+    surnames count for the one full name that ends in them. The texts' names are found once and read three times."""
+    with dropping(news.sparkSession):
+        names = written(names_in(article_texts(news)), "names")
+        aliases = surname_aliases(names)
+        named = names.join(aliases, "name", "left").select("id", "part", F.coalesce("full", "name").alias("name"))
+        stories = news.select("id", "cluster_id")
+        per_article = named.join(stories, "id").groupBy("cluster_id", "name", "id").agg(F.max((F.col("part") == "title").cast("int")).alias("t"))
+        sums = per_article.groupBy("cluster_id", "name").agg(F.count("*").alias("mentions"), F.sum("t").alias("in_title")).filter("in_title > 0 or mentions >= 2")
+        order = Window.partitionBy("cluster_id").orderBy(F.desc("in_title"), F.desc("mentions"), F.desc(F.length("name")), "name")
+        rows = sums.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+        return kept(rows.select("cluster_id", "place", "name", kind(F.col("name")).alias("type"), "mentions", "in_title"), "entities")
 
 
 def word_roles(news: DataFrame) -> DataFrame:
