@@ -8,12 +8,12 @@ row numbers, and pack them as they come: a task holds its open bins and one batc
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,46 +25,62 @@ SEQUENCE, OPEN_BINS, END = 2048, 4096, 0
 PIECES_A_TASK = 60_000
 TOKENIZER = "word_bpe_49k.json"
 _CACHED = 400_000
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_PLAIN = regex.compile(r"[\x21-\x3b\x3d-\x7e]+")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_PLAIN = re.compile(r"[\x21-\x3b\x3d-\x7eÀ-ÖØ-öø-ÿ]+")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SEEN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+#: The model's letter for each byte of UTF-8: itself if it can be seen, else one from 256 on.
+_BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_SEEN)))}
+
+
+class _Cache(dict):
+    """Values that `of` makes, at most _CACHED at a time."""
+
+    def __init__(self, of: Callable):
+        super().__init__()
+        self._of = of
+
+    def __missing__(self, key):
+        value = self._of(key)
+        if len(self) >= _CACHED:
+            self.clear()
+        self[key] = value
+        return value
 
 
 class ChunkTokenizer:
     """Ids of texts, as little-endian 32-bit bytes, with a cache of what stands between white space.
 
     The tokenizer never merges over white space, so a text's ids are those of its chunks one after another. Chunks
-    of printable ASCII without `<` go straight to the BPE model; all others pass the whole tokenizer.
+    of printable ASCII without `<` and letters of Latin-1 go straight to the BPE model; all others pass the whole
+    tokenizer. A-Z are lower-cased first where that changes no id: the tokenizer does so itself, but after it has joined
+    letters with combining marks (U+0300 to U+036F) and found its special tokens (`<|`).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._model, self._known, self._pieces = self._tokenizer.model, {}, {}
+        self._model, self._known, self._pieces = self._tokenizer.model, _Cache(self._chunk), _Cache(self._piece)
 
     def ids(self, text: bytes) -> bytes:
-        chunks = text.split()
-        known = self._known
-        if new := set(chunks).difference(known):
-            if len(known) + len(new) > _CACHED:
-                known.clear()
-                if len(self._pieces) > _CACHED:
-                    self._pieces.clear()
-                new = set(chunks)
-            for chunk in new:
-                known[chunk] = self._chunk(chunk.decode())
-        return b"".join([known[c] for c in chunks])
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not _PLAIN.fullmatch(chunk):
-            return pack_ids(self._tokenizer.encode(chunk, add_special_tokens=False).ids)
-        out = []
-        for piece in _PIECE.findall(chunk.lower()):
-            ids = self._pieces.get(piece)
-            if ids is None:
-                ids = self._pieces[piece] = pack_ids([t.id for t in self._model.tokenize(piece)])
-            out.append(ids)
-        return b"".join(out)
+        if not (b"\xcc" in text or b"\xcd" in text or b"<|" in text):
+            text = text.lower()
+        return b"".join(map(self._known.__getitem__, text.split()))
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text, pieces = chunk.decode(), self._pieces
+        word = text.rstrip(".,")
+        if _LETTERS.fullmatch(word):
+            ids = pieces[word.lower()]
+            return ids if len(word) == len(text) else ids + pieces[text[len(word) :]]
+        if not _PLAIN.fullmatch(text):
+            return pack_ids(self._tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join([pieces[piece] for piece in _PIECE.findall(text.lower())])
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        return pack_ids([t.id for t in self._model.tokenize(shown)])
 
 
 def pack_ids(ids: list[int]) -> bytes:
