@@ -41,3 +41,16 @@ def test_source_pairs_of_many_blocks(spark, tmp_path, monkeypatch):
     assert len(got) > 500
     plan = registry.queries()["source_pairs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_source_pairs_shuffles_a_row_a_story_and_block(spark, tmp_path, monkeypatch):
+    """Members of a story go together to where blocks meet, not one by one; each two blocks have a task of their own."""
+    monkeypatch.setattr(stories, "BLOCK_MEMBERS", 100)
+    dealt, kind = [], type(spark.range(1))
+    real = kind.repartitionById
+    monkeypatch.setattr(kind, "repartitionById", lambda rows, n, key: dealt.append((rows.count(), n, sorted(r[0] for r in rows.select(key).distinct().collect()))) or real(rows, n, key))
+    events = [(user, "view", 60, k) for user in range(200) for k in range(4)]
+    got, want = both(spark, tmp_path, "source_pairs", events)
+    assert got == want and len(got) == 200 * 199 // 2
+    blocks = 8  # 800 members
+    assert dealt == [(4 * blocks * blocks, blocks * (blocks + 1) // 2, list(range(blocks * (blocks + 1) // 2)))]
