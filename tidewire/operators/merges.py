@@ -1,4 +1,4 @@
-"""Merges of stories that are one: pairs by shared telling words, matches as in the repair of stories, stars of hubs (R9), and
+"""Merges of stories that are one: pairs by shared words, matches as in the repair of stories, stars of hubs (R9), and
 the confidence that two stories are one (R10)."""
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def story_heads(articles: DataFrame) -> DataFrame:
 
 
 def story_pairs(heads: DataFrame, gate: float | None = None, topical: bool = False) -> DataFrame:
-    """Pairs (a, b) of stories within two days that share a telling word or name of their longest titles, each once; stories
+    """Pairs (a, b) of stories within two days that share a word or name of their longest titles, each once; stories
     of one and the same title each with the first of its day and that with the first of the day before. With `gate` those
     whose vectors are farther apart are left out where the words meet, with `topical` those that confidence() calls unsafe.
     """
@@ -64,8 +64,8 @@ def story_pairs(heads: DataFrame, gate: float | None = None, topical: bool = Fal
 
 
 def _near_pairs(each: DataFrame, gate: float) -> DataFrame:
-    """Pairs (a, b) of (id, day, key, e) that share a key within two days and are `gate` near or cannot be compared. A key
-    is of few stories a day, so vectors go once a key and day, not once a pair."""
+    """Pairs (a, b) of (id, day, key, e) that share a key within two days and are `gate` near or cannot be compared.
+    Vectors go once a key and day, not once a pair."""
 
     def groups(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         found = [vector_of(x) for x in table["e"].to_pylist()]
@@ -76,10 +76,11 @@ def _near_pairs(each: DataFrame, gate: float) -> DataFrame:
                 unit[i, : len(x)] = x / np.sqrt(x @ x)
         own, ids, place = table["own"].to_numpy(), table["id"].to_numpy(), table["group"].to_numpy()
         for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(place)) + 1):
-            left = at[own[at]]
-            comparable = (size[left][:, None] == size[at]) & (size[at] > 0)
-            i, j = np.nonzero((ids[left][:, None] != ids[at]) & (~comparable | (calibrated_similarity(unit[left] @ unit[at].T) >= gate - 1e-9)))
-            yield ids[left[i]], ids[at[j]]
+            lefts = at[own[at]]
+            for left in np.split(lefts, range(512, len(lefts), 512)):
+                comparable = (size[left][:, None] == size[at]) & (size[at] > 0)
+                i, j = np.nonzero((ids[left][:, None] != ids[at]) & (~comparable | (calibrated_similarity(unit[left] @ unit[at].T) >= gate - 1e-9)))
+                yield ids[left[i]], ids[at[j]]
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
